@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +47,33 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's sources to the executors, once a session: workers import it by name."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_graphloom_shipped", False):
+        sc._graphloom_shipped = True
+        root = Path(__file__).resolve().parent.parent
+        at = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(at))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_blocks(texts: list[str], most: int = 4 << 20):
-    """Runs of texts of about ``most`` characters; a longer text stands alone."""
+def in_blocks(items, most: int = 4 << 20, size=len):
+    """Runs of items of about ``most`` characters; a longer one stands alone."""
     block, n = [], 0
-    for t in texts:
-        if block and n + len(t) > most:
+    for x in items:
+        if block and n + size(x) > most:
             yield block
             block, n = [], 0
-        block.append(t)
-        n += len(t)
+        block.append(x)
+        n += size(x)
     if block:
         yield block
 
@@ -147,6 +164,33 @@ def id_filter(ids: DataFrame, n: int, max_bits: int) -> tuple[np.ndarray, int]:
     return merged_filter(ids.mapInArrow(build, "slice int, once binary, twice binary"), bits, "once"), k
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the single long column of ``ids``.
+
+    A Bloom filter of fixed size routes the rows: those that miss it pass as they are, the others are
+    anti-joined exactly, so few texts are shuffled. Null ids pass.
+    """
+    column = ids.columns[0]
+    bits, k = id_filter(ids, ids.count(), max_bits)
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+    at = docs.columns.index(id_col)
+
+    def route(hits: bool):
+        def run(batches):
+            for b in batches:
+                ids_ = b.column(at).cast(pa.int64())
+                hit = bloom_has(known.value, mix64(ids_.fill_null(0).to_numpy(zero_copy_only=False)), k) & ids_.is_valid().to_numpy(zero_copy_only=False)
+                keep = hit if hits else ~hit
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+
+        return run
+
+    suspects = docs.mapInArrow(route(True), docs.schema)
+    kept = suspects.join(ids.withColumnRenamed(column, "__id"), suspects[id_col] == F.col("__id"), "left_anti")
+    return docs.mapInArrow(route(False), docs.schema).unionByName(kept)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser over int64/uint64 values."""
     z = x.astype(np.int64, copy=False).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)

@@ -289,5 +289,24 @@ def contamination(
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows in which no item is found, with all columns and without a shuffle."""
+    sc = docs.sparkSession.sparkContext
+    at = docs.columns.index(text_col)
+    for block in item_blocks(benchmark, item_col, item_text_col):
+        known = sc.broadcast(Templates(block, width, similarity))
+
+        def run(batches, known=known):
+            for b in batches:
+                texts = [t or "" for t in b.column(at).to_pylist()]
+                keep = [not f for part in in_blocks(texts, 1 << 20) for f in known.value.found_in(part)]
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -112,6 +112,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``exact_duplicates`` keeps, with all columns. Texts move only if more ids are
+    dropped than may be broadcast."""
+    found = stored(exact_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "exact-dropped")
+    n = found.count()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha"))
+    return docs.join(F.broadcast(found) if n <= BROADCAST_HASHES // 8 else found, same, "left_anti")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

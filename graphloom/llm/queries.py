@@ -7,6 +7,7 @@ from graphloom.llm.html_text import op9_html_text
 from graphloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from graphloom.llm.pieces import op7_pieces
 from graphloom.llm.simhash import op4_simhash
+from graphloom.llm.suffix_dedup import op6_suffix_dedup
 from graphloom.llm.tokens import op5_token_counts
 from graphloom.llm.toxicity import op10_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_simhash": op4_simhash,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pieces": op7_pieces,
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, stored, table
+from graphloom.llm.common import connected_components, mix64, stored, table, without_ids
 
 TAU = 3
 SEED = 42
@@ -185,5 +185,103 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = TAU, id_col:
     return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---------------------------------------------------------------- similarity of shingle sets
+
+#: Parts of a shingle set that are looked up, and shingles that a part is made for at least.
+PARTS, PART_SIZE = 24, 3
+#: Hashes that a text's sample of its shingle set holds: the smallest ones; exact for smaller sets.
+SAMPLE = 512
+#: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
+LOOSE_TAU, LOOSE_SEGMENTS = 24, 8
+
+
+def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(part, hash) of the looked-up parts of a set of distinct shingle hashes.
+
+    A shingle belongs to part ``hash mod 2 ** level``; the level follows from the set's size, and a size near
+    a border uses both levels, so sets within ``similarity`` of each other share one. Parts without a
+    difference are equal, and the smallest difference is spread over many parts.
+    """
+    x = np.log2(max(len(h) / PART_SIZE, 1))
+    slack = -np.log2(similarity) / 2 + 0.01
+    out = []
+    for level in {max(0, int(np.floor(x - slack))), max(0, int(np.floor(x + slack)))}:
+        part = (h & np.uint64((1 << level) - 1)).astype(np.int64)
+        few = part < PARTS
+        value, count = np.zeros(PARTS, np.uint64), np.bincount(part[few], minlength=PARTS)
+        np.add.at(value, part[few], mix64(h[few]))
+        out += [(level * PARTS + int(i), int(value[i].view(np.int64))) for i in np.flatnonzero(count)]
+    return out
+
+
+_SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sample", pa.binary()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("value", pa.int64())])))])
+_SIG_SQL = "doc_id long, fp long, n long, sample binary, parts array<struct<part:int,value:long>>"
+
+
+def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
+    """Jaccard similarity of two shingle sets from their samples: exact if both hold the whole set."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    if n_a > SAMPLE or n_b > SAMPLE:
+        both = both[:SAMPLE]
+    shared = np.intersect1d(x, y)
+    return float(np.isin(shared, both).sum() / max(1, len(both)))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id of every document that is like another one: the components of documents whose sets of
+    ``width``-word shingles are similar to ``similarity`` or more, and the smallest id of each.
+
+    A 64-bit fingerprint cannot be indexed at the distance that belongs to 0.8, so candidates share a part of
+    the shingle set instead; the ring of the fingerprint's segments prunes them before the sets are compared. In
+    each group of candidates all are compared with its hub, the text with most shared parts, and with its
+    smallest id, never with each other. Null ids take no part; texts without a word are alike.
+    """
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for t in b.column(1).to_pylist():
+                all_ = shingle_hashes(t or "", width)
+                h = np.unique(all_)
+                sample = np.sort(np.unique((mix64(h) >> np.uint64(32)).astype(np.uint32)))[:SAMPLE]
+                rows.append((np.uint64(simhash(all_)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in part_keys(h, similarity)] or [{"part": -1, "value": 0}]))
+            yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), [], [], [], []], schema=_SIG)
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")
+    sig = stored(base.mapInArrow(run, _SIG_SQL), "near-signatures")
+    keys = sig.select("doc_id", F.explode("parts").alias("x")).select("doc_id", "x.part", "x.value")
+    shared = stored(keys.join(keys.groupBy("part", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), ["part", "value"]), "near-shared")
+    score = shared.groupBy("doc_id").agg(F.sum("c").alias("score"))
+    scored = shared.select("doc_id", "part", "value").join(score, "doc_id")
+    hubs = scored.groupBy("part", "value").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("hub"), F.min("doc_id").alias("least"))
+    pairs = scored.join(hubs, ["part", "value"]).select(F.explode(F.array_distinct(F.array(-F.col("hub.d"), "least"))).alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
+    left, right = (sig.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("fp", "n", "sample"))) for c in "ab")
+    pruned = pairs.join(left.select("a", "fp_a"), "a").join(right.select("b", "fp_b"), "b")
+
+    def ring(batches):
+        for b in batches:
+            x = (b.column(2).to_numpy() ^ b.column(3).to_numpy()).view(np.uint64)
+            yield b.filter(pa.array(near(x, LOOSE_SEGMENTS, LOOSE_TAU)))
+
+    pruned = stored(pruned.select("a", "b", "fp_a", "fp_b").mapInArrow(ring, "a long, b long, fp_a long, fp_b long").select("a", "b"), "near-pairs")
+
+    def verify(batches):
+        for b in batches:
+            a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
+            ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
+            yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pruned.join(left, "a").join(right, "b").select("a", "b", "sample_a", "sample_b", "n_a", "n_b")
+    links = both.mapInArrow(verify, "a long, b long")
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, and all others, with all columns."""
+    found = near_duplicates(docs, width, similarity, id_col, text_col)
+    return without_ids(docs, stored(found.where("doc_id != keep_id").select("doc_id"), "near-dropped"), id_col)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
