@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import few_tasks, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 _HIDE, _SHOW = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
@@ -134,7 +134,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                 schema=_TURN,
             )
 
-    return turns.select(F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), role_col, content_col).mapInArrow(run, _TURN_SQL)
+    return few_tasks(turns).select(F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), role_col, content_col).mapInArrow(run, _TURN_SQL)
 
 
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -172,7 +172,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     in that order; a null turn comes first). Null conversation ids form one conversation. A
     conversation is hashed in order by one task, as a stream with constant memory.
     """
-    return formatted.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(_digests, _DIGEST_SQL)
+    return few_tasks(formatted.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(_digests, _DIGEST_SQL))
 
 
 #: A conversation whose texts are control strings, kept in the query so that escaping is exercised.

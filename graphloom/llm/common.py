@@ -27,12 +27,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/graphloom-{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in at most four tasks a core (32 at least): small splits are read together, so neither tasks nor
+    the files they write become tiny. Larger inputs keep their splits as far as cores go."""
+    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends in durable files,
     so a lost executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    few_tasks(df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
@@ -188,7 +194,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1
 
     suspects = docs.mapInArrow(route(True), docs.schema)
     kept = suspects.join(ids.withColumnRenamed(column, "__id"), suspects[id_col] == F.col("__id"), "left_anti")
-    return docs.mapInArrow(route(False), docs.schema).unionByName(kept)
+    return few_tasks(docs.mapInArrow(route(False), docs.schema).unionByName(kept))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_blocks, table
+from graphloom.llm.common import few_tasks, in_blocks, table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -266,7 +266,7 @@ def contamination(
     sc = docs.sparkSession.sparkContext
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     carried = ["n_items", "item_id", "similarity"]
-    out = docs.select(*cols, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
+    out = few_tasks(docs).select(*cols, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
     blocks = list(item_blocks(benchmark, item_col, item_text_col))
     for number, block in enumerate(blocks):
         known = sc.broadcast(Templates(block, width, similarity))
@@ -295,6 +295,7 @@ def without_contaminated(
     """The rows in which no item is found, with all columns and without a shuffle."""
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
+    docs = few_tasks(docs)
     for block in item_blocks(benchmark, item_col, item_text_col):
         known = sc.broadcast(Templates(block, width, similarity))
 

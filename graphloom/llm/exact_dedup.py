@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, stored, table
+from graphloom.llm.common import discard, few_tasks, stored, table
 
 #: Depth at which prefixes are counted: the directory has at most 2 ** MAX_DEPTH slots.
 MAX_DEPTH = 12
@@ -74,7 +74,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id sorts after every other id. An empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = base.withColumn("norm", normalised(F.col("text"))).withColumn("h", F.xxhash64("norm"))
     entries = stored(hashed.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.char_length("text").alias("n")), "index-entries")
 
@@ -100,7 +100,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "index-classes",
     )
     discard(index)
-    return (
+    return few_tasks(
         entries.join(classes, ["h", "sha"], "left")
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
         .select(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import few_tasks, table
 
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -224,7 +224,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             text = [main_text(h or "", sigma) for h in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), text, [len(t) for t in text]], schema=_OUT)
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), html_col).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return few_tasks(pages).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), html_col).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

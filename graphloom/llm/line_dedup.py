@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, id_filter, merged_filter, mix64, stored, table
+from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, few_tasks, id_filter, merged_filter, mix64, stored, table
 
 #: Bits of each broadcast filter at most (32 MB).
 MAX_BITS = 1 << 28
@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty result; other columns are ignored.
     """
     last = (1 << 63) - 1
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = base.withColumn("k", F.coalesce("doc_id", F.lit(last)))
     sc = docs.sparkSession.sparkContext
     n_lines = base.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
@@ -124,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     moved = keyed.select("doc_id", "k", "text").mapInArrow(maybe_touched, "doc_id long, k long, text string")
     joined = moved.join(drops, moved.k == drops.doc, "left").select("doc_id", "text", "keys")
-    return keyed.select("doc_id", "k", "text").mapInArrow(untouched, _OUT_SQL).unionByName(joined.mapInArrow(finish, _OUT_SQL))
+    return few_tasks(keyed.select("doc_id", "k", "text").mapInArrow(untouched, _OUT_SQL).unionByName(joined.mapInArrow(finish, _OUT_SQL)))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

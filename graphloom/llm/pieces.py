@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import in_blocks, table
+from graphloom.llm.common import few_tasks, in_blocks, table
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
@@ -218,7 +218,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ))
             yield pa.record_batch([b.column(0), *map(list, zip(*rows, strict=True))] if rows else [b.column(0), [], [], []], schema=_OUT)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return few_tasks(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, mix64, stored, table, without_ids
+from graphloom.llm.common import connected_components, few_tasks, mix64, stored, table, without_ids
 
 TAU = 3
 SEED = 42
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             fp = np.array([simhash(shingle_hashes(t or "", width)) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), fp], schema=_FP)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
+    return few_tasks(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +182,7 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = TAU, id_col:
     named = stored(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "fingerprint-parts")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.join(least, "root").select("fp", "component_id")
-    return fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return few_tasks(fp.join(by_fp, "fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- similarity of shingle sets
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                 rows.append((np.uint64(simhash(all_)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in part_keys(h, similarity)] or [{"part": -1, "value": 0}]))
             yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), [], [], [], []], schema=_SIG)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")
+    base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")
     sig = stored(base.mapInArrow(run, _SIG_SQL), "near-signatures")
     keys = sig.select("doc_id", F.explode("parts").alias("x")).select("doc_id", "x.part", "x.value")
     shared = stored(keys.join(keys.groupBy("part", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), ["part", "value"]), "near-shared")

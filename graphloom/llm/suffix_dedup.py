@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, id_filter, in_blocks, merged_filter, mix64, stored, table
+from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, few_tasks, id_filter, in_blocks, merged_filter, mix64, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -238,7 +238,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     """
     last = (1 << 63) - 1
     gram = min(GRAM, length)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = base.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("k"), "text")
     sc = docs.sparkSession.sparkContext
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -340,7 +340,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
             yield pa.record_batch([b.column("doc_id"), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column("doc_id"), [], [], [], []], schema=_OUT)
 
     moved = keyed.mapInArrow(maybe, "doc_id long, k long, tag long, text string").join(marks, ["k", "tag"], "left").select("doc_id", "text", "marks")
-    return keyed.mapInArrow(untouched, _OUT_SQL).unionByName(moved.mapInArrow(finish, _OUT_SQL))
+    return few_tasks(keyed.mapInArrow(untouched, _OUT_SQL).unionByName(moved.mapInArrow(finish, _OUT_SQL)))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

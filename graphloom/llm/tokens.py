@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import few_tasks, table
 
 LIMIT = 2048
 CHUNK = 1 << 16
@@ -220,7 +220,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
             n = [c.count(t) for t in texts]
             yield pa.record_batch([b.column(0), [len(t.encode()) for t in texts], n, [x > limit for x in n]], schema=_OUT)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return few_tasks(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import few_tasks, table
 
 SIZES = (3, 4, 5, 6, 7)
 BITS = 20
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     ids = chosen.collect()  # at most ``sample`` pairs of numbers
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, y int")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    rows = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
 
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in rows.mapInArrow(_count, "part int, pos binary, neg binary").groupBy("part").applyInPandas(_add_counts, "part int, pos binary, neg binary").toLocalIterator():
@@ -168,7 +168,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
         for b in batches:
             yield pa.record_batch([b.column(0), [known.value.score(t or "") for t in b.column(1).to_pylist()]], schema=_OUT)
 
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, score double")
+    scored = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -182,7 +182,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
             keep = [known.value.score(t or "") < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return few_tasks(docs).mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
