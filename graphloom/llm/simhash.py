@@ -221,6 +221,8 @@ _SIG_SQL = "doc_id long, fp long, n long, sample binary, parts array<struct<part
 def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
     """Jaccard similarity of two shingle sets from their samples: exact if both hold the whole set."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if not len(x) and not len(y):
+        return 1.0
     both = np.union1d(x, y)
     if n_a > SAMPLE or n_b > SAMPLE:
         both = both[:SAMPLE]
