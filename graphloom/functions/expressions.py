@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Default patterns of test and generated files, decorators aside.
-TEST_PATTERNS = ("tests/", "test/", "test_*.py", "*_test.py", "*.test.*", "*.spec.*")
+TEST_PATTERNS = ("test_*", "*_test.py", "tests/", "__tests__/")
 GENERATED_PATTERNS = ("*_pb2.py", "*_pb2_grpc.py", "*.generated.*")
 STUB_SUFFIXES = (".pyi", ".d.ts")
 
@@ -18,6 +18,13 @@ STUB_SUFFIXES = (".pyi", ".d.ts")
 VISIBILITY_BOOST = {"public": 1.0, "protected": 0.97, "internal": 0.94, "private": 0.88}
 SECONDARY_PROJECT_BOOST = 0.92
 
+# Boosts by label, when knowledge ranks a little below code, and when it is what is asked for.
+LABEL_BOOSTS = {
+    "code": {},
+    "blended": {"Callable": 1.15, "TypeDef": 1.15, "Module": 1.10, "Value": 1.10, "Package": 1.05, "DocFile": 0.70, "DocSection": 0.70, "Note": 0.70},
+    "knowledge": {"Callable": 0.85, "TypeDef": 0.85, "Module": 0.90, "Value": 0.90, "Package": 0.95, "DocFile": 1.10, "DocSection": 1.15, "Note": 1.15},
+}
+
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -222,3 +222,18 @@ def config_refs(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = r.select(F.col("to_uid").alias("uid"), label.alias("label"), project.alias("project_name"), F.col("target").alias("name")).distinct()
     kind = F.when(F.col("kind") == "env", "READS_ENV").otherwise("REFERENCES_FILE")
     return nodes, r.select("from_uid", "to_uid", kind.alias("rel_type")).distinct()
+
+
+def injected(nodes: DataFrame) -> DataFrame:
+    """(from_uid, to_uid): callables named in ``Depends(...)`` of another callable's signature, of one project."""
+    used = nodes.where("label = 'Callable'").select("project_name", F.col("uid").alias("to_uid"), F.explode(F.regexp_extract_all("signature", F.lit(r"Depends\(\s*([A-Za-z_]\w*)"), F.lit(1))).alias("name"))
+    found = nodes.where("label IN ('Callable', 'TypeDef')").select("project_name", "name", F.col("uid").alias("from_uid"))
+    return used.join(found, ["project_name", "name"]).select("from_uid", "to_uid", F.lit("INJECTED_INTO").alias("rel_type")).distinct()
+
+
+def module_exports(nodes: DataFrame, defines: DataFrame) -> DataFrame:
+    """(from_uid, to_uid): entities of a module that its ``__all__`` names. Modules carry their ``source``."""
+    listed = F.regexp_extract("source", r"(?s)__all__\s*(?::[^=]+)?=\s*[\[(](.*?)[\])]", 1)
+    names = nodes.where("label = 'Module'").select(F.col("uid").alias("from_uid"), F.explode(F.regexp_extract_all(listed, F.lit("[\"']([A-Za-z_]\\w*)[\"']"), F.lit(1))).alias("name"))
+    own = defines.select("from_uid", "to_uid").join(nodes.select(F.col("uid").alias("to_uid"), "name"), "to_uid")
+    return names.join(own, ["from_uid", "name"]).select("from_uid", "to_uid", F.lit("EXPORTS").alias("rel_type")).distinct()

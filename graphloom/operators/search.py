@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.expressions import SECONDARY_PROJECT_BOOST, is_generated, is_stub, is_test, matches_any_glob, visibility_boost
+from graphloom.functions.expressions import LABEL_BOOSTS, SECONDARY_PROJECT_BOOST, is_generated, is_stub, is_test, matches_any_glob, visibility_boost
 from graphloom.schema import CODE_LABELS, GLOBAL_PROJECT
 
 RRF_K = 60
@@ -144,7 +144,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 16) -> Dat
 def analyse_query(query: str) -> dict[str, float]:
     """Channel weights by the query's shape: an identifier, a phrase, or neither."""
     q = query.strip()
-    if re.fullmatch(r"[A-Za-z_][\w]*(?:[.:]{1,2}[A-Za-z_]\w*)*", q) and (re.search(r"[_.:]", q) or re.search(r"[a-z][A-Z]", q)):
+    if re.fullmatch(r"[A-Z][a-zA-Z0-9]+|[a-z][a-z0-9_]+|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+", q):
         return {"graph": 2.0, "vector": 0.5, "bm25": 1.5}
     return {"graph": 0.5, "vector": 2.0, "bm25": 1.0} if len(q.split()) >= 3 else {"graph": 1.0, "vector": 1.0, "bm25": 1.0}
 
@@ -166,15 +166,16 @@ def boosted(hits: DataFrame, label_boosts: dict[str, float] | None = None, prima
     return F.col("score") * visibility_boost(F.col("visibility")) * label * home
 
 
-def hybrid_search(nodes: DataFrame, docs: DataFrame, query: str, limit: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, primary: str | None = None, **filters) -> DataFrame:
-    """(uid, score, ranks): the name, text and (with a vector) vector channels, three times ``limit`` of each, fused, filtered, boosted."""
+def hybrid_search(nodes: DataFrame, docs: DataFrame, query: str, limit: int = 10, vectors: DataFrame | None = None, query_vector: list[float] | None = None, primary: str | None = None, mode: str = "blended", **filters) -> DataFrame:
+    """(uid, score, ranks): the name, text and (with a vector) vector channels, three times ``limit`` of each, fused, filtered, boosted by
+    visibility, label (``mode``: code, blended, knowledge) and project."""
     weights = analyse_query(query)
     found = ranked(graph_search(nodes, query, 3 * limit), "graph", 3 * limit).unionByName(ranked(text_search(docs, query, 3 * limit), "bm25", 3 * limit))
     if vectors is not None and query_vector is not None:
         found = found.unionByName(ranked(vector_search(vectors, query_vector, 3 * limit), "vector", 3 * limit))
     fused = rank_fusion(found, weights=weights)
     hits = filter_hits(fused.join(nodes.select("uid", "label", "file_path", "name", "visibility", "project_name"), "uid"), **filters)
-    return hits.withColumn("score", boosted(hits, primary=primary)).select("uid", "score", "ranks").orderBy(F.desc("score"), "uid").limit(limit)
+    return hits.withColumn("score", boosted(hits, LABEL_BOOSTS[mode], primary)).select("uid", "score", "ranks").orderBy(F.desc("score"), "uid").limit(limit)
 
 
 def call_stats(calls: DataFrame, nodes: DataFrame, top: int = 5) -> DataFrame:

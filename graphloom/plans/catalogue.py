@@ -300,7 +300,7 @@ def _documents_as_nodes(t: Tables) -> DataFrame:
 @query(_BM25 + """, rk AS (SELECT uid, row_number() OVER (PARTITION BY label ORDER BY score DESC, uid) AS rank FROM sc),
 tx AS (SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM (SELECT uid, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk WHERE rank <= 30 GROUP BY uid ORDER BY score DESC, uid LIMIT 30)),
 fu AS (SELECT uid, 1.0::DOUBLE / (60 + rank) AS score FROM tx)
-SELECT uid, round(boosted, 6) AS score FROM (SELECT uid, score * CASE WHEN uid % 3 = 0 THEN 0.88 ELSE 1.0 END::DOUBLE * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.92 END::DOUBLE AS boosted
+SELECT uid, round(boosted, 6) AS score FROM (SELECT uid, score * 0.7::DOUBLE * CASE WHEN uid % 3 = 0 THEN 0.88 ELSE 1.0 END::DOUBLE * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.92 END::DOUBLE AS boosted
 FROM fu JOIN documents ON doc_id = uid) ORDER BY boosted DESC, uid LIMIT 10""", graph=False)
 def hybrid_search(t):
     hits = S.hybrid_search(_documents_as_nodes(t), corpus(t), _SEARCH, 10, primary="en")

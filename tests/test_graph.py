@@ -110,6 +110,9 @@ def test_resolution(spark, make):
     d = edges(("T", "T.x", "DEFINES"), ("B", "B.x", "DEFINES"), ("T", "T.y", "DEFINES"))
     assert [tuple(r) for r in R.overrides(edges(("T", "B", "INHERITS")), d, n).collect()] == [("p:T.x", "p:B.x", "OVERRIDES")]
     assert [tuple(r) for r in R.test_targets(n).collect()] == [("p:TestB", "p:B", "TESTS")]
+    app = nodes(node_rows("w", label="Module", source="x = 1\n__all__ = ['get', \n 'Gone']"), node_rows("w.get", "w.hid"), node_rows("w.use", signature="(a=Depends(get), b: int = 1)"))
+    assert [tuple(r) for r in R.injected(app).collect()] == [("p:w.get", "p:w.use", "INJECTED_INTO")]
+    assert [tuple(r) for r in R.module_exports(app, edges(("w", "w.get", "DEFINES"), ("w", "w.hid", "DEFINES"))).collect()] == [("p:w", "p:w.get", "EXPORTS")]
     env, links = R.config_refs(spark.createDataFrame([("a", "p", "env", "HOME"), ("b", "q", "env", "HOME"), ("a", "p", "file", "x.json")], "from_uid string, project_name string, kind string, target string"))
     assert {tuple(r) for r in env.collect()} == {("env/HOME", "EnvVar", "_global", "HOME"), ("p:res/x.json", "ResourceFile", "p", "x.json")} and links.count() == 3
     anchors = spark.createDataFrame([(1, "n", "x.py#f"), (2, "n", "x.py"), (3, "n", "no.py")], "anchor_id int, note_uid string, anchor string")
