@@ -1,7 +1,7 @@
 """Operator 10, toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Training takes a bounded sample of labelled rows (parameter ``sample``): document counts of hashed n-grams by
-class give the log-count ratios, the ``features`` n-grams that tell the classes apart best are kept, and logistic
+class give the log-count ratios, the ``features`` n-grams that speak most for toxicity are kept, and logistic
 regression is fitted over presence times ratio. Scoring reads every whole text, without a
 shuffle; the model is a table of fixed size.
 """
@@ -23,7 +23,7 @@ SIZES = (3, 4, 5, 6, 7)
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of the id.
 SAMPLE = 12_000
-FEATURES = 30_000
+FEATURES = 20_000
 THRESHOLD = 0.3
 _WHITE = re.compile(rb"[\x00-\x20]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +90,7 @@ def _add_counts(pdf):
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "pos": [out[0].tobytes()], "neg": [out[1].tobytes()]})
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, l2: float = 3e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights of presence features scaled by ``ratio``; full-batch Adam with fixed steps."""
     if not len(y):
         return np.zeros(len(ratio)), -30.0
@@ -131,8 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         neg[r["part"] * _PART : (r["part"] + 1) * _PART] = np.frombuffer(r["neg"], np.int64)
     n_pos, n_neg = max(1, sum(r[1] for r in ids)), max(1, sum(1 - r[1] for r in ids))
     ratio = np.log(((pos + 1) / (n_pos + 2)) / ((neg + 1) / (n_neg + 2)))
-    seen = pos + neg
-    gain = np.where(seen >= 3, np.abs(pos / n_pos - neg / n_neg) / np.sqrt((seen + 1) / (n_pos + n_neg)), 0)
+    gain = np.where(pos >= 3, np.maximum(0, ratio) * np.sqrt(pos), 0)  # frequent and telling
     top = np.sort(np.argsort(-gain, kind="stable")[:features])
     top = top[gain[top] > 0]
     place = np.full(1 << BITS, -1, np.int32)
