@@ -170,13 +170,8 @@ def id_filter(ids: DataFrame, n: int, max_bits: int) -> tuple[np.ndarray, int]:
     return merged_filter(ids.mapInArrow(build, "slice int, once binary, twice binary"), bits, "once"), k
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the single long column of ``ids``.
-
-    A Bloom filter of fixed size routes the rows: those that miss it pass as they are, the others are
-    anti-joined exactly, so few texts are shuffled. Null ids pass.
-    """
-    column = ids.columns[0]
+def _routes(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int):
+    """(rows that may have an id of the single long column of ``ids``, rows that have none), by a Bloom filter of fixed size."""
     bits, k = id_filter(ids, ids.count(), max_bits)
     known = docs.sparkSession.sparkContext.broadcast(bits)
     at = docs.columns.index(id_col)
@@ -192,9 +187,20 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1
 
         return run
 
-    suspects = docs.mapInArrow(route(True), docs.schema)
-    kept = suspects.join(ids.withColumnRenamed(column, "__id"), suspects[id_col] == F.col("__id"), "left_anti")
-    return few_tasks(docs.mapInArrow(route(False), docs.schema).unionByName(kept))
+    return docs.mapInArrow(route(True), docs.schema), docs.mapInArrow(route(False), docs.schema)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``; what a filter rules out is not shuffled."""
+    maybe, _ = _routes(docs, ids, id_col, max_bits)
+    return maybe.join(ids.select(F.col(ids.columns[0]).alias("__id")), maybe[id_col] == F.col("__id"), "left_semi")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids``; only rows that a filter suspects are shuffled. Null ids pass."""
+    maybe, surely = _routes(docs, ids, id_col, max_bits)
+    kept = maybe.join(ids.select(F.col(ids.columns[0]).alias("__id")), maybe[id_col] == F.col("__id"), "left_anti")
+    return few_tasks(surely.unionByName(kept))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

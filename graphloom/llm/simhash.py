@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, few_tasks, mix64, stored, table, without_ids
+from graphloom.llm.common import connected_components, few_tasks, mix64, stored, table, with_ids, without_ids
 
 TAU = 3
 SEED = 42
@@ -190,7 +190,7 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = TAU, id_col:
 #: Parts of a shingle set that are looked up, and shingles that a part is made for at least.
 PARTS, PART_SIZE = 24, 3
 #: Hashes that a text's sample of its shingle set holds: the smallest ones; exact for smaller sets.
-SAMPLE = 512
+SAMPLE = 4096
 #: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
 LOOSE_TAU, LOOSE_SEGMENTS = 24, 8
 
@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     scored = shared.select("doc_id", "part", "value").join(score, "doc_id")
     hubs = scored.groupBy("part", "value").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("hub"), F.min("doc_id").alias("least"))
     pairs = scored.join(hubs, ["part", "value"]).select(F.explode(F.array_distinct(F.array(-F.col("hub.d"), "least"))).alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
-    left, right = (sig.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("fp", "n", "sample"))) for c in "ab")
-    pruned = pairs.join(left.select("a", "fp_a"), "a").join(right.select("b", "fp_b"), "b")
+    left, right = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    pruned = pairs.join(left, "a").join(right, "b")
 
     def ring(batches):
         for b in batches:
@@ -274,6 +274,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
             ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
             yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # only the samples of texts that are in a pair are shuffled
+    ids = pruned.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = with_ids(sig.select("doc_id", "n", "sample"), ids, "doc_id")
+    left, right = (wanted.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sample"))) for c in "ab")
     both = pruned.join(left, "a").join(right, "b").select("a", "b", "sample_a", "sample_b", "n_a", "n_b")
     links = both.mapInArrow(verify, "a long, b long")
     return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
