@@ -27,10 +27,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/graphloom-{label}-{uuid.uuid4().hex}"
 
 
-def few_tasks(df: DataFrame) -> DataFrame:
-    """``df`` in at most four tasks a core (32 at least): small splits are read together, so neither tasks nor
-    the files they write become tiny. Larger inputs keep their splits as far as cores go."""
-    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism))
+def few_tasks(df: DataFrame, task_bytes: int = 1 << 26) -> DataFrame:
+    """``df`` without needlessly many tasks: as many as its input has blocks of ``task_bytes``, and at least four a core.
+
+    Small splits are then read together, so neither tasks nor the files they write become tiny; a
+    large input keeps its splits.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond: not known
+    return df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism, size // task_bytes))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
