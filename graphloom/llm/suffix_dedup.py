@@ -50,6 +50,12 @@ class PrefixHashes:
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(_TABLE[raw] * self._forth[: n - 1], out=self.sums[1:])
 
+    def every(self, width: int) -> np.ndarray:
+        """The hash of each substring of ``width`` bytes."""
+        out = self.sums[width:] - self.sums[:-width]
+        out *= self._back[: len(out)]
+        return out
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self._back[start]
 
@@ -57,13 +63,14 @@ class PrefixHashes:
 def sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
     """Place of the smallest value (leftmost on ties of the upper 40 bits) of each window of ``w``."""
     n = len(v)
-    v = (v & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
-    pad = np.full(-n % w, ~np.uint64(0), np.uint64)
-    rows = np.r_[v, pad].reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    m = n - w + 1
-    return (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & np.uint64(0xFFFFFF)).astype(np.int64)
+    low = np.full(n + (-n % w), ~np.uint64(0), np.uint64)
+    np.bitwise_and(v, ~np.uint64(0xFFFFFF), out=low[:n])
+    low[:n] |= np.arange(n, dtype=np.uint64)
+    m, span = n - w + 1, 1
+    while span * 2 <= w:  # minima of windows twice as wide, until two of them cover a window
+        np.minimum(low[:-span], low[span:], out=low[:-span])
+        span *= 2
+    return (np.minimum(low[:m], low[w - span : w - span + m]) & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
@@ -76,11 +83,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     if len(raw) < length:
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64), raw, begin
     sums = PrefixHashes(raw)
-    at = np.arange(len(raw) - gram + 1)
-    grams = sums.of(at, at + gram)
-    best = sliding_argmin(mix64(grams), length - gram + 1)
-    room = np.repeat(begin[1:], sizes)[: len(best)] - np.arange(len(best))  # bytes left in the text
-    ok = np.flatnonzero(room >= length)
+    grams = sums.every(gram)
+    best = sliding_argmin(grams * np.uint64(_BASE), length - gram + 1)
+    whole = np.ones(len(best), bool)  # windows that lie in one text
+    for end in begin[1:-1].tolist():
+        whole[max(0, end - length + 1) : end] = False
+    ok = np.flatnonzero(whole)
     if not len(ok):
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64), raw, begin
     anchor = best[ok]
