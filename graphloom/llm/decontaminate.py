@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, in_blocks, table
+from graphloom.llm.common import few_tasks, in_blocks, releasing, table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -272,6 +272,7 @@ def contamination(
         known = sc.broadcast(Templates(block, width, similarity))
         final = number == len(blocks) - 1
 
+        @releasing
         def run(batches, known=known, final=final):
             for b in batches:
                 texts = b.column("text").to_pylist()
@@ -299,6 +300,7 @@ def without_contaminated(
     for block in item_blocks(benchmark, item_col, item_text_col):
         known = sc.broadcast(Templates(block, width, similarity))
 
+        @releasing
         def run(batches, known=known):
             for b in batches:
                 texts = [t or "" for t in b.column(at).to_pylist()]

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, in_blocks, table
+from graphloom.llm.common import few_tasks, in_blocks, releasing, table
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
 #: Distinct words kept with their encoding; beyond it the memory starts anew.
-MEMO = 600_000
+MEMO = 300_000
 
 
 class PieceCodec:
@@ -201,8 +201,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     and empty tables are passed through row by row; other columns are ignored.
     """
 
+    @releasing
     def run(batches):
         c = codec(path)
+        c.memo.clear()
         for b in batches:
             rows = []
             for block in in_blocks([t or "" for t in b.column(1).to_pylist()]):
@@ -217,6 +219,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         hashlib.sha256(decoded.removeprefix(b" ")).hexdigest(),
                     ))
             yield pa.record_batch([b.column(0), *map(list, zip(*rows, strict=True))] if rows else [b.column(0), [], [], []], schema=_OUT)
+        c.memo.clear()  # the worker may run another operator next
 
     return few_tasks(docs).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

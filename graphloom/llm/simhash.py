@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, few_tasks, mix64, stored, table, with_ids, without_ids
+from graphloom.llm.common import connected_components, few_tasks, mix64, releasing, stored, table, with_ids, without_ids
 
 TAU = 3
 SEED = 42
@@ -240,8 +240,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     smallest id, never with each other. Null ids take no part; texts without a word are alike.
     """
 
+    @releasing
     def run(batches):
-        for b in batches:
+        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
             rows = []
             for t in b.column(1).to_pylist():
                 all_ = shingle_hashes(t or "", width)
@@ -268,8 +269,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     pruned = stored(pruned.select("a", "b", "fp_a", "fp_b").mapInArrow(ring, "a long, b long, fp_a long, fp_b long").select("a", "b"), "near-pairs")
 
+    @releasing
     def verify(batches):
-        for b in batches:
+        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
             a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
             ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
             yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))

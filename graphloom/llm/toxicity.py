@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, table
+from graphloom.llm.common import few_tasks, releasing, table
 
 SIZES = (3, 4, 5, 6, 7)
 BITS = 20
@@ -72,6 +72,7 @@ _COUNTS = pa.schema([("part", pa.int32()), ("pos", pa.binary()), ("neg", pa.bina
 _PART = 1 << 14
 
 
+@releasing
 def _count(batches):
     pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for b in batches:
@@ -138,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     place[top] = np.arange(len(top))
     wanted = spark.sparkContext.broadcast(place >= 0)
 
+    @releasing
     def sparse(batches):
         for b in batches:
             found = [present(t, wanted.value).tobytes() for t in b.column(0).to_pylist()]
@@ -163,6 +165,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), [known.value.score(t or "") for t in b.column(1).to_pylist()]], schema=_OUT)
@@ -176,6 +179,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    @releasing
     def run(batches):
         for b in batches:
             keep = [known.value.score(t or "") < threshold for t in b.column(at).to_pylist()]
