@@ -103,14 +103,18 @@ def releasing(f):
         try:
             yield from f(batches, *args, **kwargs)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release_memory()
 
     return run
 
 
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Bloom filters
 
 

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, releasing, table
+from graphloom.llm.common import few_tasks, release_memory, releasing, table
 
 SIZES = (3, 4, 5, 6, 7)
 BITS = 20
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of the id.
 SAMPLE = 12_000
-FEATURES = 20_000
+FEATURES = 10_000
 THRESHOLD = 0.3
 _WHITE = re.compile(rb"[\x00-\x20]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -151,6 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     w, bias = fit_logistic(x, np.array([r["y"] for r in got], float), ratio[top])
     weights = np.zeros(1 << BITS, np.float32)
     weights[top] = w
+    del pos, neg, ratio, gain, got, x
+    release_memory()
     return ToxicityModel(weights, bias)
 
 
