@@ -561,14 +561,14 @@ def protocol_conformance(t):
 
 
 @query("""SELECT a.to_uid AS from_uid, b.to_uid AS to_uid, CASE WHEN base % 2 = 0 THEN 'IMPLEMENTS' ELSE 'OVERRIDES' END AS rel_type
-FROM (SELECT s_suppkey AS child, s_suppkey % 10 + 1 AS base FROM supplier WHERE s_suppkey > 20) i JOIN defines a ON a.from_uid = 's:' || child JOIN part x ON 'p:' || x.p_partkey = a.to_uid
-JOIN defines b ON b.from_uid = 's:' || base JOIN part y ON 'p:' || y.p_partkey = b.to_uid AND y.p_type = x.p_type""")
+FROM (SELECT s_suppkey AS child, s_suppkey % 10 + 1 AS base FROM supplier WHERE s_suppkey > 10) i JOIN defines a ON a.from_uid = 's:' || child JOIN part x ON 'p:' || x.p_partkey = a.to_uid
+JOIN defines b ON b.from_uid = 's:' || base JOIN part y ON 'p:' || y.p_partkey = b.to_uid AND y.p_brand = x.p_brand""")
 def member_overrides(t):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     k = F.col("s_suppkey")
-    base = t.supplier.where("s_suppkey > 20").select(text("s:", k).alias("from_uid"), text("s:", k % 10 + 1).alias("to_uid"))
+    base = t.supplier.where("s_suppkey > 10").select(text("s:", k).alias("from_uid"), text("s:", k % 10 + 1).alias("to_uid"))
     types = t.supplier.select(text("s:", k).alias("uid"), F.col("s_name").alias("name"), F.when(k % 2 == 0, "interface").otherwise("class").alias("kind"))
-    parts = t.part.select(text("p:", F.col("p_partkey")).alias("uid"), F.col("p_type").alias("name"), F.lit("method").alias("kind"))
+    parts = t.part.select(text("p:", F.col("p_partkey")).alias("uid"), F.col("p_brand").alias("name"), F.lit("method").alias("kind"))
     return R.overrides(base, defines(t), types.unionByName(parts))
 
 
