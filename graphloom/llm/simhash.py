@@ -193,6 +193,8 @@ PARTS, PART_SIZE = 24, 3
 SAMPLE = 4096
 #: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
 LOOSE_TAU, LOOSE_SEGMENTS = 24, 8
+#: Rows of a candidate group that are compared with as many others at once.
+BLOCK_ROWS = 2048
 
 
 def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -230,6 +232,66 @@ def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
     return float(np.isin(shared, both).sum() / max(1, len(both)))
 
 
+def similar_pairs(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar to ``similarity`` or more."""
+
+    @releasing
+    def verify(batches):
+        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
+            a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
+            ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
+            yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    # only the samples of texts that are in a pair are shuffled
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = with_ids(sig.select("doc_id", "n", "sample"), ids, "doc_id")
+    left, right = (wanted.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sample"))) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sample_a", "sample_b", "n_a", "n_b")
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def _unlinked_of_sorted(batches):
+    """Rows (part, value, lo, hi, block, doc_id, fp, root) sorted by the first four: pairs of a group, one of block
+    ``lo`` and one of ``hi``, with different roots and fingerprints in reach. The ring lets all of these through."""
+
+    def pairs(cols):
+        lo, hi, block, doc, fp, root = cols[2:]
+        at = np.r_[0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) + 1, len(doc)]
+        for s, e in zip(at, at[1:], strict=False):
+            x, y = s + np.flatnonzero(block[s:e] == lo[s]), s + np.flatnonzero(block[s:e] == hi[s])
+            for k, one in enumerate(x):
+                other = y[k + 1 :] if lo[s] == hi[s] else y
+                other = other[root[other] != root[one]]
+                hit = other[np.bitwise_count((fp[other] ^ fp[one]).view(np.uint64)) <= LOOSE_TAU]
+                if len(hit):
+                    yield pa.record_batch([np.minimum(doc[hit], doc[one]), np.maximum(doc[hit], doc[one])], schema=_LINK)
+
+    keep = [np.zeros(0, np.int64)] * 8
+    for batch in batches:
+        cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(keep)]
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) if len(cols[0]) else []
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield from pairs([x[:cut] for x in cols])
+        keep = [x[cut:] for x in cols]
+    if len(keep[0]):
+        yield from pairs(keep)
+
+
+def unlinked_pairs(shared: DataFrame, sig: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a part and are in different components of ``parts`` (node, root). Groups of one component are
+    done; of the others blocks of rows are compared with blocks, each pair of blocks on its own."""
+    rooted = shared.select("part", "value", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = stored(rooted, "near-rooted")
+    left = rooted.groupBy("part", "value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("first != last")
+    blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("long")
+    rows = rooted.join(left.select("part", "value", blocks.alias("blocks")), ["part", "value"]).join(sig.select("doc_id", "fp"), "doc_id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select(F.col("part").cast("long"), "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "fp", "root")
+    group = ["part", "value", "lo", "hi"]
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(releasing(_unlinked_of_sorted), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id of every document that is like another one: the components of documents whose sets of
     ``width``-word shingles are similar to ``similarity`` or more, and the smallest id of each.
@@ -237,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     A 64-bit fingerprint cannot be indexed at the distance that belongs to 0.8, so candidates share a part of
     the shingle set instead; the ring of the fingerprint's segments prunes them before the sets are compared. In
     each group of candidates all are compared with its hub, the text with most shared parts, and with its
-    smallest id, never with each other. Null ids take no part; texts without a word are alike.
+    smallest id; then all pairs of a group that this has not connected are. Null ids take no part; texts without a word are alike.
     """
 
     @releasing
@@ -269,20 +331,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     pruned = stored(pruned.select("a", "b", "fp_a", "fp_b").mapInArrow(ring, "a long, b long, fp_a long, fp_b long").select("a", "b"), "near-pairs")
 
-    @releasing
-    def verify(batches):
-        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
-            a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
-            ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
-            yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    # only the samples of texts that are in a pair are shuffled
-    ids = pruned.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = with_ids(sig.select("doc_id", "n", "sample"), ids, "doc_id")
-    left, right = (wanted.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sample"))) for c in "ab")
-    both = pruned.join(left, "a").join(right, "b").select("a", "b", "sample_a", "sample_b", "n_a", "n_b")
-    links = both.mapInArrow(verify, "a long, b long")
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    links = similar_pairs(pruned, sig, similarity)
+    parts = stored(connected_components(links), "near-parts")
+    more = stored(unlinked_pairs(shared, sig, parts), "near-unlinked")
+    known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return connected_components(known.unionByName(similar_pairs(more, sig, similarity))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,6 +164,47 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.where("false")).count() == 0
 
 
+def brute_components(rows, similarity=0.8, width=5):
+    """Smallest id of each text's component over all pairs of whole shingle sets."""
+    sets = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} for i, t in rows if (w := t.lower().split())}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def near_components(spark, rows):
+    from graphloom.llm.simhash import near_duplicates
+
+    got = {r.doc_id: r.keep_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {i: got.get(i, i) for i, _ in rows}
+
+
+def test_near_duplicates_without_original(spark, monkeypatch):
+    import graphloom.llm.simhash as S
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 64, raising=False)
+    rnd, base = random.Random(3), prose(random.Random(2), 100).split()
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for k in rnd.sample(range(100), rnd.choice([1, 2])):
+            w[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(w)))
+    want = brute_components(rows)
+    assert len(set(want.values())) < 20
+    assert near_components(spark, rows) == want
+
+
 ODD = ["", "   ", "it's we're 'sam 'LL '' x    12³½ é́ İSTANBUL ΣΑΣ <|startoftext|>x<|endoftext|>", "a" * 3000, "ab" * 800 + " " * 100 + "x▁▁", "日本語🎉\x00\x85", "\n\n\t\t  code", "!!!???—''“”", "   a   b  "]
 
 
