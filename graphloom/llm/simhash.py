@@ -189,6 +189,10 @@ def simhash_components(docs: DataFrame, width: int = 3, tau: int = TAU, id_col:
 
 #: Parts of a shingle set that are looked up, and shingles that a part is made for at least.
 PARTS, PART_SIZE = 24, 3
+#: Sets of at most so many shingles are looked up by single rare shingles: beyond, there are 24 parts.
+SMALL = 108
+#: Sets of so few shingles have fingerprints that tell too little; all their candidates are compared.
+SPARSE = 32
 #: Hashes that a text's sample of its shingle set holds: the smallest ones; exact for smaller sets.
 SAMPLE = 4096
 #: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
@@ -202,8 +206,10 @@ def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
 
     A shingle belongs to part ``hash mod 2 ** level``; the level follows from the set's size, and a size near
     a border uses both levels, so sets within ``similarity`` of each other share one. Parts without a
-    difference are equal, and the smallest difference is spread over many parts.
+    difference are equal. Sets of at most ``SMALL`` shingles have too few parts for that and get none.
     """
+    if len(h) <= SMALL:
+        return []
     x = np.log2(max(len(h) / PART_SIZE, 1))
     slack = -np.log2(similarity) / 2 + 0.01
     out = []
@@ -216,8 +222,20 @@ def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sample", pa.binary()), ("parts", pa.list_(pa.struct([("part", pa.int32()), ("value", pa.int64())])))])
-_SIG_SQL = "doc_id long, fp long, n long, sample binary, parts array<struct<part:int,value:long>>"
+_PARTS = pa.list_(pa.struct([("part", pa.int32()), ("value", pa.int64())]))
+_SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sample", pa.binary()), ("parts", _PARTS), ("small", pa.list_(pa.int64()))])
+_SIG_SQL = "doc_id long, fp long, n long, sample binary, parts array<struct<part:int,value:long>>, small array<long>"
+
+
+def prefix_keys(sig: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, part -2, value): of each set in ``small`` the first n - ceil(similarity * n) + 1 shingles, rarest first, that
+    another set has too. Two sets within ``similarity`` share one of these, whatever their size."""
+    rows = sig.select("doc_id", F.size("small").alias("n"), F.explode("small").alias("value"))
+    often = stored(rows.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-often")
+    ranked = rows.join(often, "value").groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "value"))).alias("x"))
+    # shingles of one set alone come first, and need no key
+    keep = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - (F.col("n") - F.size("x"))
+    return ranked.where(keep > 0).select("doc_id", F.explode(F.slice("x", F.lit(1), keep)).alias("x")).select("doc_id", F.lit(-2).alias("part"), "x.value")
 
 
 def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
@@ -250,23 +268,24 @@ def similar_pairs(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFr
     return both.mapInArrow(verify, "a long, b long")
 
 
-def _unlinked_of_sorted(batches):
-    """Rows (part, value, lo, hi, block, doc_id, fp, root) sorted by the first four: pairs of a group, one of block
-    ``lo`` and one of ``hi``, with different roots and fingerprints in reach. The ring lets all of these through."""
+def _unlinked_of_sorted(batches, similarity: float):
+    """Rows (part, value, lo, hi, block, doc_id, fp, root, n) sorted by the first four: pairs of a group, one of block ``lo`` and
+    one of ``hi``, with different roots, sizes and fingerprints in reach. The ring lets all of these through."""
 
     def pairs(cols):
-        lo, hi, block, doc, fp, root = cols[2:]
+        lo, hi, block, doc, fp, root, n = cols[2:]
         at = np.r_[0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) + 1, len(doc)]
         for s, e in zip(at, at[1:], strict=False):
             x, y = s + np.flatnonzero(block[s:e] == lo[s]), s + np.flatnonzero(block[s:e] == hi[s])
             for k, one in enumerate(x):
                 other = y[k + 1 :] if lo[s] == hi[s] else y
-                other = other[root[other] != root[one]]
-                hit = other[np.bitwise_count((fp[other] ^ fp[one]).view(np.uint64)) <= LOOSE_TAU]
+                size = np.minimum(n[other], n[one])
+                open_ = (root[other] != root[one]) & (size >= similarity * np.maximum(n[other], n[one]) - 1e-6)
+                hit = other[open_ & ((size <= SPARSE) | (np.bitwise_count((fp[other] ^ fp[one]).view(np.uint64)) <= LOOSE_TAU))]
                 if len(hit):
                     yield pa.record_batch([np.minimum(doc[hit], doc[one]), np.maximum(doc[hit], doc[one])], schema=_LINK)
 
-    keep = [np.zeros(0, np.int64)] * 8
+    keep = [np.zeros(0, np.int64)] * 9
     for batch in batches:
         cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(keep)]
         change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) if len(cols[0]) else []
@@ -278,18 +297,18 @@ def _unlinked_of_sorted(batches):
         yield from pairs(keep)
 
 
-def unlinked_pairs(shared: DataFrame, sig: DataFrame, parts: DataFrame) -> DataFrame:
+def unlinked_pairs(shared: DataFrame, sig: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that share a part and are in different components of ``parts`` (node, root). Groups of one component are
     done; of the others blocks of rows are compared with blocks, each pair of blocks on its own."""
     rooted = shared.select("part", "value", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     rooted = stored(rooted, "near-rooted")
     left = rooted.groupBy("part", "value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("first != last")
     blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("long")
-    rows = rooted.join(left.select("part", "value", blocks.alias("blocks")), ["part", "value"]).join(sig.select("doc_id", "fp"), "doc_id")
+    rows = rooted.join(left.select("part", "value", blocks.alias("blocks")), ["part", "value"]).join(sig.select("doc_id", "fp", "n"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(F.col("part").cast("long"), "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "fp", "root")
+    rows = rows.select(F.col("part").cast("long"), "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "fp", "root", "n")
     group = ["part", "value", "lo", "hi"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(releasing(_unlinked_of_sorted), "a long, b long").distinct()
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(releasing(lambda it: _unlinked_of_sorted(it, similarity)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,30 +329,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                 all_ = shingle_hashes(t or "", width)
                 h = np.unique(all_)
                 sample = np.sort(np.unique((mix64(h) >> np.uint64(32)).astype(np.uint32)))[:SAMPLE]
-                rows.append((np.uint64(simhash(all_)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in part_keys(h, similarity)] or [{"part": -1, "value": 0}]))
-            yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), [], [], [], []], schema=_SIG)
+                small = h.view(np.int64).tolist() if len(h) * similarity <= SMALL else []
+                rows.append((np.uint64(simhash(all_)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in (part_keys(h, similarity) if len(h) else [(-1, 0)])], small))
+            yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), *[[]] * 5], schema=_SIG)
 
     base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")
     sig = stored(base.mapInArrow(run, _SIG_SQL), "near-signatures")
-    keys = sig.select("doc_id", F.explode("parts").alias("x")).select("doc_id", "x.part", "x.value")
+    keys = sig.select("doc_id", F.explode("parts").alias("x")).select("doc_id", "x.part", "x.value").unionByName(prefix_keys(sig, similarity))
     shared = stored(keys.join(keys.groupBy("part", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), ["part", "value"]), "near-shared")
     score = shared.groupBy("doc_id").agg(F.sum("c").alias("score"))
     scored = shared.select("doc_id", "part", "value").join(score, "doc_id")
     hubs = scored.groupBy("part", "value").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"))).alias("hub"), F.min("doc_id").alias("least"))
     pairs = scored.join(hubs, ["part", "value"]).select(F.explode(F.array_distinct(F.array(-F.col("hub.d"), "least"))).alias("a"), F.col("doc_id").alias("b")).where("a != b").distinct()
-    left, right = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    left, right = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     pruned = pairs.join(left, "a").join(right, "b")
 
     def ring(batches):
         for b in batches:
             x = (b.column(2).to_numpy() ^ b.column(3).to_numpy()).view(np.uint64)
-            yield b.filter(pa.array(near(x, LOOSE_SEGMENTS, LOOSE_TAU)))
+            yield b.filter(pa.array(near(x, LOOSE_SEGMENTS, LOOSE_TAU) | (b.column(4).to_numpy() <= SPARSE)))
 
-    pruned = stored(pruned.select("a", "b", "fp_a", "fp_b").mapInArrow(ring, "a long, b long, fp_a long, fp_b long").select("a", "b"), "near-pairs")
+    pruned = pruned.select("a", "b", "fp_a", "fp_b", F.least("n_a", "n_b").alias("n"))
+    pruned = stored(pruned.mapInArrow(ring, "a long, b long, fp_a long, fp_b long, n long").select("a", "b"), "near-pairs")
 
     links = similar_pairs(pruned, sig, similarity)
     parts = stored(connected_components(links), "near-parts")
-    more = stored(unlinked_pairs(shared, sig, parts), "near-unlinked")
+    more = stored(unlinked_pairs(shared, sig, parts, similarity), "near-unlinked")
     known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return connected_components(known.unionByName(similar_pairs(more, sig, similarity))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 

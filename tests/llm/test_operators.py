@@ -205,6 +205,17 @@ def test_near_duplicates_without_original(spark, monkeypatch):
     assert near_components(spark, rows) == want
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rnd, rows, pairs = random.Random(4), [], []
+    for size, shared in [(8, 8), (9, 9)] * 10 + [(12, 12), (13, 12), (14, 13), (20, 20), (22, 20), (40, 37), (110, 98), (111, 100)] * 6:
+        w = [f"w{rnd.randrange(10**9)}" for _ in range(size)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:shared], f"end{len(rows)}"]))]
+        pairs.append(len(rows) - 2)
+    want = brute_components(rows)
+    assert sum(want[i + 1] == i for i in pairs) > 40
+    assert near_components(spark, rows) == want
+
+
 ODD = ["", "   ", "it's we're 'sam 'LL '' x    12³½ é́ İSTANBUL ΣΑΣ <|startoftext|>x<|endoftext|>", "a" * 3000, "ab" * 800 + " " * 100 + "x▁▁", "日本語🎉\x00\x85", "\n\n\t\t  code", "!!!???—''“”", "   a   b  "]
 
 
