@@ -193,8 +193,11 @@ PARTS, PART_SIZE = 24, 3
 SMALL = 108
 #: Sets of so few shingles have fingerprints that tell too little; all their candidates are compared.
 SPARSE = 32
-#: Hashes that a text's sample of its shingle set holds: the smallest ones; exact for smaller sets.
-SAMPLE = 4096
+#: Hashes that a text's sample of its shingle set holds: the smallest ones; exact for smaller sets. An estimate from
+#: samples decides beyond ``CLEAR`` (eight standard errors) of the similarity asked for only.
+SAMPLE, CLEAR = 4096, 0.05
+#: Hashes that a slice of a whole set holds on average.
+SLICE_HASHES = 1024
 #: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
 LOOSE_TAU, LOOSE_SEGMENTS = 24, 8
 #: Rows of a candidate group that are compared with as many others at once.
@@ -250,22 +253,57 @@ def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
     return float(np.isin(shared, both).sum() / max(1, len(both)))
 
 
-def similar_pairs(pairs: DataFrame, sig: DataFrame, similarity: float) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sig: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar to ``similarity`` or more."""
 
     @releasing
     def verify(batches):
         for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
             a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
-            ok = [sample_similarity(*v) >= similarity for v in zip(x, y, n, m, strict=True)]
-            yield pa.record_batch([a, c], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            like = np.array([sample_similarity(*v) for v in zip(x, y, n, m, strict=True)])
+            slack = np.where(np.maximum(n, m) > SAMPLE, CLEAR, 0.0)
+            out = pa.record_batch([a, c, np.maximum(n, m).astype(np.int64), like >= similarity + slack], names=["a", "b", "n", "sure"])
+            yield out.filter(pa.array(like >= similarity - slack, pa.bool_()))
 
     # only the samples of texts that are in a pair are shuffled
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = with_ids(sig.select("doc_id", "n", "sample"), ids, "doc_id")
     left, right = (wanted.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "sample"))) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sample_a", "sample_b", "n_a", "n_b")
-    return both.mapInArrow(verify, "a long, b long")
+    found = stored(both.mapInArrow(verify, "a long, b long, n long, sure boolean"), "near-verified")
+    sure, open_ = found.where("sure").select("a", "b"), found.where("NOT sure")
+    most = open_.agg(F.max("n")).first()[0]
+    return sure if most is None else sure.unionByName(whole_similar(open_.select("a", "b").distinct(), base, most, width, similarity))
+
+
+def whole_similar(pairs: DataFrame, base: DataFrame, most: int, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets of 64-bit hashes, of at most ``most``, are similar to ``similarity`` or more. Sets are cut
+    in slices by their hashes' first bits, so that no row grows with its text."""
+    bits = max(1, int(np.ceil(np.log2(most / SLICE_HASHES))))
+
+    @releasing
+    def run(batches):
+        for b in (part.slice(i, 20) for part in batches for i in range(0, part.num_rows, 20)):
+            for i, key, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                h = np.unique(shingle_hashes(t or "", width))
+                part, at = np.unique(h >> np.uint64(64 - bits), return_index=True)
+                hashes = [x.tobytes() for x in np.split(h, at[1:])] if len(h) else []
+                yield pa.record_batch([pa.array([x] * len(part), pa.int64()) for x in (i, key, len(h))] + [pa.array(part.astype(np.int64)), pa.array(hashes, pa.binary())], names=["doc_id", "key", "n", "slice", "hashes"])
+
+    @releasing
+    def common(batches):
+        for b in batches:
+            n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(b.column(6), b.column(7), strict=True)]
+            yield pa.record_batch([*(b.column(c) for c in range(6)), pa.array(n, pa.int64())], names=["a", "b", "key_a", "key_b", "n_a", "n_b", "shared"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = with_ids(base, ids, "doc_id").toDF("doc_id", "text").select("doc_id", F.xxhash64("text"), "text")
+    slices = stored(texts.mapInArrow(run, "doc_id long, key long, n long, slice long, hashes binary"), "near-slices").dropDuplicates(["doc_id", "key", "slice"])
+    left, right = (slices.select(F.col("doc_id").alias(c), "slice", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "n", "hashes"))) for c in "ab")
+    both = pairs.join(left, "a").join(right, ["b", "slice"]).select("a", "b", "key_a", "key_b", "n_a", "n_b", "hashes_a", "hashes_b")
+    shared = both.mapInArrow(common, "a long, b long, key_a long, key_b long, n_a long, n_b long, shared long")
+    total = shared.groupBy("a", "b", "key_a", "key_b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
+    return total.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= similarity).select("a", "b").distinct()
 
 
 def _unlinked_of_sorted(batches, similarity: float):
@@ -352,11 +390,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     pruned = pruned.select("a", "b", "fp_a", "fp_b", F.least("n_a", "n_b").alias("n"))
     pruned = stored(pruned.mapInArrow(ring, "a long, b long, fp_a long, fp_b long, n long").select("a", "b"), "near-pairs")
 
-    links = similar_pairs(pruned, sig, similarity)
+    links = similar_pairs(pruned, sig, base, width, similarity)
     parts = stored(connected_components(links), "near-parts")
     more = stored(unlinked_pairs(shared, sig, parts, similarity), "near-unlinked")
     known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(known.unionByName(similar_pairs(more, sig, similarity))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    return connected_components(known.unionByName(similar_pairs(more, sig, base, width, similarity))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

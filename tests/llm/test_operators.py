@@ -216,6 +216,18 @@ def test_near_duplicates_of_short_texts(spark):
     assert near_components(spark, rows) == want
 
 
+def test_near_duplicates_of_long_texts(spark):
+    rnd, rows, want = random.Random(6), [], {}
+    for k, size in enumerate([4500, 5000, 9000, 20000] * 3):
+        w = [f"w{rnd.randrange(10**9)}" for _ in range(size + 4)]
+        # of ``size`` shingles each the last ``other`` differ; similar from a ninth on
+        other = size // 9 + k % 2
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-other] + [f"end{i}" for i in range(other)]))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if (size - other) >= 0.8 * (size + other) else 2 * k + 1}
+    assert sum(want[i] != i for i in want) == 6
+    assert near_components(spark, rows) == want
+
+
 ODD = ["", "   ", "it's we're 'sam 'LL '' x    12³½ é́ İSTANBUL ΣΑΣ <|startoftext|>x<|endoftext|>", "a" * 3000, "ab" * 800 + " " * 100 + "x▁▁", "日本語🎉\x00\x85", "\n\n\t\t  code", "!!!???—''“”", "   a   b  "]
 
 
