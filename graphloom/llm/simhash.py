@@ -364,11 +364,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
         for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
             rows = []
             for t in b.column(1).to_pylist():
-                all_ = shingle_hashes(t or "", width)
-                h = np.unique(all_)
+                h = np.unique(shingle_hashes(t or "", width))
                 sample = np.sort(np.unique((mix64(h) >> np.uint64(32)).astype(np.uint32)))[:SAMPLE]
                 small = h.view(np.int64).tolist() if len(h) * similarity <= SMALL else []
-                rows.append((np.uint64(simhash(all_)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in (part_keys(h, similarity) if len(h) else [(-1, 0)])], small))
+                rows.append((np.uint64(simhash(h)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in (part_keys(h, similarity) if len(h) else [(-1, 0)])], small))
             yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), *[[]] * 5], schema=_SIG)
 
     base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")

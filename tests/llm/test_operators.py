@@ -228,6 +228,14 @@ def test_near_duplicates_of_long_texts(spark):
     assert near_components(spark, rows) == want
 
 
+def test_near_duplicates_with_repeats(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(0, 80, 2):
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(450)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:400] + words[400:] * 100))]
+    assert near_components(spark, rows) == {i: i - i % 2 for i, _ in rows}
+
+
 ODD = ["", "   ", "it's we're 'sam 'LL '' x    12³½ é́ İSTANBUL ΣΑΣ <|startoftext|>x<|endoftext|>", "a" * 3000, "ab" * 800 + " " * 100 + "x▁▁", "日本語🎉\x00\x85", "\n\n\t\t  code", "!!!???—''“”", "   a   b  "]
 
 
