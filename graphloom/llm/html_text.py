@@ -42,7 +42,7 @@ class Node:
     tag: str
     parent: Node | None
     boiler: bool
-    article: bool
+    article: Node | None  #: the outermost article or main element that holds it
 
 
 @dataclass
@@ -72,7 +72,7 @@ class LineParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", None, False, False)
+        self.root = Node("", None, False, None)
         self.stack = [self.root]
         self.raw: list[str] = []
         self.links = 0
@@ -108,8 +108,10 @@ class LineParser(HTMLParser):
                 self.stack.pop()
             above = self.stack[-1]
             known = dict(attrs)
-            in_article = above.article or tag in ("article", "main") or (known.get("role") or "") == "main"
-            self.stack.append(Node(tag, above, above.boiler or _boilerplate(tag, known, above.article), in_article))
+            node = Node(tag, above, above.boiler or _boilerplate(tag, known, above.article is not None), above.article)
+            if node.article is None and (tag in ("article", "main") or (known.get("role") or "") == "main"):
+                node.article = node
+            self.stack.append(node)
         self._break()
 
     def _close_implied(self, tag: str) -> None:
@@ -181,10 +183,9 @@ def threshold(values: list[float]) -> float:
 def main_text(html: str, sigma: float = 1.0) -> str:
     """The page's main text, blocks joined by a newline.
 
-    Lines of content are those of the upper cluster. If some stand inside an article or main element, all
-    lines inside such elements are the content, however short; else each line of the upper
-    cluster brings the lines of its block, and headings right before it. Boilerplate containers never
-    count.
+    Lines of content are those of the upper cluster. One that stands inside an article or main element brings
+    all lines of the outermost such element, however short; another one brings the lines of its block, and
+    headings right before it. Boilerplate containers never count.
     """
     parser = LineParser()
     parser.feed(html)
@@ -201,11 +202,8 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     smooth = dict(zip(map(id, lines), gaussian(ratio, sigma), strict=True))
     cut = threshold(list(smooth.values()))
     upper = [x for x in usable if smooth[id(x)] > cut and x.linked * 2 <= len(x.text)] or [max(usable, key=lambda x: len(x.text) - x.linked)]
-    if any(x.node.article for x in upper) or any(x.node.article for x in usable):
-        chosen = [x for x in usable if x.node.article]
-    else:
-        blocks = {id(x.node.parent or x.node) for x in upper}
-        chosen = [x for x in usable if id(x.node.parent or x.node) in blocks and x.linked * 2 <= len(x.text)]
+    regions = {id(x.node.article or x.node.parent or x.node) for x in upper}
+    chosen = [x for x in usable if id(x.node.article or x.node.parent or x.node) in regions and (x.node.article or x.linked * 2 <= len(x.text))]
     return "\n".join(x.text for x in chosen)
 
 

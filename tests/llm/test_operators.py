@@ -377,6 +377,16 @@ def test_html(spark):
     assert threshold([1, 1, 9, 9]) == 5 and threshold([2, 2]) < 2 and abs(sum(gaussian([0, 0, 3, 0, 0, 0, 0], 0.5)) - 3) < 0.01
 
 
+def test_html_regions():
+    from graphloom.llm.html_text import main_text
+
+    story = "<div id=story><h2>Head</h2><p>" + "Long text of the story. " * 20 + "</p><p>" + "More of the story text. " * 15 + "</p></div>"
+    teaser = "<article><h3>Next</h3><p>Read on</p></article>"
+    page = f"<body><div><a href=x>one</a> <a href=y>two</a></div>{story}<p><a href=z>more</a></p><p>x</p><p>y</p>{teaser}</body>"
+    assert main_text(page).startswith("Head\nLong text") and "More of the story" in main_text(page) and "Read on" not in main_text(page)
+    assert main_text(page.replace("Read on", "A second story. " * 30)).count("story") == 65
+
+
 def test_toxicity(spark):
     from graphloom.llm.toxicity import held_out, toxicity_scores, train, without_toxic
 
