@@ -1,7 +1,8 @@
 """Operator 8, benchmark decontamination by template windows.
 
 Texts and benchmark items are canonicalised: numbers, units and names become typed placeholders, whose values are
-kept as slots. Windows of five template tokens are hash-joined with those of the items. An item is
+kept as slots. A capitalised word that starts a sentence may be a name or not: texts and items are read both
+ways. Windows of five template tokens are hash-joined with those of the items. An item is
 found in a text when at least 0.8 of its distinct windows occur there and the slots agree: one slot
 value of the item always stands for one value of the text, so a question with other numbers is caught
 while a coincidence of placeholders is not.
@@ -35,6 +36,16 @@ _UNITS = frozenset(
     "month months year years dollar dollars euro euros pound pounds cent cents mile miles meter meters metre metres kilometer "
     "kilometers inch inches foot feet gram grams kilogram kilograms liter liters litre litres percent degree degrees".split()
 )
+#: Words that are no name where they start a sentence (English, Spanish, German, French).
+_COMMON = frozenset(
+    "a about after all also although an and another any are as at because before both but by can could did do does during each every few first for from given had has have he her here his "
+    "how however i if in into is it its just last let many more most much my next no not now of on once one only or other our she should since so some such than that the their then there these they "
+    "this those to today under until was we were what when where which while who whom whose why will with would yes yet you your "
+    "al como cuando cuántas cuántos cuál cuánto de del después dos e el ella ellos en entonces es esta este hay la las le lo los más no para pero por porque qué quién se si sin su sus también un una unos y ya "
+    "aber alle als am an auch auf aus bei bis da dann das dass dem den der des die dies diese dieser ein eine einem einen einer er es für hat ihr im in ist ja jede jeder man mit nach nicht noch nun nur ob oder "
+    "sein sich sie sind so über um und von vor wann warum was welche welcher wenn wer wie wieviel wir wird wo zu zum zur "
+    "au aux avec ce ces cette chaque combien comme dans des donc du elle elles est et il ils je l'on leur leurs lorsque mais ne nous on ou où par pas pour pourquoi quand que quel quelle qui sa ses si son sont sur tous tout une vous".split()
+)
 
 
 def lowered(t: str) -> str:
@@ -42,11 +53,12 @@ def lowered(t: str) -> str:
     return t.lower() if t.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
+def canonical(text: str, starts: bool = False) -> tuple[list[str], list[str]]:
     """Template tokens and the value behind each ('' for plain words).
 
     A token that starts with a digit is ``<num>``, a unit right after one ``<unit>``, a capitalised word
-    inside a sentence ``<name>``. A capitalised word that starts a sentence or has no small letter is plain.
+    inside a sentence ``<name>``. A capitalised word without a small letter is plain; one that starts a sentence
+    is, too, unless ``starts`` and it is no common word.
     """
     template, values = [], []
     start = True
@@ -62,7 +74,7 @@ def canonical(text: str) -> tuple[list[str], list[str]]:
         elif low in _UNITS and template and template[-1] == NUM:
             template.append(UNIT)
             values.append(low)
-        elif not start and c.isupper() and any(map(str.islower, t)):
+        elif c.isupper() and any(map(str.islower, t)) and (not start or starts and low not in _COMMON):
             template.append(NAME)
             values.append(low)
         else:
@@ -101,7 +113,8 @@ def word_hash(word: str) -> int:
 
 def block_tokens(texts: list[str]):
     """(text number, hash of the lower-cased token, class) of all template tokens of some texts, as arrays.
-    Tokens are those of ``canonical``; class: 1 starts with a digit, 2 capitalised inside a sentence."""
+    Tokens are those of ``canonical``; class: 1 starts with a digit, 2 capitalised
+    inside a sentence, 4 at its start."""
     kind, low = character_tables()
     cp = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     k = kind[cp]
@@ -119,9 +132,9 @@ def block_tokens(texts: list[str]):
     small = np.cumsum(np.r_[0, (k & _LOWER) > 0])
     marks = np.cumsum(mark)
     begins = np.r_[True, marks[first[1:]] > marks[first[:-1]]] if len(first) else np.zeros(0, bool)
-    capital = ((k[first] & _UPPER) > 0) & (small[last] > small[first]) & ~begins
+    capital = ((k[first] & _UPPER) > 0) & (small[last] > small[first])
     ends = np.cumsum([1, *(len(t) + 1 for t in texts)])
-    return np.searchsorted(ends, first, "right") - 1, h, digit[first] * 1 | capital * 2
+    return np.searchsorted(ends, first, "right") - 1, h, digit[first] * 1 | (capital & ~begins) * 2 | (capital & begins) * 4
 
 
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
@@ -143,30 +156,41 @@ class Templates:
     def __init__(self, items: list[tuple[int, str]], width: int, similarity: float):
         self.width, self.similarity = width, similarity
         self.words: dict[str, int] = {}
-        self.by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        #: by reading: sentence starts as plain words, and as names
+        self.by_hash: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list), defaultdict(list)]
         self.items = []
         for item_id, text in items:
-            template, values = canonical(text)
-            if not template:
-                continue
-            ids = np.array([self.words.setdefault(t, len(self.words) + 1) for t in template])
-            h = windows(ids, width)
-            where = len(self.items)
-            self.items.append((item_id, len(set(h.tolist())), template, values))
-            for i, x in enumerate(h.tolist()):
-                self.by_hash[x].append((where, i))
+            where, readings = len(self.items), []
+            for starts, by_hash in enumerate(self.by_hash):
+                template, values = canonical(text, bool(starts))
+                if not template:
+                    break
+                ids = np.array([self.words.setdefault(t, len(self.words) + 1) for t in template])
+                h = windows(ids, width)
+                readings.append((len(set(h.tolist())), template, values))
+                # of an item shorter than a window, little but a name would be left
+                for i, x in enumerate(h.tolist() if len(template) >= width or not starts else []):
+                    by_hash[x].append((where, i))
+            if readings:
+                self.items.append((item_id, readings))
         plain = [w for w in self.words if w[0] != "<"]
         known = np.array([word_hash(w) for w in plain], np.uint64)
         by = np.argsort(known)
         self.word_hashes, self.word_ids = known[by], np.array([self.words[w] for w in plain], np.int64)[by]
         self.unit_hashes = np.sort(np.array([word_hash(w) for w in _UNITS], np.uint64))
-        self.hashes = np.sort(np.fromiter(self.by_hash, np.uint64, len(self.by_hash)))
-        self.short = sorted({len(t) for _, _, t, _ in self.items if len(t) < width})
+        self.common_hashes = np.sort(np.array([word_hash(w) for w in _COMMON], np.uint64))
+        self.hashes = [np.sort(np.fromiter(x, np.uint64, len(x))) for x in self.by_hash]
+        self.short = sorted({len(r[0][1]) for _, r in self.items if len(r[0][1]) < width})
 
-    def template_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def template_ids(self, texts: list[str], starts: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(text number, id) of the template tokens of some texts; id 0: in no item."""
-        of, h, kind = block_tokens(texts)
+        return self._ids(*block_tokens(texts), starts)
+
+    def _ids(self, of: np.ndarray, h: np.ndarray, kind: np.ndarray, starts: bool) -> tuple[np.ndarray, np.ndarray]:
         number, name = (kind & 1) > 0, (kind & 2) > 0
+        if starts:
+            first = np.flatnonzero(kind & 4)
+            name[first[~np.isin(h[first], self.common_hashes)]] = True
         ids = np.zeros(len(h), np.int64)
         if len(self.word_hashes):
             spot = np.minimum(np.searchsorted(self.word_hashes, h), len(self.word_hashes) - 1)
@@ -182,10 +206,18 @@ class Templates:
 
     def found_in(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text (item id, share of its windows) of the items that it holds."""
-        out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        if not len(self.hashes):
-            return out
-        of, ids = self.template_ids(texts)
+        best: list[dict[int, float]] = [{} for _ in texts]
+        if self.items:
+            tokens = block_tokens(texts)
+            for starts in (False, True):
+                self._read(texts, *self._ids(*tokens, starts), starts, best)
+        return [[(self.items[item][0], share) for item, share in found.items()] for found in best]
+
+    def _read(self, texts: list[str], of: np.ndarray, ids: np.ndarray, starts: bool, best: list[dict[int, float]]) -> None:
+        """Put the items found in one reading of the texts, and their shares, into ``best``."""
+        by_hash, hashes = self.by_hash[starts], self.hashes[starts]
+        if not len(hashes):
+            return
         begin = np.searchsorted(of, np.arange(len(texts) + 1))
         hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for width in [*self.short, self.width]:
@@ -200,21 +232,20 @@ class Templates:
             for i in range(width):
                 x = ids[at + i].astype(np.uint64) * _MULT[i]
                 h = (h ^ (x ^ (x >> np.uint64(31)))) * np.uint64(0xBF58476D1CE4E5B9)
-            spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            match = self.hashes[spot] == h
+            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            match = hashes[spot] == h
             for p, x in zip(at[match].tolist(), h[match].tolist(), strict=True):
-                for item, i in self.by_hash[x]:
+                for item, i in by_hash[x]:
                     hits[int(of[p])][item].append((i, p - int(begin[of[p]])))
         for number, items in hits.items():
-            template, values = canonical(texts[number])
+            template, values = canonical(texts[number], starts)
             for item, pairs in items.items():
-                item_id, total, t, v = self.items[item]
+                total, t, v = self.items[item][1][starts]
                 width = min(self.width, len(t))
                 pairs = [(i, p) for i, p in pairs if template[p : p + width] == t[i : i + width]]
                 share = self._consistent(pairs, total, t, v, values) if pairs else 0.0
                 if share >= self.similarity:
-                    out[number].append((item_id, share))
-        return out
+                    best[number][item] = max(share, best[number].get(item, 0.0))
 
     def _consistent(self, pairs, total: int, template: list[str], own: list[str], theirs: list[str]) -> float:
         """Largest share of the item's windows that one passage of the text covers with agreeing slots.

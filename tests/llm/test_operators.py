@@ -356,6 +356,19 @@ def test_decontamination(spark, docs, empty):
         assert ids.tolist() == want + want and of.tolist() == [0] * len(want) + [1] * len(want)
 
 
+def test_decontamination_of_names_at_sentence_starts():
+    from graphloom.llm.decontaminate import Templates, canonical
+
+    item = "Tom has 5 apples in his bag. Tom buys 7 more apples at the shop. Tom gives 3 apples to Anna. How many apples does Tom have now?"
+    t = Templates([(1, item)], 5, 0.8)
+    assert t.found_in([item, item.replace("Tom", "Peter"), item.replace("Tom", "Peter").replace("5", "8"), item.lower()])[:3] == [[(1, 1.0)]] * 3
+    assert t.found_in(["we know that " + item.replace("Tom", "Peter"), "First " + item]) == [[(1, 1.0)]] * 2
+    assert t.found_in([item.replace("Tom has", "Peter has").replace("Tom buys", "Clara buys").replace("Tom gives", "Emma gives")]) == [[]]
+    assert Templates([(1, "Paris")], 5, 0.8).found_in(["We saw Anna. Rome", "in paris"]) == [[], [(1, 1.0)]]
+    for text in [item, "Über 3 Days. Days 5. Days after. The 5 kg. Été a_b x1\nMary's"]:
+        assert t.template_ids([text], True)[1].tolist() == [t.words.get(x, 0) for x in canonical(text, True)[0]]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Site</a></header>
 <nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><div class="cookie-notice">We use cookies on this site to make it better for all.</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b>
