@@ -25,6 +25,9 @@ _BLOCKS = frozenset(
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _RAW = frozenset("script style noscript template svg math iframe object canvas textarea select button title head".split())
+#: What may stand in a head; anything else ends it. What holds a body start tag as text.
+_IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head".split())
+_HOLDS_BODY = frozenset("iframe template textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -75,6 +78,7 @@ class LineParser(HTMLParser):
         self.root = Node("", None, False, None)
         self.stack = [self.root]
         self.raw: list[str] = []
+        self.inner: list[str] = []  # blocks that are open inside raw elements
         self.links = 0
         self.lines = [Line(self.root)]
 
@@ -85,9 +89,13 @@ class LineParser(HTMLParser):
             self.lines[-1].node = self.stack[-1]
 
     def handle_starttag(self, tag, attrs):
+        if self.raw and (self.raw[-1] not in _HOLDS_BODY if tag == "body" else self.raw[-1] == "head" and tag not in _IN_HEAD):
+            self._leave_raw()
         if self.raw:
-            if tag not in _VOID and tag == self.raw[-1]:
+            if tag == self.raw[-1] or self.raw[-1] == "head" and tag in _RAW:
                 self.raw.append(tag)
+            elif tag in _BLOCKS and tag not in _VOID:
+                self.inner.append(tag)
             return
         if tag in _RAW:
             self.raw.append(tag)
@@ -97,8 +105,6 @@ class LineParser(HTMLParser):
             self.lines[-1].parts.append(" ")
         if tag == "a":
             self.links += 1
-        if tag == "body":
-            self.raw.clear()
         if tag not in _BLOCKS:
             return
         if tag != "hr":
@@ -114,6 +120,22 @@ class LineParser(HTMLParser):
             self.stack.append(node)
         self._break()
 
+    def _leave_raw(self) -> None:
+        self.raw.clear()
+        self.inner.clear()
+
+    def _ends_raw(self, tag: str) -> bool:
+        """Close what an end tag closes among raw elements; whether it is that of a block around all of them."""
+        for opened in (self.inner, self.raw):
+            if tag in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(tag) :]
+                if not self.raw:
+                    self.inner.clear()
+                return False
+        if tag == "head" or tag in _BLOCKS and any(x.tag == tag for x in self.stack):
+            self._leave_raw()
+        return not self.raw and tag != "head"
+
     def _close_implied(self, tag: str) -> None:
         closes = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}[tag]
         while self.stack[-1].tag in closes:
@@ -127,11 +149,7 @@ class LineParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.raw:
-            if tag == self.raw[-1]:
-                self.raw.pop()
-            elif tag == "head":
-                self.raw.clear()
+        if self.raw and not self._ends_raw(tag):
             return
         self.lines[-1].tags += 1
         if tag == "a":
@@ -146,6 +164,8 @@ class LineParser(HTMLParser):
         self._break()
 
     def handle_data(self, data):
+        if self.raw == ["head"] and data.strip():
+            self._leave_raw()
         if self.raw:
             return
         line = self.lines[-1]

@@ -400,6 +400,21 @@ def test_html_regions():
     assert main_text(page.replace("Read on", "A second story. " * 30)).count("story") == 65
 
 
+def test_html_without_end_tags():
+    from graphloom.llm.html_text import main_text
+
+    story = "<p>" + "Long text of the story. " * 9 + "</p>"
+    want = main_text(f"<body>{story}</body>")
+    assert want.startswith("Long text")
+    for head in ("<head>", "<head><title>T</title>", "<head><meta charset=utf-8><script>var a = '<p>';</script><style>p{}</style>", "<head><noscript><img src=x>", "<head><title>T</title></head>"):
+        assert main_text(f"<html>{head}<body>{story}</body></html>") == want, head
+    assert main_text(f"<html><head><title>T</title>{story}") == want == main_text("<head><title>T</title>" + story[3:-4])
+    for raw in ("<button>Go", "<select><option>a<option>b", "<svg><path d=x>", "<noscript><div>no</div>"):
+        assert main_text(f"<body><div>{raw}</div>{story}</body>") == want, raw
+        assert main_text(f"<body><div>{raw}</{raw[1:].split('>')[0]}></div>{story}</body>") == want, raw
+    assert main_text(f"<body><div><svg><foreignObject><div>in</div> it</foreignObject></svg></div>{story}</body>") == want
+
+
 def test_toxicity(spark):
     from graphloom.llm.toxicity import held_out, toxicity_scores, train, without_toxic
 
