@@ -5,9 +5,11 @@ longest suffix read that can still grow into a vocabulary token, with the last t
 encoding at each place inside it. Every transition is annotated with the number of tokens by which the
 count changes, so a word's count is the sum along its path; no merge is ever run on a text.
 
-A long text is cut into chunks. White space sends every state back to the start, so a chunk's state map is
-either constant (it holds white space) or still open; ``ChunkMap`` composes associatively and
-``scan`` composes all chunks of a text pairwise, as a parallel prefix scan does.
+A long text is cut into chunks, at any place where no normalisation, contraction or special string reaches across:
+between two letters of a word, too. A chunk's state map takes the state that the transducer is in before it to the
+state after it and the tokens emitted between: what continues the open word is still to be run, what follows is
+known. ``ChunkMap`` composes associatively, by running the open state of one chunk over the head of the next, and
+``scan`` composes all chunks of a text pairwise, as a parallel prefix scan does; no text is joined again.
 """
 
 from __future__ import annotations
@@ -16,18 +18,21 @@ import json
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, table
+from graphloom.llm.common import few_tasks, releasing, slices, table
 
 LIMIT = 2048
 CHUNK = 1 << 16
 #: Words whose path sums are remembered; beyond it the memory starts anew.
-MEMO = 600_000
+MEMO = 300_000
+#: States that are kept; beyond it they are compiled anew as they are needed. A run adds one a byte at most.
+STATES = 100_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -37,6 +42,16 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class OpenWord:
+    """Where the transducer stands inside a word: its state (None: at the start) and the tokens counted before the last
+    byte, which is held back because the byte that ends a word is another symbol."""
+
+    state: tuple | None = None
+    count: int = 0
+    held: int | None = None
+
+
 class CountTransducer:
     """Counts the tokens that byte-pair merging gives for a word. Symbols are 0-255 for bytes and
     256-511 for a byte that ends the word; tokens are strings of such symbols."""
@@ -57,11 +72,23 @@ class CountTransducer:
             self.rank.setdefault((symbols(a), symbols(b)), i)
         self.tokens = {chr(i) for i in range(512)} | {a + b for a, b in self.rank}
         self.prefixes = {t[:i] for t in self.tokens for i in range(len(t) + 1)}
-        self.fits = lru_cache(1 << 20)(self._fits)
-        self.valid = lru_cache(1 << 18)(lambda t: self.merge(t) == [t])
-        self.states: dict[tuple, int] = {("", (None,), (0,)): 0}
-        self.keys = [("", (None,), (0,))]
-        self.next: list[dict[int, tuple[int, int]]] = [{}]
+        self.fits = lru_cache(1 << 17)(self._fits)
+        self.valid = lru_cache(1 << 17)(lambda t: self.merge(t) == [t])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.states: dict[tuple, int] = {}
+        self.keys: list[tuple] = []
+        self.next: list[dict[int, tuple[int, int]]] = []
+        self._state(("", (None,), (0,)))
+
+    def _state(self, key: tuple) -> int:
+        at = self.states.get(key)
+        if at is None:
+            at = self.states[key] = len(self.keys)
+            self.keys.append(key)
+            self.next.append({})
+        return at
 
     def merge(self, text: str) -> list[str]:
         """Plain byte-pair merging, used to compile transitions only."""
@@ -102,16 +129,31 @@ class CountTransducer:
             keep += 1
         counts = [*count[keep:], base]
         low = counts[-1]
-        key = (text[keep:], (*last[keep:], token), tuple(c - low for c in counts))
-        at = self.states.get(key)
-        if at is None:
-            at = self.states[key] = len(self.keys)
-            self.keys.append(key)
-            self.next.append({})
-        out = self.next[state][symbol] = (at, delta)
+        out = self.next[state][symbol] = (self._state((text[keep:], (*last[keep:], token), tuple(c - low for c in counts))), delta)
         return out
 
+    def run(self, word: OpenWord, more: bytes) -> OpenWord:
+        """The open word after some more bytes."""
+        if len(self.keys) > STATES:
+            self._forget()
+        state, total, held = self._state(word.state) if word.state else 0, word.count, word.held
+        for b in more:
+            if held is not None:
+                state, delta = self.next[state].get(held) or self._compile(state, held)
+                total += delta
+            held = b
+        return OpenWord(self.keys[state], total, held)
+
+    def close(self, word: OpenWord) -> int:
+        """Tokens of an open word that ends here."""
+        if word.held is None:
+            return 0
+        state, b = self._state(word.state) if word.state else 0, word.held + self.end
+        return word.count + (self.next[state].get(b) or self._compile(state, b))[1]
+
     def count(self, word: bytes) -> int:
+        if len(self.keys) > STATES:
+            self._forget()
         state = total = 0
         for b in word[:-1]:
             state, delta = self.next[state].get(b) or self._compile(state, b)
@@ -125,24 +167,55 @@ class _Memo(dict):
         self.transducer = transducer
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[word] = self.transducer.count(word.encode())
+        n = self.transducer.count(word.encode())
+        if len(word) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = n
         return n
 
 
-_SPACE = regex.compile(r"\p{White_Space}")
-
-
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to the state before it: text that continues the open word, tokens counted
-    inside, text left open. ``reset`` is false if the chunk holds no white space; all is then in ``head``."""
+    """What a chunk does to the open word before it: runs it over the pieces of ``head``. If it ``closes`` the word,
+    ``inside`` tokens follow, and ``tail`` is the word that it leaves open."""
 
-    head: str
+    head: tuple[bytes, ...] = ()
+    closes: bool = True
     inside: int = 0
-    tail: str = ""
-    reset: bool = False
+    tail: OpenWord = OpenWord()
+
+
+#: What a run of characters may go on with, by the kind of the character before a cut.
+_GOES_ON = {"letter": regex.compile(r"\p{L}+"), "mark": regex.compile(r"[^\s\p{L}\p{N}]+")}
+_ENDS = regex.compile(r"[\s\p{N}]")
+
+
+@lru_cache(1)
+def joining() -> frozenset[str]:
+    """Characters that may combine with what stands before them."""
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x30000))
+    return frozenset(chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<") | frozenset(map(chr, range(0x1161, 0x11C3)))
+
+
+def settled(c: str) -> bool:
+    """Neither normalisation nor lower case joins the character to another one or makes several of it."""
+    return c.isascii() or not (unicodedata.combining(c) or c in joining()) and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1
+
+
+def cut_kind(text: str, at: int, special: list[str]) -> str | None:
+    """How a text may be cut at a place: inside a run of letters ("letter") or marks ("mark"), between words ("end"), or not (None)."""
+    a, b = text[at - 1], text[at]
+    if not (settled(a) and settled(b)):
+        return None
+    if any(x in text[max(0, at - len(x) + 1) : at + len(x) - 1] for x in special):
+        return None
+    if _ENDS.match(a) or _ENDS.match(b):
+        return "end"
+    letters = [bool(_GOES_ON["letter"].match(c)) for c in (a, b)]
+    if all(letters):
+        return None if "'" in text[max(0, at - 3) : at] else "letter"
+    return "mark" if not any(letters) and a != "'" else None
 
 
 class TokenCounter:
@@ -156,7 +229,8 @@ class TokenCounter:
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.memo = _Memo(CountTransducer(merges, model["end_of_word_suffix"] or ""))
+        self.transducer = CountTransducer(merges, model["end_of_word_suffix"] or "")
+        self.memo = _Memo(self.transducer)
 
     def plain(self, text: str) -> int:
         """Tokens of a text whose both ends are word boundaries, without special strings."""
@@ -169,20 +243,48 @@ class TokenCounter:
             return self.plain(text)
         return len(self.split.findall(text)) + sum(map(self.plain, self.split.split(text)))
 
-    def chunk(self, text: str) -> ChunkMap:
-        first = _SPACE.search(text)
-        if first is None:
-            return ChunkMap(text)
-        cut = first.start()
-        last = next(i for i in range(len(text) - 1, -1, -1) if _SPACE.match(text[i]))
-        return ChunkMap(text[:cut], self.whole(text[cut : last + 1]), text[last + 1 :], True)
+    def cuts(self, text: str, chunk: int) -> list[tuple[int, str]]:
+        """(place, kind) of cuts that are ``chunk`` characters apart, or the first after it where a text may be cut."""
+        out, at = [], chunk
+        while at < len(text):
+            kind = cut_kind(text, at, self.special)
+            if kind:
+                out.append((at, kind))
+                at += chunk
+            else:
+                at += 1
+        return out
+
+    def chunk(self, text: str, before: str, after: str) -> ChunkMap:
+        """The state map of a part of a text between two cuts of some kinds."""
+        parts = self.split.split(text) if "<|" in text else [text]
+        parts = [unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() if not p.isascii() else p.lower() for p in parts]
+        inside, head = len(parts) - 1, ()
+        if before != "end":
+            found = _GOES_ON[before].match(parts[0])
+            first = found[0] if found else ""
+            head = (first.encode(),)
+            parts[0] = parts[0][len(first) :]
+            if len(parts) == 1 and not parts[0] and after != "end":
+                return ChunkMap(head, False)
+        words = [self.pattern.findall(p) for p in parts]
+        tail = OpenWord()
+        if after != "end" and words[-1]:
+            tail = self.transducer.run(tail, words[-1].pop().encode())
+        return ChunkMap(head, True, inside + sum(map(self.memo.__getitem__, chain.from_iterable(words))), tail)
+
+    def run(self, word: OpenWord, pieces: tuple[bytes, ...]) -> OpenWord:
+        for piece in pieces:
+            word = self.transducer.run(word, piece)
+        return word
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if not b.reset:
-            return ChunkMap(a.head, a.inside, a.tail + b.head, True) if a.reset else ChunkMap(a.head + b.head)
-        if not a.reset:
-            return ChunkMap(a.head + b.head, b.inside, b.tail, True)
-        return ChunkMap(a.head, a.inside + self.whole(a.tail + b.head) + b.inside, b.tail, True)
+        if not a.closes:
+            return ChunkMap(a.head + b.head, b.closes, b.inside, b.tail)
+        open_ = self.run(a.tail, b.head)
+        if not b.closes:
+            return ChunkMap(a.head, True, a.inside, open_)
+        return ChunkMap(a.head, True, a.inside + self.transducer.close(open_) + b.inside, b.tail)
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         while len(maps) > 1:
@@ -193,8 +295,9 @@ class TokenCounter:
     def count(self, text: str, chunk: int = CHUNK) -> int:
         if len(text) <= chunk:
             return self.whole(text)
-        m = self.scan([self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return self.whole(m.head) + m.inside + (self.whole(m.tail) if m.reset else 0)
+        at = [(0, "end"), *self.cuts(text, chunk), (len(text), "end")]
+        m = self.scan([self.chunk(text[i:j], before, after) for (i, before), (j, after) in zip(at, at[1:], strict=False)])
+        return m.inside + self.transducer.close(m.tail)
 
 
 @lru_cache(2)
@@ -213,9 +316,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     other columns are ignored. ``path``: the vocabulary file, present on every executor.
     """
 
+    @releasing
     def run(batches):
         c = counter(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [c.count(t) for t in texts]
             yield pa.record_batch([b.column(0), [len(t.encode()) for t in texts], n, [x > limit for x in n]], schema=_OUT)
