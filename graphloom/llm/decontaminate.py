@@ -2,19 +2,24 @@
 
 Texts and benchmark items are canonicalised: numbers, units and names become typed placeholders, whose values are
 kept as slots. A capitalised word that starts a sentence may be a name or not: texts and items are read both
-ways. Windows of five template tokens are hash-joined with those of the items. An item is
+ways. Windows of five template tokens are hash-joined with those of the items; a window of placeholders alone tells
+nothing and keeps its values. An item is
 found in a text when at least 0.8 of its distinct windows occur there and the slots agree: one slot
 value of the item always stands for one value of the text, so a question with other numbers is caught
 while a coincidence of placeholders is not.
 
+Only the rarest windows of an item are indexed: so many that a text without any of them cannot hold 0.8 of all. Items
+that a text shares one with are compared as sets of windows first, and window by window only if that share is reached.
+
 The benchmark is a query set. It is taken in blocks of bounded size, each of which is broadcast as a hash
 table; texts are scanned once per block and never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, in_blocks, releasing, table
+from graphloom.llm.common import few_tasks, in_blocks, releasing, slices, table
 
 WIDTH = 5
 SIMILARITY = 0.8
 #: Benchmark characters that one broadcast hash table is made of.
 BLOCK_CHARS = 4 << 20
+#: Characters that are read together; a longer text is read as a whole.
+TOGETHER = 1 << 18
 
-NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
+NUM, UNIT, NAME = SLOTS = "<num>", "<unit>", "<name>"
 _TOKEN = re.compile(r"\w+(?:(?:['’]|(?<=\d)[.,:/](?=\d))\w+)*|[.!?\n]")
 _UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hour hours minute minutes second seconds day days week weeks "
@@ -140,53 +147,68 @@ def block_tokens(texts: list[str]):
 _MULT = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(64)], np.uint64)
 
 
-def windows(ids: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each window of token ids; a shorter sequence is one window."""
-    n = max(1, len(ids) - width + 1)
-    out = np.full(n, len(ids) if len(ids) < width else width, np.uint64)
-    for i in range(min(width, len(ids))):
-        x = ids[i : i + n].astype(np.uint64) * _MULT[i]
+def _mixed(tokens: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
+    out = np.full(len(at), seed, np.uint64)
+    for i in range(width):
+        x = tokens[at + i].astype(np.uint64) * _MULT[i]
         out = (out ^ (x ^ (x >> np.uint64(31)))) * np.uint64(0xBF58476D1CE4E5B9)
     return out
 
 
+def windows(ids: np.ndarray, values: np.ndarray, slots: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of ``width`` template tokens that starts at ``at``: of their ids, or, where all of them are ``slots``, of
+    the hashes of their values."""
+    out = _mixed(ids, at, width, width)
+    run = np.cumsum(np.r_[0, slots])
+    bare = np.flatnonzero(run[at + width] - run[at] == width)
+    out[bare] = _mixed(values, at[bare], width, ~width & 0xFFFF)
+    return out
+
+
 class Templates:
     """Hash table of the template windows of some items."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, similarity: float):
         self.width, self.similarity = width, similarity
         self.words: dict[str, int] = {}
-        #: by reading: sentence starts as plain words, and as names
-        self.by_hash: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list), defaultdict(list)]
         self.items = []
         for item_id, text in items:
-            where, readings = len(self.items), []
-            for starts, by_hash in enumerate(self.by_hash):
-                template, values = canonical(text, bool(starts))
+            readings = []
+            for starts in (False, True):
+                template, values = canonical(text, starts)
                 if not template:
                     break
                 ids = np.array([self.words.setdefault(t, len(self.words) + 1) for t in template])
-                h = windows(ids, width)
-                readings.append((len(set(h.tolist())), template, values))
+                seen = np.array([word_hash(lowered(v)) for v in values], np.uint64)
+                w = min(width, len(ids))
+                h = windows(ids, seen, np.array([t in SLOTS for t in template]), np.arange(len(ids) - w + 1), w)
                 # of an item shorter than a window, little but a name would be left
-                for i, x in enumerate(h.tolist() if len(template) >= width or not starts else []):
-                    by_hash[x].append((where, i))
+                readings.append((h.tolist() if len(ids) >= width or not starts else [], template, values))
             if readings:
                 self.items.append((item_id, readings))
+        #: by reading (sentence starts as plain words, and as names): the items that a rare window is looked up for
+        self.rare: list[dict[int, list[int]]] = [defaultdict(list), defaultdict(list)]
+        self.sets = [[frozenset(r[starts][0]) for _, r in self.items] for starts in (0, 1)]
+        for starts, rare in enumerate(self.rare):
+            often = Counter(x for s in self.sets[starts] for x in s)
+            for where, s in enumerate(self.sets[starts]):
+                for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(len(s) * similarity - 1e-9) + 1]:
+                    rare[x].append(where)
         plain = [w for w in self.words if w[0] != "<"]
         known = np.array([word_hash(w) for w in plain], np.uint64)
         by = np.argsort(known)
         self.word_hashes, self.word_ids = known[by], np.array([self.words[w] for w in plain], np.int64)[by]
         self.unit_hashes = np.sort(np.array([word_hash(w) for w in _UNITS], np.uint64))
         self.common_hashes = np.sort(np.array([word_hash(w) for w in _COMMON], np.uint64))
-        self.hashes = [np.sort(np.fromiter(x, np.uint64, len(x))) for x in self.by_hash]
+        self.hashes = [np.array(sorted(set().union(*x)), np.uint64) for x in self.sets]
         self.short = sorted({len(r[0][1]) for _, r in self.items if len(r[0][1]) < width})
 
     def template_ids(self, texts: list[str], starts: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(text number, id) of the template tokens of some texts; id 0: in no item."""
-        return self._ids(*block_tokens(texts), starts)
+        tokens = block_tokens(texts)
+        return tokens[0], self._ids(*tokens, starts)
 
-    def _ids(self, of: np.ndarray, h: np.ndarray, kind: np.ndarray, starts: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, of: np.ndarray, h: np.ndarray, kind: np.ndarray, starts: bool) -> np.ndarray:
         number, name = (kind & 1) > 0, (kind & 2) > 0
         if starts:
             first = np.flatnonzero(kind & 4)
@@ -202,7 +224,7 @@ class Templates:
             unit = unit[np.isin(h[unit], self.unit_hashes)]
             ids[unit] = self.words.get(UNIT, 0)
         ids[number] = self.words.get(NUM, 0)
-        return of, ids
+        return ids
 
     def found_in(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text (item id, share of its windows) of the items that it holds."""
@@ -210,16 +232,17 @@ class Templates:
         if self.items:
             tokens = block_tokens(texts)
             for starts in (False, True):
-                self._read(texts, *self._ids(*tokens, starts), starts, best)
+                self._read(texts, *tokens[:2], self._ids(*tokens, starts), starts, best)
         return [[(self.items[item][0], share) for item, share in found.items()] for found in best]
 
-    def _read(self, texts: list[str], of: np.ndarray, ids: np.ndarray, starts: bool, best: list[dict[int, float]]) -> None:
-        """Put the items found in one reading of the texts, and their shares, into ``best``."""
-        by_hash, hashes = self.by_hash[starts], self.hashes[starts]
+    def _read(self, texts: list[str], of: np.ndarray, values: np.ndarray, ids: np.ndarray, starts: bool, best: list[dict[int, float]]) -> None:
+        """Put the items found in one reading of the texts, and their shares, into ``best``. ``values``: hashes of the tokens."""
+        hashes, rare, sets = self.hashes[starts], self.rare[starts], self.sets[starts]
         if not len(hashes):
             return
         begin = np.searchsorted(of, np.arange(len(texts) + 1))
-        hits: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        slots = np.isin(ids, [self.words.get(x, -1) for x in SLOTS])
+        places: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for width in [*self.short, self.width]:
             if len(ids) < width:
                 continue
@@ -228,30 +251,28 @@ class Templates:
             at = np.flatnonzero((run[width:] - run[:-width] == width) & (of[width - 1 :] == of[: len(of) - width + 1]))
             if not len(at):
                 continue
-            h = np.full(len(at), width, np.uint64)
-            for i in range(width):
-                x = ids[at + i].astype(np.uint64) * _MULT[i]
-                h = (h ^ (x ^ (x >> np.uint64(31)))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = windows(ids, values, slots, at, width)
             spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             match = hashes[spot] == h
             for p, x in zip(at[match].tolist(), h[match].tolist(), strict=True):
-                for item, i in by_hash[x]:
-                    hits[int(of[p])][item].append((i, p - int(begin[of[p]])))
-        for number, items in hits.items():
-            template, values = canonical(texts[number], starts)
-            for item, pairs in items.items():
-                total, t, v = self.items[item][1][starts]
+                places[int(of[p])][x].append(p - int(begin[of[p]]))
+        for number, held in places.items():
+            likely = sorted({item for x in held if x in rare for item in rare[x]})
+            likely = [item for item in likely if len(held.keys() & sets[item]) >= self.similarity * len(sets[item]) - 1e-9]
+            if not likely:
+                continue
+            template, theirs = canonical(texts[number], starts)
+            for item in likely:
+                own, t, v = self.items[item][1][starts]
                 width = min(self.width, len(t))
-                pairs = [(i, p) for i, p in pairs if template[p : p + width] == t[i : i + width]]
-                share = self._consistent(pairs, total, t, v, values) if pairs else 0.0
+                pairs = [(i, p) for i, x in enumerate(own) for p in held.get(x, ()) if template[p : p + width] == t[i : i + width]]
+                share = self._consistent(pairs, len(sets[item]), t, v, theirs) if pairs else 0.0
                 if share >= self.similarity:
                     best[number][item] = max(share, best[number].get(item, 0.0))
 
     def _consistent(self, pairs, total: int, template: list[str], own: list[str], theirs: list[str]) -> float:
         """Largest share of the item's windows that one passage of the text covers with agreeing slots.
         A passage: places of the text in which the item fits at about one offset."""
-        if len({tuple(template[i : i + self.width]) for i, _ in pairs}) / total < self.similarity:
-            return 0.0
         pairs.sort(key=lambda x: (x[1] - x[0], x[1]))
         best, run = 0.0, []
         for pair in [*pairs, None]:
@@ -260,18 +281,17 @@ class Templates:
                 seen = set()
                 for i, p in sorted(run):
                     w = range(min(self.width, len(template) - i))
+                    bare = all(template[i + j] in SLOTS for j in w)
+                    if bare and any(own[i + j] != theirs[p + j] for j in w):
+                        continue
                     if all(slots.setdefault(own[i + j], theirs[p + j]) == theirs[p + j] for j in w if own[i + j]):
-                        seen.add(tuple(template[i : i + self.width]))
+                        seen.add((*template[i : i + self.width], *(own[i : i + self.width] if bare else ())))
                 best, run = max(best, len(seen) / total), []
             if pair:
                 run.append(pair)
         return best
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_items", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
-_OUT_SQL = "doc_id long, n_items long, item_id long, similarity double"
-
-
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS):
     """The items in blocks of about ``most`` characters, streamed to the driver one block at a time."""
     block, size = [], 0
@@ -298,26 +318,24 @@ def contamination(
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     carried = ["n_items", "item_id", "similarity"]
     out = few_tasks(docs).select(*cols, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"))
-    blocks = list(item_blocks(benchmark, item_col, item_text_col))
-    for number, block in enumerate(blocks):
+    for block in item_blocks(benchmark, item_col, item_text_col):
         known = sc.broadcast(Templates(block, width, similarity))
-        final = number == len(blocks) - 1
 
         @releasing
-        def run(batches, known=known, final=final):
-            for b in batches:
+        def run(batches, known=known):
+            for b in slices(batches):
                 texts = b.column("text").to_pylist()
                 n, best, share = (b.column(c).to_pylist() for c in carried)
-                found = [f for block in in_blocks([t or "" for t in texts], 1 << 20) for f in known.value.found_in(block)]
+                found = [f for block in in_blocks([t or "" for t in texts], TOGETHER) for f in known.value.found_in(block)]
                 for at, items in enumerate(found):
                     for item, s in items:
                         n[at] += 1
                         if (-s, item) < (-share[at], best[at] if best[at] is not None else item + 1):
                             best[at], share[at] = item, s
-                cols_ = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(best, pa.int64()), pa.array(share, pa.float64())]
-                yield pa.record_batch(cols_ if final else [cols_[0], b.column("text"), *cols_[1:]], names=["doc_id", *([] if final else ["text"]), *carried])
+                yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(n, pa.int64()), pa.array(best, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "text", *carried])
 
-        out = out.mapInArrow(run, _OUT_SQL if final else "doc_id long, text string, n_items long, item_id long, similarity double")
+        out = out.mapInArrow(run, "doc_id long, text string, n_items long, item_id long, similarity double")
+    out = out.drop("text")
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 
@@ -333,9 +351,9 @@ def without_contaminated(
 
         @releasing
         def run(batches, known=known):
-            for b in batches:
+            for b in slices(batches):
                 texts = [t or "" for t in b.column(at).to_pylist()]
-                keep = [not f for part in in_blocks(texts, 1 << 20) for f in known.value.found_in(part)]
+                keep = [not f for part in in_blocks(texts, TOGETHER) for f in known.value.found_in(part)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
