@@ -2,18 +2,20 @@
 
 1. Each text becomes a 64-bit fingerprint; only distinct fingerprints go on, so any number of
    copies is one row.
-2. A fingerprint is cut into a ring of m segments. Two fingerprints that differ in at most tau
-   bits have m - tau equal segments: each choice of m - tau segments is a join key. m follows from the
-   number of fingerprints, so that a key has more bits than are needed to tell them apart.
-3. The pigeonring principle prunes the pairs that share a key: some segment of the ring must start a
-   chain whose cumulative differences over its first l segments stay within l * tau / m, for
-   every l. Only such pairs get the full Hamming check.
+2. A fingerprint is cut into a ring of m segments. If two fingerprints differ in at most tau bits, then some segment
+   starts a chain whose cumulative differences over its first 1, 2, ... segments stay within 1, 2, ... times
+   tau / m (the pigeonring principle). Chains of l < m segments are the index: for every start, and every choice of the
+   segments in which the budgets leave room for a difference, the rest of the chain is a join key.
+3. Pairs that share a key are pruned by their chain: those over a budget at any of its lengths are dropped
+   before the full Hamming check.
 4. Inside a key's group a search visits each fingerprint once against those not reached yet and emits
-   links that span the group; pairs are never emitted.
+   links that span the group; pairs are never emitted. A group of more than ``HOT`` fingerprints is not
+   held: its members go on to a finer index, whose chains fix so many bits that a group is bounded.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import connected_components, few_tasks, mix64, releasing, stored, table, with_ids, without_ids
+from graphloom.llm.common import connected_components, few_tasks, mix64, releasing, slices, stored, table, with_ids, without_ids
 
 TAU = 3
 SEED = 42
@@ -58,43 +60,98 @@ def segments(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def ring_ok(x: np.ndarray, m: int, tau: int) -> np.ndarray:
-    """Which differences (XORs) have a start on the ring whose every chain prefix is within budget."""
-    d = np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in segments(m)])
+def budgets(m: int, length: int, tau: int) -> list[int]:
+    """Differences that the first 1, 2, ... ``length`` segments of a viable chain may have."""
+    return [(n * tau) // m for n in range(1, length + 1)]
+
+
+def ring_ok(x: np.ndarray, m: int, tau: int, length: int) -> np.ndarray:
+    """Which differences (XORs) have a start on the ring whose chain of ``length`` segments is within budget at each of its lengths."""
+    d = np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << w) - 1)) for s, w in segments(m)])
     found = np.zeros(x.shape, bool)
     for start in range(m):
-        ok, run = np.ones(x.shape, bool), np.zeros(x.shape, np.int64)
-        for length in range(1, m + 1):
-            run = run + d[(start + length - 1) % m]
-            ok &= run * m <= length * tau
+        ok, run = np.ones(x.shape, bool), np.zeros(x.shape, np.uint8)
+        for at, most in enumerate(budgets(m, length, tau)):
+            run = run + d[(start + at) % m]
+            ok &= run <= most
         found |= ok
     return found
 
 
-def segment_count(n: int, tau: int = TAU) -> int:
-    """Fewest segments whose keys of m - tau segments have 2 bits more than n needs, at most 9."""
-    m = tau + 2
-    while m < tau + 6 and 64 * (m - tau) / m < np.log2(max(n, 2)) + 2:
-        m += 1
-    return m
+def ring_near(x: np.ndarray, m: int, tau: int, length: int) -> np.ndarray:
+    """Full Hamming check of the differences with a viable chain of ``length`` < ``m`` segments."""
+    out = np.zeros(x.shape, bool)
+    i = np.flatnonzero(ring_ok(x, m, tau, length))
+    out[i] = np.bitwise_count(x[i]) <= tau
+    return out
 
 
-def near(x: np.ndarray, m: int, tau: int) -> np.ndarray:
-    """Full Hamming check of the differences that the ring lets through."""
-    out = np.zeros(x.shape, bool)
-    i = np.flatnonzero(ring_ok(x, m, tau))
+def loose_sets(m: int, length: int, tau: int) -> list[tuple[int, ...]]:
+    """Choices of the segments of a chain that may differ: as many as the whole chain's budget, not before the budgets
+    leave room for them. The differing segments of every viable chain are part of one of them."""
+    allowed = budgets(m, length, tau)
+    return [c for c in combinations(range(length), allowed[-1]) if all(sum(x <= n for x in c) <= allowed[n] for n in range(length))]
+
+
+@dataclass(frozen=True)
+class Ring:
+    """An index over chains: the keys (start, choice) of ``length`` segments each, as bit masks."""
+
+    m: int
+    length: int
+    tau: int
+
+    @property
+    def chains(self) -> list[tuple[int, list[int]]]:
+        """(bits that must be equal, bits of the chain's first 1, 2, ... segments) of every key."""
+        mask = [((1 << w) - 1) << s for s, w in segments(self.m)]
+        out = []
+        for start in range(self.m):
+            chain = [mask[(start + n) % self.m] for n in range(self.length)]
+            prefix = [sum(chain[: n + 1]) for n in range(self.length)]
+            out += [(sum(x for n, x in enumerate(chain) if n not in loose), prefix) for loose in loose_sets(self.m, self.length, self.tau)]
+        return out
+
+    @property
+    def bits(self) -> int:
+        """Bits that every key fixes at least."""
+        return min(fixed.bit_count() for fixed, _ in self.chains)
+
+    def prefixes(self) -> np.ndarray:
+        return np.array([prefix for _, prefix in self.chains], np.uint64)
+
+
+def ring_for(n: int, tau: int = TAU) -> Ring:
+    """The ring with fewest keys whose chains fix 2 bits more than are needed to tell ``n`` fingerprints apart, or the finest one."""
+    rings = [Ring(m, length, tau) for m in range(tau + 1, 3 * tau + 1) for length in range(1, m)]
+    enough = [r for r in rings if r.bits >= np.log2(max(n, 2)) + 2]
+    return min(enough, key=lambda r: (len(r.chains), -r.bits)) if enough else finest_ring(tau)
+
+
+def finest_ring(tau: int = TAU) -> Ring:
+    """The ring whose keys fix most bits: at tau 3 all but 22, so no group has more than 2 ** 22 fingerprints."""
+    return max((Ring(3 * tau, length, tau) for length in range(1, 3 * tau)), key=lambda r: (r.bits, -len(r.chains)))
+
+
+def viable(x: np.ndarray, prefix: np.ndarray, allowed: list[int], tau: int) -> np.ndarray:
+    """Which differences are within every budget of their key's chain, and then within ``tau`` bits. ``prefix``: for each difference
+    (or for all) the bits of the chain's first 1, 2, ... segments."""
+    i = np.arange(len(x))
+    for n, most in enumerate(allowed):
+        i = i[np.bitwise_count(x[i] & (prefix[n] if prefix.ndim == 1 else prefix[i, n])) <= most]
+    out = np.zeros(len(x), bool)
     out[i] = np.bitwise_count(x[i]) <= tau
     return out
 
 
-def spanning_links(fp: np.ndarray, m: int, tau: int) -> list[tuple[int, int]]:
-    """Links (indexes) that connect all fingerprints of a group that are connected within it."""
+def spanning_links(fp: np.ndarray, prefix: np.ndarray, allowed: list[int], tau: int) -> list[tuple[int, int]]:
+    """Links (indexes) that connect all fingerprints of a key's group that are connected over viable chains."""
     left, links = np.arange(len(fp)), []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             at = front.pop()
-            hit = near(fp[left] ^ fp[at], m, tau)
+            hit = viable(fp[left] ^ fp[at], prefix, allowed, tau)
             if hit.any():
                 reached = left[hit].tolist()
                 links += [(at, r) for r in reached]
@@ -106,62 +163,90 @@ def spanning_links(fp: np.ndarray, m: int, tau: int) -> list[tuple[int, int]]:
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _links_of_sorted(batches, m: int, tau: int):
-    """Rows sorted by key: groups are taken from the stream; small ones are compared all at once."""
-    keep = [np.zeros(0, np.int64)] * 3
+def _links_of_sorted(batches, ring: Ring, hot: int | None):
+    """Rows (key number, key, fingerprint) sorted by key: groups are taken from the stream, small ones are compared all at once. Of a
+    group over ``hot`` nothing is held: its fingerprints are given back as (fingerprint, null)."""
+    prefix, allowed = ring.prefixes(), budgets(ring.m, ring.length, ring.tau)
+    keep, passing = [np.zeros(0, np.int64)] * 3, None
 
     def groups(c, k, f):
         u = f.view(np.uint64)
-        new = np.r_[True, (c[1:] != c[:-1]) | (k[1:] != k[:-1])]
-        at = np.r_[np.flatnonzero(new), len(c)]
+        at = np.r_[0, np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1, len(c)]
         size = np.diff(at)
         a, b = [], []
         for g in range(2, min(9, int(size.max(initial=0)) + 1)):  # groups of 2 to 8: vectors over all of them
             start = at[:-1][size == g]
             for i, j in combinations(range(g), 2):
-                hit = near(u[start + i] ^ u[start + j], m, tau)
+                hit = viable(u[start + i] ^ u[start + j], prefix[c[start]], allowed, ring.tau)
                 a.append(f[start[hit] + i])
                 b.append(f[start[hit] + j])
+        deferred = []
         for s, n in zip(at[:-1][size > 8], size[size > 8], strict=True):
-            for i, j in spanning_links(u[s : s + n], m, tau):
+            if hot is not None and n > hot:
+                deferred.append(f[s : s + n])
+                continue
+            for i, j in spanning_links(u[s : s + n], prefix[c[s]], allowed, ring.tau):
                 a.append(f[s + i : s + i + 1])
                 b.append(f[s + j : s + j + 1])
-        return pa.record_batch([np.concatenate(a or [f[:0]]), np.concatenate(b or [f[:0]])], schema=_LINK)
+        yield pa.record_batch([np.concatenate(a or [f[:0]]), np.concatenate(b or [f[:0]])], schema=_LINK)
+        for f in deferred:
+            yield pa.record_batch([f, pa.nulls(len(f), pa.int64())], schema=_LINK)
 
     for batch in batches:
-        cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(keep)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if passing is not None:  # the rest of a hot group
+            n = int(np.argmin(np.r_[(cols[0] == passing[0]) & (cols[1] == passing[1]), False]))
+            yield pa.record_batch([cols[2][:n], pa.nulls(n, pa.int64())], schema=_LINK)
+            cols = [x[n:] for x in cols]
+            if not len(cols[0]):
+                continue
+            passing = None
+        cols = [np.concatenate([x, y]) for x, y in zip(keep, cols, strict=True)]
         c, k, f = cols
         if not len(c):
             continue
         change = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1]))
         cut = int(change[-1]) + 1 if len(change) else 0
         if cut:
-            yield groups(c[:cut], k[:cut], f[:cut])
+            yield from groups(c[:cut], k[:cut], f[:cut])
         keep = [x[cut:] for x in cols]
+        if hot is not None and len(keep[0]) > hot:
+            passing = (keep[0][0], keep[1][0])
+            yield pa.record_batch([keep[2], pa.nulls(len(keep[2]), pa.int64())], schema=_LINK)
+            keep = [x[:0] for x in keep]
     if len(keep[0]):
-        yield groups(*keep)
+        yield from groups(*keep)
+
 
+#: Fingerprints of a key's group that one task holds and searches; larger groups go on to the finest ring.
+HOT = 1 << 14
 
-def fingerprint_links(fps: DataFrame, n: int, tau: int = TAU) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp, long): connected within a key's group
-    as the fingerprints within ``tau`` bits are."""
-    m = segment_count(n, tau)
-    seg = segments(m)
+
+def _ring_links(fps: DataFrame, ring: Ring, hot: int | None) -> DataFrame:
     keys = []
-    for combo, chosen in enumerate(combinations(range(m), m - tau)):
-        mask = sum(((1 << seg[i][1]) - 1) << seg[i][0] for i in chosen)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(combo).cast("long").alias("c"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
+    for number, (fixed, _) in enumerate(ring.chains):
+        signed = fixed - (1 << 64) if fixed >> 63 else fixed
+        keys.append(F.struct(F.lit(number).cast("long").alias("c"), F.col("fp").bitwiseAND(F.lit(signed)).alias("k")))
     rows = fps.select(F.explode(F.array(*keys)).alias("x"), "fp").select("x.c", "x.k", "fp")
-    return rows.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(lambda it: _links_of_sorted(it, m, tau), "a long, b long")
+    return rows.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(releasing(lambda it: _links_of_sorted(it, ring, hot)), "a long, b long")
+
+
+def fingerprint_links(fps: DataFrame, n: int, tau: int = TAU, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp, long): connected as the fingerprints within ``tau`` bits are.
+
+    A pair within ``tau`` bits has a viable chain, so it shares that chain's key and passes its budgets."""
+    found = stored(_ring_links(fps, ring_for(n, tau), hot), "fingerprint-links")
+    links, crowded = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    return links.unionByName(_ring_links(crowded, finest_ring(tau), None)) if crowded.take(1) else links
 
 
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    @releasing
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([simhash(shingle_hashes(t or "", width)) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), fp], schema=_FP)
 
@@ -199,7 +284,7 @@ SAMPLE, CLEAR = 4096, 0.05
 #: Hashes that a slice of a whole set holds on average.
 SLICE_HASHES = 1024
 #: Bits that fingerprints of similar texts may differ in: five deviations over the mean at 0.8.
-LOOSE_TAU, LOOSE_SEGMENTS = 24, 8
+LOOSE_TAU, LOOSE_SEGMENTS, LOOSE_CHAIN = 24, 8, 5
 #: Rows of a candidate group that are compared with as many others at once.
 BLOCK_ROWS = 2048
 
@@ -258,7 +343,7 @@ def similar_pairs(pairs: DataFrame, sig: DataFrame, base: DataFrame, width: int,
 
     @releasing
     def verify(batches):
-        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
+        for b in slices(batches, 500):
             a, c, x, y, n, m = (b.column(i).to_pylist() for i in range(6))
             like = np.array([sample_similarity(*v) for v in zip(x, y, n, m, strict=True)])
             slack = np.where(np.maximum(n, m) > SAMPLE, CLEAR, 0.0)
@@ -283,7 +368,7 @@ def whole_similar(pairs: DataFrame, base: DataFrame, most: int, width: int, simi
 
     @releasing
     def run(batches):
-        for b in (part.slice(i, 20) for part in batches for i in range(0, part.num_rows, 20)):
+        for b in slices(batches, 20):
             for i, key, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 h = np.unique(shingle_hashes(t or "", width))
                 part, at = np.unique(h >> np.uint64(64 - bits), return_index=True)
@@ -298,8 +383,8 @@ def whole_similar(pairs: DataFrame, base: DataFrame, most: int, width: int, simi
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = with_ids(base, ids, "doc_id").toDF("doc_id", "text").select("doc_id", F.xxhash64("text"), "text")
-    slices = stored(texts.mapInArrow(run, "doc_id long, key long, n long, slice long, hashes binary"), "near-slices").dropDuplicates(["doc_id", "key", "slice"])
-    left, right = (slices.select(F.col("doc_id").alias(c), "slice", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "n", "hashes"))) for c in "ab")
+    cut = stored(texts.mapInArrow(run, "doc_id long, key long, n long, slice long, hashes binary"), "near-slices").dropDuplicates(["doc_id", "key", "slice"])
+    left, right = (cut.select(F.col("doc_id").alias(c), "slice", *(F.col(x).alias(f"{x}_{c}") for x in ("key", "n", "hashes"))) for c in "ab")
     both = pairs.join(left, "a").join(right, ["b", "slice"]).select("a", "b", "key_a", "key_b", "n_a", "n_b", "hashes_a", "hashes_b")
     shared = both.mapInArrow(common, "a long, b long, key_a long, key_b long, n_a long, n_b long, shared long")
     total = shared.groupBy("a", "b", "key_a", "key_b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
@@ -361,7 +446,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     @releasing
     def run(batches):
-        for b in (part.slice(i, 500) for part in batches for i in range(0, part.num_rows, 500)):
+        for b in slices(batches, 500):
             rows = []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t or "", width))
@@ -384,7 +469,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     def ring(batches):
         for b in batches:
             x = (b.column(2).to_numpy() ^ b.column(3).to_numpy()).view(np.uint64)
-            yield b.filter(pa.array(near(x, LOOSE_SEGMENTS, LOOSE_TAU) | (b.column(4).to_numpy() <= SPARSE)))
+            yield b.filter(pa.array(ring_near(x, LOOSE_SEGMENTS, LOOSE_TAU, LOOSE_CHAIN) | (b.column(4).to_numpy() <= SPARSE)))
 
     pruned = pruned.select("a", "b", "fp_a", "fp_b", F.least("n_a", "n_b").alias("n"))
     pruned = stored(pruned.mapInArrow(ring, "a long, b long, fp_a long, fp_b long, n long").select("a", "b"), "near-pairs")
