@@ -27,7 +27,11 @@ WS = r"[\x20\x09-\x0D]"
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder that the cluster names in ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/graphloom-{label}-{uuid.uuid4().hex}"
 
 
@@ -81,7 +85,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_blocks(items, most: int = 4 << 20, size=len):
+def in_blocks(items, most: int = 1 << 20, size=len):
     """Runs of items of about ``most`` characters; a longer one stands alone."""
     block, n = [], 0
     for x in items:
@@ -94,6 +98,13 @@ def in_blocks(items, most: int = 4 << 20, size=len):
         yield block
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def releasing(f):
     """A task's map function that gives freed memory back to the system when it ends: Spark keeps its workers for
     later tasks, and what one stage has used would stand beside what the next one uses."""
@@ -224,13 +235,13 @@ def _routes(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int):
 def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
     """The rows of ``docs`` whose id is in ``ids``; what a filter rules out is not shuffled."""
     maybe, _ = _routes(docs, ids, id_col, max_bits)
-    return maybe.join(ids.select(F.col(ids.columns[0]).alias("__id")), maybe[id_col] == F.col("__id"), "left_semi")
+    return maybe.alias("d").join(ids.toDF("id").alias("i"), F.col(f"d.{id_col}") == F.col("i.id"), "left_semi")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int = 1 << 28) -> DataFrame:
     """The rows of ``docs`` whose id is not in ``ids``; only rows that a filter suspects are shuffled. Null ids pass."""
     maybe, surely = _routes(docs, ids, id_col, max_bits)
-    kept = maybe.join(ids.select(F.col(ids.columns[0]).alias("__id")), maybe[id_col] == F.col("__id"), "left_anti")
+    kept = maybe.alias("d").join(ids.toDF("id").alias("i"), F.col(f"d.{id_col}") == F.col("i.id"), "left_anti")
     return few_tasks(surely.unionByName(kept))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, table
+from graphloom.llm.common import few_tasks, releasing, slices, table
 
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -237,8 +237,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     each; an empty table gives an empty result; other columns are ignored.
     """
 
+    @releasing
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             text = [main_text(h or "", sigma) for h in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), text, [len(t) for t in text]], schema=_OUT)
 
