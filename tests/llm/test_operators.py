@@ -1,9 +1,10 @@
 """Each operator against brute force, a library or an exact round trip, with the odd cases of its docstring."""
 
+import bisect
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -44,7 +45,7 @@ def empty(spark, docs):
 
 
 def test_exact_dedup(docs, empty, corpus, spark):
-    from graphloom.llm.exact_dedup import directory, exact_duplicates, without_duplicates
+    from graphloom.llm.exact_dedup import exact_duplicates, grow, slots, without_duplicates
 
     norm = {i: re.sub(r"[\x20\x09-\x0D]", "", t or "") for i, t, _ in corpus}
     groups = defaultdict(list)
@@ -57,7 +58,35 @@ def test_exact_dedup(docs, empty, corpus, spark):
     assert exact_duplicates(empty).count() == 0
     nulls = spark.createDataFrame([(None, "q"), (3, "q"), (None, "r")], "doc_id long, text string")
     assert sorted(map(str, (tuple(r)[:4] for r in exact_duplicates(nulls).collect()))) == sorted(map(str, [(None, 3, 2, False), (3, 3, 2, True), (None, None, 1, True)]))
-    assert directory({0: 5, 1: 1}, 3, 2) == [0, 1, 2, 2]
+    clash = docs.select("*", F.lit(1).alias("__id"), F.lit(2).alias("dropped_id"), F.lit(3).alias("norm"))
+    assert {r.doc_id for r in without_duplicates(clash).collect()} == {w[0] for w in want if w[3]} and without_duplicates(clash).columns == clash.columns
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "ab"), (2, "ab ")], "doc_id long, text string")
+    assert sorted(tuple(r)[:4] for r in exact_duplicates(twice).collect()) == [(1, 1, 4, True)] * 3 + [(2, 1, 4, False)]
+
+    rnd = random.Random(1)
+    for n, capacity in ((0, 3), (1, 3), (5, 1), (3000, 3)):
+        hashes = [rnd.getrandbits(64) for _ in range(n)] + [7] * (n // 500)
+        count = lambda depth, below: Counter(h >> (64 - depth) for h in hashes if any(h >> (64 - bits) == p for p, bits in below))
+        leaves = grow(count, capacity)
+        assert sum(1 << (64 - bits) for _, bits in leaves) == 1 << 64  # the ranges cover all keys
+        starts = [p << (64 - bits) for p, bits in leaves]
+        held = Counter(bisect.bisect_right(starts, h) - 1 for h in hashes)
+        assert all(c <= capacity or leaves[i][1] == 64 for i, c in held.items())
+    assert slots([(0, 1), (2, 2), (3, 2)]) == (2, [0, 0, 1, 2]) and slots([(0, 0)]) == (1, [0, 0])
+
+
+def test_exact_dedup_owners(docs):
+    """Owners compare the bytes of a chain in the tasks that the directory sends it to: no exchange stands between."""
+    from graphloom.llm import exact_dedup as E
+
+    entries = docs.select(F.xxhash64("text").alias("h"), F.lit(1).alias("c"))
+    directory, depth, buckets = E._directory(entries, 3)
+    assert buckets > 10 and directory.count() == 1 << depth
+    owned = entries.join(F.broadcast(directory), E._prefix("h", depth) == F.col("slot")).repartitionById(buckets, F.col("bucket"))
+    tasks = owned.select("bucket", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == tasks.select("bucket").distinct().count() == tasks.select("task").distinct().count()
+    plan = owned.groupBy("bucket", "h").agg(F.sum("c"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1
 
 
 def brute_lines(rows):
@@ -106,7 +135,7 @@ def test_chat(spark, docs):
 def test_simhash(spark, docs, empty, corpus):
     import xxhash
 
-    from graphloom.llm.simhash import fingerprint_links, ring_ok, simhash_components, spanning_links
+    from graphloom.llm.simhash import Ring, budgets, finest_ring, fingerprint_links, ring_for, ring_ok, simhash_components, spanning_links, viable
 
     def fp(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
@@ -134,13 +163,38 @@ def test_simhash(spark, docs, empty, corpus):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_components(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
     assert simhash_components(empty).count() == 0
-    x = np.array([sum(1 << b for b in rnd.sample(range(64), 3)) for _ in range(500)], np.uint64)
-    assert ring_ok(x, 5, 3).all()  # the ring never loses a pair within the budget
+    x = np.array([sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4))) for _ in range(500)], np.uint64)
+    for m in range(4, 10):  # no pair within the budget is lost, whatever ring and chain, and it shares a key of a viable chain
+        for length in range(1, m):
+            assert ring_ok(x, m, 3, length).all()
+            ring = Ring(m, length, 3)
+            shared = [((x & np.uint64(fixed)) == 0) & viable(x, np.array(prefix, np.uint64), budgets(m, length, 3), 3) for fixed, prefix in ring.chains]
+            assert np.any(shared, axis=0).all(), ring
+    far = np.array([sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4, 9))) for _ in range(5000)], np.uint64)
+    assert ring_ok(far, 5, 3, 3).mean() < 0.9 and ring_ok(far, 9, 3, 8).mean() < 0.2  # and most others go before the full check
+    assert ring_for(100).bits < ring_for(10**9).bits <= finest_ring().bits
     base = rnd.getrandbits(64)
     dense = np.unique(np.array([base ^ (1 << a) ^ (1 << b) for a in range(20, 40) for b in range(40, 60)], np.uint64))
-    assert len(spanning_links(dense, 5, 3)) == len(dense) - 1
     frame = spark.createDataFrame([(int(v.view(np.int64)),) for v in dense], "fp long")
-    assert fingerprint_links(frame, len(dense)).count() < 40 * len(dense)
+    for hot in (1 << 14, 50, 8):  # crowded groups go on to the finest ring, and no link is lost
+        links = fingerprint_links(frame, len(dense), hot=hot).collect()
+        assert len(links) < 120 * len(dense)
+        parent = {int(v.view(np.int64)): int(v.view(np.int64)) for v in dense}
+
+        def top(v, parent=parent):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for r in links:
+            assert ((r.a ^ r.b) % (1 << 64)).bit_count() <= 3
+            parent[top(r.a)] = top(r.b)
+        assert len({top(v) for v in parent}) == 1, hot
+    ring = Ring(5, 3, 3)
+    near = np.array([0, 1, 3, 1 << 40, 7 << 40], np.uint64)  # a chain's budgets cut the last links off, though all are within three bits of another one
+    start = next(i for i, (fixed, prefix) in enumerate(ring.chains) if prefix[0] & 1)
+    assert len(spanning_links(near[:3], ring.prefixes()[start] & np.uint64(0), budgets(5, 3, 3), 3)) == 2
+    assert viable(near, ring.prefixes()[start], budgets(5, 3, 3), 3).tolist() == [True, False, False, *viable(near[3:], ring.prefixes()[start], budgets(5, 3, 3), 3).tolist()]
 
 
 def test_near_duplicates(spark):
