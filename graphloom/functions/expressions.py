@@ -40,12 +40,17 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + re.sub(r"^\(\?s:(.*)\)\\[Zz]$", r"\1", out).replace("(?>", "(?:") + "$"
 
 
+def normal_path(path: Column) -> Column:
+    """Lower case with forward slashes; null is empty."""
+    return F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+
+
 def is_test(path: Column, name: Column, patterns: tuple[str, ...] = TEST_PATTERNS) -> Column:
-    """A path below a test folder, a file name that matches a pattern, or a name that says test."""
-    low = F.lower(F.coalesce(path, F.lit("")))
+    """A path below a test folder, a file name that matches a pattern, or a name that says test; case and the kind of slash do not matter."""
+    low, named = normal_path(path), F.lower(F.coalesce(name, F.lit("")))
     base = last_part(low, "/")
-    tests = [F.concat(F.lit("/"), low).contains("/" + p) if p.endswith("/") else base.rlike(glob_regex(p)) for p in patterns]
-    return any_of([*tests, F.coalesce(name.startswith("test_") | name.endswith("_test"), F.lit(False))])
+    tests = [F.concat(F.lit("/"), low, F.lit("/")).contains("/" + p.lower()) if p.endswith("/") else base.rlike(glob_regex(p.lower())) for p in patterns]
+    return any_of([*tests, named.startswith("test_") | named.endswith("_test")])
 
 
 def is_test_qualified(qn: Column, patterns: tuple[str, ...] = TEST_PATTERNS) -> Column:
@@ -54,28 +59,45 @@ def is_test_qualified(qn: Column, patterns: tuple[str, ...] = TEST_PATTERNS) ->
 
 
 def is_stub(path: Column) -> Column:
-    return any_of([F.coalesce(path, F.lit("")).endswith(s) for s in STUB_SUFFIXES])
+    return any_of([normal_path(path).endswith(s) for s in STUB_SUFFIXES])
 
 
 def is_generated(path: Column, patterns: tuple[str, ...] = GENERATED_PATTERNS) -> Column:
-    return any_of([last_part(F.coalesce(path, F.lit("")), "/").rlike(glob_regex(p)) for p in patterns])
+    return any_of([last_part(normal_path(path), "/").rlike(glob_regex(p.lower())) for p in patterns])
 
 
 def matches_any_glob(path: Column, globs: list[str]) -> Column:
     return any_of([path.rlike(glob_regex(g)) for g in globs])
 
 
-def content_hash(*parts: Column) -> Column:
-    """16 hex digits over the parts joined by a zero byte; a missing part is empty."""
-    return F.substring(F.sha2(F.concat_ws("\0", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, 16)
+def _hashed(parts: list[Column]) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16)
+
+
+def content_hash(
+    name: Column, kind: Column, visibility: Column, signature: Column | None = None, docstring: Column | None = None, tags: Column | None = None,
+    source: Column | None = None, properties: Column | None = None, rationale: Column | None = None, citations: Column | None = None,
+) -> Column:
+    """16 hex digits over an entity's meaning: eight parts joined by a zero byte, missing ones empty, and rationale and citations where
+    there are any. Places are not part of it, so moved code keeps its hash. ``tags`` and ``citations``: arrays;
+    ``properties``: JSON text."""
+    text = lambda c: F.lit("") if c is None else F.coalesce(c.cast("string"), F.lit(""))
+    listed = lambda c: F.lit("") if c is None else F.coalesce(F.array_join(F.array_sort(c), ","), F.lit(""))
+    parts = [text(name), text(kind), text(visibility), text(signature), text(docstring), listed(tags), text(source), text(properties)]
+    for prefix, found in (("rationale:", text(rationale)), ("citations:", listed(citations))):
+        parts.append(F.when(found != "", F.concat(F.lit(prefix), found)))  # a null is left out
+    return _hashed(parts)
 
 
 def file_hash(text: Column, fold_blank_lines: bool = True) -> Column:
-    """16 hex digits of the text without trailing white space per line; runs of blank lines count as one."""
-    out = F.regexp_replace(text, r"(?m)[ \t\r\x0b\x0c]+$", "")
-    if fold_blank_lines:
-        out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.substring(F.sha2(out, 256), 1, 16)
+    """16 hex digits of the text's lines without trailing white space; runs of blank lines count as one. Any line end will do, and a
+    last one makes no difference. ``fold_blank_lines=False``: of the text as it is."""
+    if not fold_blank_lines:
+        return F.substring(F.sha2(text, 256), 1, 16)
+    out = F.regexp_replace(text, r"\r\n?", "\n")
+    out = F.regexp_replace(out, r"\n\z", "")
+    out = F.regexp_replace(out, r"[ \t\x0b\x0c]+(?=\n|\z)", "")
+    return F.substring(F.sha2(F.regexp_replace(out, r"\n{3,}", "\n\n"), 256), 1, 16)
 
 
 def rationale_markers(text: Column) -> Column:
@@ -110,7 +132,8 @@ def module_name(path: Column) -> Column:
 
 
 def name_visibility(name: Column) -> Column:
-    return F.when(name.rlike("^__.+__$"), "public").when(name.startswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
+    """By Python's conventions: names between double underscores are public, others that start with one are private."""
+    return F.when(name.startswith("__") & name.endswith("__"), "public").when(name.startswith("_"), "private").otherwise("public")
 
 
 def is_resource_path(text: Column) -> Column:

@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Limits of the quality flags and of the health score's blend.
+from graphloom.functions.expressions import is_test, last_part
+from graphloom.schema import CALLABLE_KINDS, TYPE_KINDS
+
+# Limits of the quality flags; the health score's weights, what a finding of each kind takes off, and how much coupling is free.
 GOD_MODULE, TANGLED_FAN, RIGID, UNSTABLE = 30, 8, 0.1, 0.9
-HEALTH_WEIGHTS = (0.25, 0.20, 0.20, 0.15, 0.10, 0.10)
+HEALTH_WEIGHTS = {"modularity": 0.25, "god_modules": 0.20, "circular_deps": 0.20, "tangled": 0.15, "coupling": 0.10, "instability": 0.10}
+GOD_COST, CYCLE_COST, TANGLE_COST, FAN_COST, EXTREME_COST, FREE_FAN = 20, 15, 20, 5, 15, 10
 HUB_TYPES = ("IMPORTS", "INHERITS", "CALLS")
 LIVE_TYPES = ("CALLS", "USES_TYPE", "IMPORTS", "INHERITS", "IMPLEMENTS", "OVERRIDES", "REFERENCES")
 
@@ -34,6 +38,12 @@ def hubs(edges: DataFrame, limit: int = 10) -> DataFrame:
     return e.groupBy(F.col("to_uid").alias("uid")).agg(F.count(F.lit(1)).alias("total"), *per).orderBy(F.desc("total"), "uid").limit(limit)
 
 
+def hub_modules(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+    """(uid, importers): the modules that most entities import."""
+    e = edges.where("rel_type = 'IMPORTS'").groupBy(F.col("to_uid").alias("uid")).agg(F.count(F.lit(1)).alias("importers"))
+    return e.join(nodes.where("label = 'Module'").select("uid"), "uid", "left_semi").orderBy(F.desc("importers"), "uid").limit(limit)
+
+
 def leaves(nodes: DataFrame, edges: DataFrame, labels: tuple[str, ...] = ("TypeDef", "Callable")) -> DataFrame:
     """Code nodes that no hub edge reaches."""
     reached = edges.where(F.col("rel_type").isin(*HUB_TYPES)).select(F.col("to_uid").alias("uid"))
@@ -51,8 +61,8 @@ def module_imports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def package_of(qn: Column) -> Column:
-    """The dotted parent; the name itself at the top."""
-    return F.regexp_replace(qn, r"\.[^.]*$", "")
+    """The dotted parent; empty at the top."""
+    return F.when(qn.contains("."), F.regexp_replace(qn, r"\.[^.]*$", "")).otherwise("")
 
 
 def coupling(nodes: DataFrame, weights: DataFrame) -> DataFrame:
@@ -68,11 +78,24 @@ def external_counts(externals: DataFrame, edges: DataFrame) -> DataFrame:
     return externals.select("uid").join(e, "uid", "left").groupBy("uid").agg(F.count_distinct("from_uid").alias("importers"))
 
 
-def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """uid, entities, fan_in, fan_out, instability, is_god, is_tangled, is_rigid, is_unstable of every module."""
-    mods = nodes.where("label = 'Module'").select("uid")
+def production_modules(nodes: DataFrame) -> DataFrame:
+    """Modules that are no tests, by path or by the last part of their name."""
+    qn = F.coalesce("qualified_name", "name", F.lit(""))
+    return nodes.where("label = 'Module'").where(~is_test(F.coalesce("file_path", F.lit("")), last_part(qn, ".")))
+
+
+def _between(weights: DataFrame, modules: DataFrame) -> DataFrame:
+    for end in ("from_mod", "to_mod"):
+        weights = weights.join(modules.select(F.col("uid").alias(end)), end, "left_semi")
+    return weights
+
+
+def quality(nodes: DataFrame, edges: DataFrame, tests: bool = False) -> DataFrame:
+    """uid, entities, fan_in, fan_out, instability, is_god, is_tangled, is_rigid, is_unstable of every module; test modules and their imports
+    go first, unless ``tests``."""
+    mods = (nodes.where("label = 'Module'") if tests else production_modules(nodes)).select("uid")
     entities = edges.where("rel_type = 'DEFINES'").groupBy(F.col("from_uid").alias("uid")).agg(F.count(F.lit(1)).alias("entities"))
-    w = module_imports(nodes, edges)
+    w = _between(module_imports(nodes, edges), mods)
     out_ = w.groupBy(F.col("from_mod").alias("uid")).agg(F.count(F.lit(1)).alias("fan_out"))
     in_ = w.groupBy(F.col("to_mod").alias("uid")).agg(F.count(F.lit(1)).alias("fan_in"))
     m = mods.join(entities, "uid", "left").join(in_, "uid", "left").join(out_, "uid", "left").fillna(0, ["entities", "fan_in", "fan_out"])
@@ -80,42 +103,57 @@ def quality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     m = m.withColumn("instability", F.when(total == 0, F.lit(0.5)).otherwise(F.col("fan_out") / total))
     return m.select(
         "*", (F.col("entities") > GOD_MODULE).alias("is_god"), ((F.col("fan_in") > TANGLED_FAN) & (F.col("fan_out") > TANGLED_FAN)).alias("is_tangled"),
-        ((F.col("instability") < RIGID) & (total > 0)).alias("is_rigid"), ((F.col("instability") > UNSTABLE) & (total > 0)).alias("is_unstable"),
+        (F.col("instability") < RIGID).alias("is_rigid"), (F.col("instability") > UNSTABLE).alias("is_unstable"),
     )
 
 
-def worst_modules(flags: DataFrame, limit: int = 10) -> DataFrame:
-    issues = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in ("is_god", "is_tangled", "is_rigid", "is_unstable")])
+def worst_modules(flags: DataFrame, cyclic: DataFrame, limit: int = 10) -> DataFrame:
+    """(uid, issues, entities): modules with most flags, a place on an import cycle among them. ``cyclic``: uid."""
+    on = cyclic.select("uid").distinct().withColumn("is_circular", F.lit(True))
+    flags = flags.join(on, "uid", "left").fillna(False, ["is_circular"])
+    issues = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in ("is_god", "is_circular", "is_tangled", "is_rigid", "is_unstable")])
     return flags.select("uid", issues.alias("issues"), "entities").where("issues > 0").orderBy(F.desc("issues"), F.desc("entities"), "uid").limit(limit)
 
 
-def health_score(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> DataFrame:
-    """One row: modules, modularity, god, cyclic, tangled and extreme shares and the blended score of 100.
-    ``cyclic``: uid of modules on an import cycle."""
-    flags = quality(nodes, edges)
-    w = module_imports(nodes, edges)
-    names = nodes.select("uid", package_of(F.col("qualified_name")).alias("pkg"))
+def health_score(nodes: DataFrame, edges: DataFrame, cycles: DataFrame, tests: bool = False) -> DataFrame:
+    """One row: the score of 100, the share of imports inside a package, what was counted and the parts of the score.
+
+    Every god module, cycle, tangled module and module of extreme instability takes a fixed amount off its part, and so does each
+    module that the largest fan-in and fan-out have beyond ten. ``cycles``: (node, component) of modules on import cycles."""
+    flags = quality(nodes, edges, tests)
+    mods = flags.select("uid")
+    names = nodes.select("uid", package_of(F.coalesce("qualified_name", F.lit(""))).alias("pkg"))
+    w = _between(module_imports(nodes, edges), mods)
     both = w.join(names.select(F.col("uid").alias("from_mod"), F.col("pkg").alias("a")), "from_mod").join(names.select(F.col("uid").alias("to_mod"), F.col("pkg").alias("b")), "to_mod")
-    inner = both.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight"))) / F.sum("weight"), F.when(F.count(F.lit(1)) > 0, 0.0).otherwise(1.0)).alias("modularity"), F.coalesce(F.avg("weight"), F.lit(0.0)).alias("coupling"))
-    on = cyclic.select("uid").distinct().withColumn("cyclic", F.lit(1))
-    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
-    m = flags.join(on, "uid", "left").agg(
-        F.count(F.lit(1)).alias("modules"), share(F.col("is_god")).alias("god"), share(F.coalesce("cyclic", F.lit(0))).alias("cycles"),
-        share(F.col("is_tangled")).alias("tangled"), share(F.col("is_rigid") | F.col("is_unstable")).alias("extreme"),
+    ratio = both.agg(F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0)) / F.sum("weight"), F.lit(1.0)).alias("modularity_ratio"))
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("int")), F.lit(0))
+    found = flags.agg(
+        F.count(F.lit(1)).alias("modules"), n("is_god").alias("god"), n("is_tangled").alias("tangled"), (n("is_rigid") + n("is_unstable")).alias("extreme"),
+        F.coalesce(F.max("fan_in"), F.lit(0)).alias("max_fan_in"), F.coalesce(F.max("fan_out"), F.lit(0)).alias("max_fan_out"),
+    )
+    whole = cycles.join(mods.withColumnRenamed("uid", "node"), "node", "left").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    circular = whole.agg(F.count(F.lit(1)).alias("circular"))
+    less = lambda c, cost: F.greatest(F.lit(0), 100 - F.col(c) * cost)
+    # three one-row aggregates
+    out = found.crossJoin(F.broadcast(ratio)).crossJoin(F.broadcast(circular)).select(
+        "modules", F.bround("modularity_ratio", 3).alias("modularity_ratio"), "god", "circular", "tangled", "extreme", "max_fan_in", "max_fan_out",
+        F.bround(F.col("modularity_ratio") * 100).cast("int").alias("s_modularity"), less("god", GOD_COST).alias("s_god_modules"), less("circular", CYCLE_COST).alias("s_circular_deps"),
+        less("tangled", TANGLE_COST).alias("s_tangled"), F.greatest(F.lit(0), 100 - F.greatest(F.lit(0), F.col("max_fan_in") + F.col("max_fan_out") - FREE_FAN) * FAN_COST).alias("s_coupling"),
+        less("extreme", EXTREME_COST).alias("s_instability"),
     )
-    parts = (F.col("modularity"), 1 - F.col("god"), 1 - F.col("cycles"), 1 - F.col("tangled"), 1 - F.col("extreme"), 1 / (1 + F.col("coupling") / 10))
-    score = reduce(lambda a, b: a + b, [w_ * p for w_, p in zip(HEALTH_WEIGHTS, parts, strict=True)])
-    # two one-row aggregates
-    return m.crossJoin(inner).select("modules", *(F.bround(c, 4).alias(c) for c in ("modularity", "god", "cycles", "tangled", "extreme")), F.bround(100 * score, 1).alias("score"))
+    total = reduce(lambda a, b: a + b, [F.col(f"s_{k}") * v for k, v in HEALTH_WEIGHTS.items()])
+    return out.withColumn("score", F.bround(total).cast("int"))
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(uid, label): types and callables that nothing reaches, that have no called member, are not nested in a callable, are not
-    registered, override nothing and carry no decorator; dunder names and properties are alive."""
-    code = nodes.where(F.col("label").isin("TypeDef", "Callable") & ~F.coalesce(F.col("name"), F.lit("")).rlike("^__.*__$"))
-    for column, alive in (("decorator_name", lambda c: c.isNotNull()), ("kind", lambda c: c == "property")):
-        if column in nodes.columns:
-            code = code.where(~F.coalesce(alive(F.col(column)), F.lit(False)))
+    registered, override nothing and carry no decorator. Names that start with two underscores, properties, and kinds that
+    are not code (tables, resources, stages) are never reported; an unknown kind counts as code."""
+    code = nodes.where(F.col("label").isin("TypeDef", "Callable") & ~F.coalesce(F.col("name"), F.lit("")).startswith("__"))
+    if "decorator_name" in nodes.columns:
+        code = code.where("decorator_name IS NULL")
+    if "kind" in nodes.columns:
+        code = code.where(F.col("kind").isNull() | F.col("kind").isin(*(k for k in (*TYPE_KINDS, *CALLABLE_KINDS) if k != "property")))
     reached = edges.where(F.col("rel_type").isin(*LIVE_TYPES)).select(F.col("to_uid").alias("uid")).distinct()
     defines = edges.where("rel_type = 'DEFINES'").select("from_uid", "to_uid")
     member_called = defines.join(edges.where("rel_type = 'CALLS'").select("to_uid").distinct(), "to_uid", "left_semi").select(F.col("from_uid").alias("uid")).distinct()
@@ -148,6 +186,13 @@ def inheritance(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFram
     return e.join(n.select(F.col("uid").alias("from_uid"), F.col("name").alias("child")), "from_uid").join(n.select(F.col("uid").alias("to_uid"), F.col("name").alias("parent")), "to_uid").orderBy("from_uid", "to_uid").limit(limit)
 
 
+def handlers(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> DataFrame:
+    """(from_uid, name, rel_type, target) of entities that handle a route, an event or a command."""
+    n = nodes.select("uid", "name")
+    e = edges.where(F.col("rel_type").isin("HANDLES_ROUTE", "HANDLES_EVENT", "HANDLES_COMMAND")).select("from_uid", "to_uid", "rel_type")
+    return e.join(n.toDF("from_uid", "name"), "from_uid").join(n.toDF("to_uid", "target"), "to_uid").select("from_uid", "name", "rel_type", "target").orderBy("rel_type", "from_uid", "to_uid").limit(limit)
+
+
 def members(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """(uid, members): members of the types of a kind, none included."""
     d = edges.where("rel_type = 'DEFINES'").select(F.col("from_uid").alias("uid"), "to_uid")
@@ -192,16 +237,57 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return df.join(sizes, "community").select("node", "community", "size")
 
 
+# Relationships inside a scope, and those that cross its boundary.
+INNER_TYPES = ("CALLS", "INHERITS", "IMPLEMENTS", "USES_TYPE", "OVERRIDES")
+BOUNDARY_TYPES = (*INNER_TYPES, "IMPORTS")
+
+
+def _scoped_edges(nodes: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
+    """from_uid, to_uid, rel_type, measure (internal, fan_in, fan_out) of the edges with an end under a path, both in one project."""
+    inside = F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix)
+    n = nodes.select("uid", "project_name", inside.alias("in"))
+    e = edges.where(F.col("rel_type").isin(*BOUNDARY_TYPES)).where("from_uid <> to_uid").select("from_uid", "to_uid", "rel_type")
+    e = e.join(n.toDF("from_uid", "pa", "a"), "from_uid").join(n.toDF("to_uid", "pb", "b"), "to_uid").where("pa = pb AND (a OR b)")
+    measure = F.when(F.col("a") & F.col("b"), "internal").when(F.col("b"), "fan_in").otherwise("fan_out")
+    return e.select("from_uid", "to_uid", "rel_type", measure.alias("measure")).where("measure <> 'internal' OR rel_type <> 'IMPORTS'")
+
+
 def module_summary(nodes: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
-    """(measure, value) of all that lies under a path: modules, entities, internal, incoming and outgoing edges."""
-    inside = nodes.where(F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix)).select("uid", "label")
-    flag = inside.select("uid").withColumn("in", F.lit(True))
-    e = edges.where(~F.col("rel_type").isin("DEFINES", "CONTAINS")).select("from_uid", "to_uid")
-    e = e.join(flag.select(F.col("uid").alias("from_uid"), F.col("in").alias("a")), "from_uid", "left").join(flag.select(F.col("uid").alias("to_uid"), F.col("in").alias("b")), "to_uid", "left")
-    kind = F.when(F.col("a") & F.col("b"), "internal").when(F.col("a"), "outgoing").when(F.col("b"), "incoming")
-    counts = e.select(kind.alias("measure")).where("measure IS NOT NULL").groupBy("measure").agg(F.count(F.lit(1)).alias("value"))
-    size = inside.groupBy(F.when(F.col("label") == "Module", "modules").otherwise("entities").alias("measure")).agg(F.count(F.lit(1)).alias("value"))
-    return size.unionByName(counts)
+    """(measure, value) of all that lies under a path: modules, entities, internal edges, edges in and out, linked documents."""
+    scope = nodes.where(F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix)).select("uid", "label")
+    one = F.count(F.lit(1)).alias("value")
+    size = scope.where(F.col("label").isin("Module", "TypeDef", "Callable", "Value")).groupBy(F.when(F.col("label") == "Module", "modules").otherwise("entities").alias("measure")).agg(one)
+    docs = edges.where("rel_type = 'DOCUMENTS'").join(scope.select(F.col("uid").alias("to_uid")), "to_uid", "left_semi").groupBy(F.lit("docs").alias("measure")).agg(one)
+    return size.unionByName(_scoped_edges(nodes, edges, prefix).groupBy("measure").agg(one)).unionByName(docs)
+
+
+#: Characters that a rendered summary may have before it gives less detail.
+SUMMARY_CHARS = 60_000
+
+
+def summary_text(nodes: DataFrame, edges: DataFrame, prefix: str, limit: int = 100, most: int = SUMMARY_CHARS) -> str:
+    """The skeleton and the boundary of a path as text: with signatures and docstrings, else with signatures, else names alone, the first of
+    these that has at most ``most`` characters. ``limit`` counts tenths of the entities and thirds of the edges shown."""
+    cols = [c if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in ("qualified_name", "kind", "label", "file_path", "signature", "docstring", "line_start", "line_end")]
+    scope = nodes.where(F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix) & F.col("label").isin("Module", "TypeDef", "Callable", "Value"))
+    rows = scope.select(*cols).orderBy("file_path", F.col("label") != "Module", "line_start", "qualified_name").limit(10 * limit).collect()
+    names = nodes.select("uid", "qualified_name")
+    e = _scoped_edges(nodes, edges, prefix).join(names.toDF("from_uid", "a"), "from_uid").join(names.toDF("to_uid", "b"), "to_uid")
+    links = e.select("measure", "rel_type", "a", "b").orderBy("measure", "rel_type", "a", "b").limit(9 * limit).collect()
+
+    def render(tier: int) -> str:
+        out = []
+        for r in rows:
+            span = f" ({r['line_start']}-{r['line_end']})" if tier and r["line_start"] else ""
+            out.append(f"{'## ' if r['label'] == 'Module' else '- '}{r['qualified_name']}{(r['signature'] or '') if tier else ''}{span}")
+            if tier == 2 and r["docstring"]:
+                out.append("    " + " ".join(r["docstring"].split()))
+        for title in ("internal", "fan_in", "fan_out"):
+            out += [f"# {title}", *(f"{x['a']} -{x['rel_type']}-> {x['b']}" for x in [x for x in links if x["measure"] == title][: 3 * limit])]
+        return "\n".join(out)
+
+    texts = [render(tier) for tier in (2, 1, 0)]
+    return next((t for t in texts if len(t) <= most), texts[-1])
 
 
 def package_diagram(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
@@ -210,6 +296,39 @@ def package_diagram(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> Dat
     return e.join(n.select(F.col("uid").alias("from_uid"), F.col("name").alias("parent")), "from_uid").join(n.select(F.col("uid").alias("to_uid"), F.col("name").alias("child")), "to_uid").select("from_uid", "to_uid", "parent", "child").orderBy("from_uid", "to_uid").limit(limit)
 
 
+def inheritance_diagram(nodes: DataFrame, edges: DataFrame, prefix: str = "", limit: int = 30) -> DataFrame:
+    """(child, parent) by name of INHERITS edges whose child lies under a path."""
+    n = nodes.select("uid", "name")
+    inside = nodes.where(F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix)).select(F.col("uid").alias("from_uid"))
+    e = edges.where("rel_type = 'INHERITS'").select("from_uid", "to_uid").join(inside, "from_uid", "left_semi")
+    return e.join(n.toDF("from_uid", "child"), "from_uid").join(n.toDF("to_uid", "parent"), "to_uid").select("from_uid", "to_uid", "child", "parent").orderBy("from_uid", "to_uid").limit(limit)
+
+
+def module_detail(nodes: DataFrame, edges: DataFrame, prefix: str, limit: int = 30) -> DataFrame:
+    """(module, owner, name, label, kind, visibility): what the first module under a path defines, and the members of its types."""
+    module = nodes.where((F.col("label") == "Module") & F.coalesce(F.col("file_path"), F.lit("")).startswith(prefix)).orderBy("qualified_name", "uid").limit(1).select(F.col("uid").alias("module"))
+    d = edges.where("rel_type = 'DEFINES'").select(F.col("from_uid").alias("above"), F.col("to_uid").alias("uid"))
+    n = nodes.select("uid", "name", "label", "kind", "visibility", "line_start")
+    top = module.join(d, F.col("module") == F.col("above")).join(n, "uid")
+    types = top.where("label = 'TypeDef'").select("module", F.col("uid").alias("above"), F.col("name").alias("owner"))
+    inner = types.join(d, "above").join(n.where("label = 'Callable'"), "uid")
+    cols = ["module", "owner", "name", "label", "kind", "visibility"]
+    first = top.withColumn("owner", F.lit(None).cast("string")).orderBy("line_start", "uid").limit(limit).select(*cols)
+    return first.unionByName(inner.orderBy("owner", "line_start", "uid").limit(limit).select(*cols))
+
+
+def within_budget(pairs: DataFrame, budget: int = 30) -> DataFrame:
+    """The pairs among the ``budget`` modules that most weight meets at. ``pairs``: from_mod, to_mod, weight."""
+    ends = pairs.select(F.explode(F.array("from_mod", "to_mod")).alias("m"), "weight").groupBy("m").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "m").limit(budget).select("m")
+    kept = F.broadcast(ends)  # at most ``budget`` rows
+    return pairs.join(kept, F.col("from_mod") == F.col("m"), "left_semi").join(kept, F.col("to_mod") == F.col("m"), "left_semi")
+
+
+def truncation_notice(shown: int, total: int, remedy: str) -> dict | None:
+    """What a caller is told about rows that were left out; None if there are none."""
+    return None if shown >= total else {"shown": shown, "total": total, "cut": total - shown, "remedy": remedy}
+
+
 def mermaid(pairs: DataFrame, a: str, b: str, limit: int = 100) -> str:
     """A flow chart of at most ``limit`` pairs, rendered on the driver."""
     rows = pairs.select(a, b).orderBy(a, b).limit(limit).collect()
@@ -237,6 +356,24 @@ def index_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "project_name", "left").fillna(0, ["edges"])
 
 
+def project_list(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_name, entities, depends_on, depended_by) of every project."""
+    from graphloom.operators.resolve import depends_on
+
+    n = nodes.groupBy("project_name").agg(F.count(F.lit(1)).alias("entities"))
+    pairs = depends_on(edges.where("rel_type = 'IMPORTS'"), nodes)
+    none = F.array().cast("array<string>")
+    to = pairs.groupBy(F.col("from_project").alias("project_name")).agg(F.sort_array(F.collect_set("to_project")).alias("depends_on"))
+    by = pairs.groupBy(F.col("to_project").alias("project_name")).agg(F.sort_array(F.collect_set("from_project")).alias("depended_by"))
+    out = n.join(to, "project_name", "left").join(by, "project_name", "left")
+    return out.select("project_name", "entities", F.coalesce("depends_on", none).alias("depends_on"), F.coalesce("depended_by", none).alias("depended_by"))
+
+
+def percentiles(df: DataFrame, column: str, *by: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Interpolated percentiles of a column, p50 and so on, by group."""
+    return df.groupBy(*by).agg(*(F.percentile(column, p).alias(f"p{round(p * 100)}") for p in at))
+
+
 # ---------------------------------------------------------------- vault lint
 
 
@@ -254,6 +391,16 @@ def orphan_notes(notes: DataFrame, links: DataFrame) -> DataFrame:
     return notes.select("uid").join(ends, "uid", "left_anti")
 
 
+def broken_anchors(links: DataFrame) -> DataFrame:
+    """uid of notes with an anchor whose target has changed since."""
+    return links.where("rel_type = 'DOCUMENTS' AND stale").select(F.col("from_uid").alias("uid")).distinct()
+
+
+def inbox_notes(notes: DataFrame, folder: str = "inbox/") -> DataFrame:
+    path = F.concat(F.lit("/"), F.lower(F.coalesce("file_path", F.lit(""))))
+    return notes.where(path.contains("/" + folder)).select("uid")
+
+
 def promotion_candidates(links: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """(uid, projects): notes that entities of at least ``least`` projects link to."""
     p = nodes.select(F.col("uid").alias("from_uid"), "project_name")

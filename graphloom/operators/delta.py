@@ -12,25 +12,29 @@ FULL_SHARE = 0.3
 def classify(old: DataFrame, new: DataFrame) -> DataFrame:
     """uid, change (added, deleted, modified, moved, unchanged), significance of every entity of either snapshot.
 
-    Columns of both: uid, content_hash, signature, docstring, line_start. A change of the docstring alone is
-    MODERATE, any other HIGH; equal content at another line is moved."""
-    o = old.select("uid", *(F.col(c).alias(f"old_{c}") for c in ("content_hash", "signature", "docstring", "line_start")), F.lit(True).alias("_old"))
-    n = new.select("uid", "content_hash", "signature", "docstring", "line_start", F.lit(True).alias("_new"))
-    same = F.col("content_hash").eqNullSafe(F.col("old_content_hash"))
+    Columns of both: uid, content_hash, signature, docstring, line_start, line_end. A modified entity is MODERATE if its docstring changed
+    and its signature did not, else HIGH (a missing one is empty); equal content at other lines is moved."""
+    o = old.select("uid", *(F.col(c).alias(f"old_{c}") for c in ("content_hash", "signature", "docstring", "line_start", "line_end")), F.lit(True).alias("_old"))
+    n = new.select("uid", "content_hash", "signature", "docstring", "line_start", "line_end", F.lit(True).alias("_new"))
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) == F.coalesce(F.col(f"old_{c}"), F.lit(""))
     change = (
-        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(~same, "modified")
-        .when(~F.col("line_start").eqNullSafe(F.col("old_line_start")), "moved").otherwise("unchanged")
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").when(~same("content_hash"), "modified")
+        .when(~(same("line_start") & same("line_end")), "moved").otherwise("unchanged")
     )
-    docs_only = F.col("signature").eqNullSafe(F.col("old_signature")) & ~F.col("docstring").eqNullSafe(F.col("old_docstring"))
+    docs_only = text("signature") & ~text("docstring")
     out = o.join(n, "uid", "full").withColumn("change", change)
     return out.select("uid", "change", F.when(F.col("change") == "modified", F.when(docs_only, "MODERATE").otherwise("HIGH")).when(F.col("change").isin("added", "deleted"), "HIGH").alias("significance"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
-    """``rows`` over ``table``: new keys are added, values of equal keys replaced where they are not null."""
-    t, r = table.alias("t"), rows.select(*table.columns).alias("r")
+    """``rows`` over ``table``: new keys are added. Of equal keys the columns that ``rows`` has replace what was there, null values too;
+    columns that it lacks stay."""
+    t, r = table.alias("t"), rows.withColumn("_new", F.lit(True)).alias("r")
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    return t.join(r, on, "full").select(*(F.coalesce(F.col(f"r.{c}"), F.col(f"t.{c}")).alias(c) for c in table.columns))
+    given = F.col("r._new").isNotNull()
+    value = lambda c: F.when(given, F.col(f"r.{c}")).otherwise(F.col(f"t.{c}")) if c in rows.columns else F.col(f"t.{c}")
+    return t.join(r, on, "full").select(*(value(c).alias(c) for c in table.columns))
 
 
 def insert_missing(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
@@ -87,11 +91,24 @@ def file_signals(commits: DataFrame, now: float) -> DataFrame:
     return commits.groupBy("file").agg(F.count_distinct("commit_id").alias("commit_count"), F.count_distinct("author").alias("author_count"), days.alias("days_since_last_commit"))
 
 
+#: Files of a commit that are paired with as many others by one task.
+PAIR_BLOCK = 64
+
+
 def co_changes(commits: DataFrame, least: int = 3) -> DataFrame:
-    """(file_a, file_b, count) of files that changed together in at least ``least`` commits."""
+    """(file_a, file_b, count) of files that changed together in at least ``least`` commits.
+
+    Files that changed in fewer commits can be in no such pair and go first. A commit's files are dealt to blocks and its pairs of blocks
+    to tasks, so one commit that touches very many files is many small joins."""
     c = commits.select("commit_id", "file").distinct()
-    a, b = c.withColumnRenamed("file", "file_a"), c.withColumnRenamed("file", "file_b")
-    return a.join(b, "commit_id").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+    often = c.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("file")
+    c = c.join(often, "file", "left_semi")
+    blocks = c.groupBy("commit_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    c = c.join(blocks, "commit_id").withColumn("block", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = c.select("commit_id", F.col("file").alias("file_a"), "block", F.explode(others).alias("other"))
+    b = c.select("commit_id", F.col("file").alias("file_b"), F.explode(others).alias("block"), F.col("block").alias("other"))
+    return a.join(b, ["commit_id", "block", "other"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,9 +6,13 @@ candidates share it decides whether the edge is resolved or ambiguous.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.scratch import cut_lineage
+
 LEAST_WEIGHT = 1e-6
 UNVERIFIED = ("unverified_receiver", "unverified_wide")
 
@@ -43,31 +47,42 @@ def resolve_calls(sites: DataFrame, callables: DataFrame, imports: DataFrame, is
     Rungs: 1 import, 2 sibling in the owner, 3 same file, 4 declared receiver, 5 project. Abstract candidates go
     if a concrete one is left, test candidates if the caller is no test and another is left. A site with a receiver whose
     type is unknown matches on its name alone: unverified.
+
+    What goes is decided once per name and site, from counts of a name's candidates. Every rung is a join on its
+    own keys, and only sites that it leaves open go on to the next: a common name meets all its candidates on the last rung only,
+    where each of them is an edge.
     """
-    s, c = sites.alias("s"), callables.alias("c")
-    pairs = s.join(c, ["project_name", "name"]).select(
-        F.col("s.site_id"), F.col("s.from_uid"), F.col("s.file_path"), F.col("s.line"), F.col("s.owner"), F.col("s.receiver"), F.col("s.has_receiver"),
-        F.col("c.uid").alias("to_uid"), F.col("c.file_path").alias("to_file"), F.col("c.owner").alias("to_owner"), F.col("c.is_abstract"), is_test.alias("to_test"), "s.from_test",
-    )
-    known = callables.select(F.col("owner").alias("receiver")).where("receiver IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    pairs = pairs.join(known, "receiver", "left").where("receiver IS NULL OR known")
-    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct().withColumn("imported", F.lit(True))
-    pairs = pairs.join(linked, ["file_path", "to_uid"], "left")
+    key = ["project_name", "name"]
+    c = callables.alias("c").select(*(F.col(f"c.{k}") for k in key), F.col("c.uid").alias("to_uid"), F.col("c.file_path").alias("to_file"), F.col("c.owner").alias("to_owner"), F.col("c.is_abstract"), is_test.alias("to_test"))
+    n = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
+    firm, real = ~F.col("is_abstract"), ~F.col("to_test")
+    facts = c.groupBy(*key).agg(n(F.lit(True)).alias("n_all"), n(real).alias("n_real"), n(firm).alias("n_firm"), n(firm & real).alias("n_firm_real"))
+    known = callables.select(F.col("owner").alias("receiver")).where("receiver IS NOT NULL").distinct()
+    open_ = sites.where("receiver IS NULL").unionByName(sites.join(known, "receiver", "left_semi").select(*sites.columns))
     w = Window.partitionBy("site_id")
-    pairs = pairs.withColumn("_other", F.max((~F.col("to_test")).cast("int")).over(w)).where(F.col("from_test") | ~F.col("to_test") | (F.col("_other") == 0))
-    pairs = pairs.withColumn("_concrete", F.max((~F.col("is_abstract")).cast("int")).over(w)).where(~F.col("is_abstract") | (F.col("_concrete") == 0))
-    free = ~F.col("has_receiver")
-    rung = (
-        F.when(F.col("imported") & free, 1)
-        .when((F.col("owner") == F.col("to_owner")) & F.col("receiver").isNull() & F.col("has_receiver"), 2)
-        .when((F.col("file_path") == F.col("to_file")) & free, 3)
-        .when(F.col("receiver") == F.col("to_owner"), 4)
-        .otherwise(5)
-    )
-    names = F.create_map(*(x for i, n in enumerate(("import", "sibling", "same_file", "receiver"), 1) for x in (F.lit(i), F.lit(n))))
-    best = best_rung(pairs.withColumn("rung", rung), "site_id")
-    project = F.when(F.col("has_receiver"), F.when(F.col("candidate_count") == 1, "unverified_receiver").otherwise("unverified_wide")).otherwise(F.when(F.col("candidate_count") == 1, "project_unique").otherwise("project_wide"))
-    return best.withColumn("strategy", F.when(F.col("rung") == 5, project).otherwise(names[F.col("rung")])).select("site_id", "from_uid", "to_uid", "candidate_count", "strategy", "from_test", "file_path", "line")
+    open_ = open_.join(facts, key).withColumn("all", F.col("from_test") | (F.max("n_real").over(w) == 0))
+    open_ = open_.withColumn("firm", F.max(F.when(F.col("all"), F.col("n_firm")).otherwise(F.col("n_firm_real"))).over(w) > 0)
+    count = F.when(F.col("firm"), F.when(F.col("all"), F.col("n_firm")).otherwise(F.col("n_firm_real"))).otherwise(F.when(F.col("all"), F.col("n_all")).otherwise(F.col("n_real")))
+    open_ = cut_lineage(open_.withColumn("many", F.sum(count).over(w).cast("int")).drop("n_all", "n_real", "n_firm", "n_firm_real"), "calls-sites")
+    names = open_.columns
+    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct()
+    rungs = [
+        ("import", lambda s: s.where("NOT has_receiver").join(linked, "file_path").join(c, [*key, "to_uid"])),
+        ("sibling", lambda s: s.where("has_receiver AND receiver IS NULL").join(c.withColumnRenamed("to_owner", "owner"), [*key, "owner"])),
+        ("same_file", lambda s: s.where("NOT has_receiver").join(c.withColumnRenamed("to_file", "file_path"), [*key, "file_path"])),
+        ("receiver", lambda s: s.join(c.withColumnRenamed("to_owner", "receiver"), [*key, "receiver"])),
+    ]
+    cols = ["site_id", "from_uid", "to_uid", "candidate_count", "strategy", "from_test", "file_path", "line"]
+    fits = "(all OR NOT to_test) AND (NOT is_abstract OR NOT firm)"
+    out = []
+    for strategy, joined in rungs:
+        hit = joined(open_).where(fits).select("site_id", "from_uid", "to_uid", "from_test", "file_path", "line")
+        hit = cut_lineage(hit.withColumn("candidate_count", F.count(F.lit(1)).over(w).cast("int")), f"calls-{strategy}")
+        out.append(hit.withColumn("strategy", F.lit(strategy)).select(*cols))
+        open_ = open_.join(hit.select("site_id").distinct(), "site_id", "left_anti").select(*names)
+    strategy = F.when(F.col("has_receiver"), F.when(F.col("many") == 1, "unverified_receiver").otherwise("unverified_wide")).otherwise(F.when(F.col("many") == 1, "project_unique").otherwise("project_wide"))
+    out.append(open_.join(c, key).where(fits).withColumn("candidate_count", F.col("many")).withColumn("strategy", strategy).select(*cols))
+    return reduce(DataFrame.unionByName, out)
 
 
 def resolve_type_refs(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
@@ -237,3 +252,41 @@ def module_exports(nodes: DataFrame, defines: DataFrame) -> DataFrame:
     names = nodes.where("label = 'Module'").select(F.col("uid").alias("from_uid"), F.explode(F.regexp_extract_all(listed, F.lit("[\"']([A-Za-z_]\\w*)[\"']"), F.lit(1))).alias("name"))
     own = defines.select("from_uid", "to_uid").join(nodes.select(F.col("uid").alias("to_uid"), "name"), "to_uid")
     return names.join(own, ["from_uid", "name"]).select("from_uid", "to_uid", F.lit("EXPORTS").alias("rel_type")).distinct()
+
+
+def doc_links(refs: DataFrame, entities: DataFrame) -> DataFrame:
+    """DOCUMENTS edges of mentions in documents: a symbol by its exact name, a file by the end of its path; only where one entity alone
+    fits. ``refs``: ref_id, from_uid, project_name, target, is_file, link_type, confidence. ``entities``: uid, label, project_name, name, file_path; notes and
+    sections are no targets."""
+    e = entities.where("label NOT IN ('Note', 'DocSection')")
+    by_name = refs.where("NOT is_file").join(e.select("project_name", F.col("name").alias("target"), "uid"), ["project_name", "target"])
+    ends = e.where("file_path IS NOT NULL").select("project_name", "uid", F.explode(path_suffixes(F.col("file_path"))).alias("target"))
+    by_path = refs.where("is_file").join(ends, ["project_name", "target"])
+    hit = unique_match(by_name.select("ref_id", "uid").unionByName(by_path.select("ref_id", "uid")), "ref_id", "uid")
+    return refs.join(hit, "ref_id").select("from_uid", F.col("uid").alias("to_uid"), F.lit("DOCUMENTS").alias("rel_type"), "link_type", F.col("confidence").alias("doc_confidence"))
+
+
+def registered_by(refs: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """REGISTERED_BY edges from a handler to what registers it: a callable or value of the same file, else one that the file imports.
+    ``refs``: from_uid, project_name, file_path, name. ``entities``: uid, label, project_name, name, file_path. ``imports``: from_file, to_uid."""
+    e = entities.where("label IN ('Callable', 'Value', 'TypeDef')").select("project_name", "name", F.col("uid").alias("to_uid"), F.col("file_path").alias("to_file"))
+    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct().withColumn("imported", F.lit(True))
+    pairs = refs.withColumn("ref", F.xxhash64("from_uid", "name")).join(e, ["project_name", "name"]).join(linked, ["file_path", "to_uid"], "left")
+    pairs = pairs.withColumn("rung", F.when(F.col("file_path") == F.col("to_file"), 1).when(F.col("imported"), 2)).where("rung IS NOT NULL AND from_uid <> to_uid")
+    return best_rung(pairs, "ref").select("from_uid", "to_uid", F.lit("REGISTERED_BY").alias("rel_type")).distinct()
+
+
+def protocol_members(conforms: DataFrame, defines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """IMPLEMENTS edges between the members of types and of the protocols that they conform to, by name, inferred, weight 0.5."""
+    own = defines.select(F.col("from_uid").alias("type"), F.col("to_uid").alias("uid")).join(nodes.where("label = 'Callable'").select("uid", "name"), "uid")
+    a = own.select(F.col("type").alias("from_type"), F.col("uid").alias("from_uid"), "name")
+    b = own.select(F.col("type").alias("to_type"), F.col("uid").alias("to_uid"), "name").where(~F.col("name").rlike("^__.*__$"))
+    pairs = conforms.select(F.col("from_uid").alias("from_type"), F.col("to_uid").alias("to_type")).join(a, "from_type").join(b, ["to_type", "name"])
+    return pairs.select("from_uid", "to_uid", F.lit("IMPLEMENTS").alias("rel_type"), F.lit(True).alias("inferred"), F.lit(0.5).alias("weight"))
+
+
+def replay(unresolved: DataFrame, resolve, key: str = "ref_id") -> tuple[DataFrame, DataFrame]:
+    """(edges, still unresolved) of references that earlier batches left open, tried again. ``resolve``: a function of the references that gives
+    rows with their ``key``."""
+    found = resolve(unresolved)
+    return found, unresolved.join(found.select(key).distinct(), key, "left_anti")

@@ -105,7 +105,7 @@ _QUALITY = f"""{_MODULE_IMPORTS}, q AS (SELECT uid, coalesce(d.n, 0) AS entities
   LEFT JOIN (SELECT from_uid, count(*) AS n FROM defines GROUP BY 1) d ON d.from_uid = uid LEFT JOIN (SELECT to_mod, count(*) AS n FROM w GROUP BY 1) i ON i.to_mod = uid
   LEFT JOIN (SELECT from_mod, count(*) AS n FROM w GROUP BY 1) o ON o.from_mod = uid WHERE label = 'Module'),
 f AS (SELECT *, CASE WHEN fan_in + fan_out = 0 THEN 0.5::DOUBLE ELSE fan_out::DOUBLE / (fan_in + fan_out) END AS instability FROM q),
-g AS (SELECT *, entities > 30 AS is_god, fan_in > 8 AND fan_out > 8 AS is_tangled, instability < 0.1 AND fan_in + fan_out > 0 AS is_rigid, instability > 0.9 AND fan_in + fan_out > 0 AS is_unstable FROM f)"""
+g AS (SELECT *, entities > 30 AS is_god, fan_in > 8 AND fan_out > 8 AS is_tangled, instability < 0.1 AS is_rigid, instability > 0.9 AS is_unstable FROM f)"""
 
 
 @query(f"{_QUALITY} SELECT uid, entities, fan_in, fan_out, round(instability, 6) AS instability, is_god, is_tangled, is_rigid, is_unstable FROM g")
@@ -113,34 +113,42 @@ def quality_metrics(t):
     return A.quality(*_module_graph(t)).withColumn("instability", F.round("instability", 6))
 
 
-@query(f"{_QUALITY} SELECT uid, is_god::INT + is_tangled::INT + is_rigid::INT + is_unstable::INT AS issues, entities FROM g WHERE is_god OR is_tangled OR is_rigid OR is_unstable ORDER BY issues DESC, entities DESC, uid LIMIT 10")
-def worst_modules(t):
-    return A.worst_modules(A.quality(*_module_graph(t)))
-
-
 _CYCLES = """, walk(a, b) AS (SELECT from_mod, to_mod FROM w UNION SELECT walk.a, w.to_mod FROM walk JOIN w ON w.from_mod = walk.b),
 cyc AS (SELECT DISTINCT a AS uid FROM walk WHERE a = b)"""
 
 
-@query(f"""{_QUALITY}{_CYCLES}, i AS (SELECT coalesce(sum(weight) FILTER (a.project_name = b.project_name)::DOUBLE / sum(weight), CASE WHEN count(*) > 0 THEN 0.0 ELSE 1.0 END)::DOUBLE AS modularity, coalesce(avg(weight), 0)::DOUBLE AS coupling
-  FROM w JOIN nodes a ON a.uid = from_mod JOIN nodes b ON b.uid = to_mod),
-m AS (SELECT count(*) AS modules, avg(is_god::INT)::DOUBLE AS god, avg((uid IN (SELECT uid FROM cyc))::INT)::DOUBLE AS cycles, avg(is_tangled::INT)::DOUBLE AS tangled, avg((is_rigid OR is_unstable)::INT)::DOUBLE AS extreme FROM g)
-SELECT modules, round_even(modularity, 4) AS modularity, round_even(god, 4) AS god, round_even(cycles, 4) AS cycles, round_even(tangled, 4) AS tangled, round_even(extreme, 4) AS extreme,
-  round_even(100 * (0.25::DOUBLE * modularity + 0.2::DOUBLE * (1 - god) + 0.2::DOUBLE * (1 - cycles) + 0.15::DOUBLE * (1 - tangled) + 0.1::DOUBLE * (1 - extreme) + 0.1::DOUBLE / (1 + coupling / 10)), 1) AS score FROM m, i""", recursive=True)
+def _cycles(n: DataFrame, e: DataFrame) -> DataFrame:
+    return V.strongly_connected(A.module_imports(n, e).select(F.col("from_mod").alias("a"), F.col("to_mod").alias("b")))
+
+
+@query(f"""{_QUALITY}{_CYCLES}, h AS (SELECT *, uid IN (SELECT uid FROM cyc) AS is_circular FROM g)
+SELECT uid, is_god::INT + is_circular::INT + is_tangled::INT + is_rigid::INT + is_unstable::INT AS issues, entities FROM h
+WHERE is_god OR is_circular OR is_tangled OR is_rigid OR is_unstable ORDER BY issues DESC, entities DESC, uid LIMIT 10""", recursive=True)
+def worst_modules(t):
+    n, e = _module_graph(t)
+    return A.worst_modules(A.quality(n, e), _cycles(n, e).select(F.col("node").alias("uid")))
+
+
+@query(f"""{_QUALITY}{_CYCLES},
+i AS (SELECT coalesce(sum(CASE WHEN a.project_name = b.project_name THEN weight ELSE 0 END)::DOUBLE / sum(weight), 1.0)::DOUBLE AS ratio FROM w JOIN nodes a ON a.uid = from_mod JOIN nodes b ON b.uid = to_mod),
+comp AS (SELECT x.a AS node, min(x.b) AS component FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1),
+m AS (SELECT count(*) AS modules, CAST(sum(is_god::INT) AS BIGINT) AS god, CAST(sum(is_tangled::INT) AS BIGINT) AS tangled, CAST(sum(is_rigid::INT) + sum(is_unstable::INT) AS BIGINT) AS extreme,
+  max(fan_in) AS max_fan_in, max(fan_out) AS max_fan_out, (SELECT count(DISTINCT component) FROM comp) AS circular FROM g),
+p AS (SELECT *, CAST(round_even(ratio * 100, 0) AS INTEGER) AS s_modularity, greatest(0, 100 - god * 20) AS s_god_modules, greatest(0, 100 - circular * 15) AS s_circular_deps, greatest(0, 100 - tangled * 20) AS s_tangled,
+  greatest(0, 100 - greatest(0, max_fan_in + max_fan_out - 10) * 5) AS s_coupling, greatest(0, 100 - extreme * 15) AS s_instability FROM m, i)
+SELECT modules, round_even(ratio, 3) AS modularity_ratio, god, circular, tangled, extreme, max_fan_in, max_fan_out, s_modularity, s_god_modules, s_circular_deps, s_tangled, s_coupling, s_instability,
+  CAST(round_even(s_modularity * 0.25::DOUBLE + s_god_modules * 0.2::DOUBLE + s_circular_deps * 0.2::DOUBLE + s_tangled * 0.15::DOUBLE + s_coupling * 0.1::DOUBLE + s_instability * 0.1::DOUBLE, 0) AS INTEGER) AS score FROM p""", recursive=True)
 def health_score(t):
     n, e = _module_graph(t)
-    w = A.module_imports(n, e)
-    cyclic = V.strongly_connected(w.select(F.col("from_mod").alias("a"), F.col("to_mod").alias("b"))).select(F.col("node").alias("uid"))
-    return A.health_score(n, e, cyclic)
+    return A.health_score(n, e, _cycles(n, e))
 
 
 @query(f"{_MODULE_IMPORTS}{_CYCLES} SELECT x.a AS node, min(x.b) AS component FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1", recursive=True)
 def import_cycles(t):
-    w = A.module_imports(*_module_graph(t))
-    return V.strongly_connected(w.select(F.col("from_mod").alias("a"), F.col("to_mod").alias("b")))
+    return _cycles(*_module_graph(t))
 
 
-@query(f"""SELECT uid, label FROM nodes WHERE label IN ('TypeDef', 'Callable') AND NOT regexp_matches(name, '^__.*__$')
+@query(f"""SELECT uid, label FROM nodes WHERE label IN ('TypeDef', 'Callable') AND NOT starts_with(name, '__') AND kind IN ('class', 'interface', 'enum', 'method')
   AND NOT EXISTS (SELECT 1 FROM {_HUB_EDGES} e WHERE e.to_uid = uid)
   AND NOT EXISTS (SELECT 1 FROM defines d JOIN calls c ON c.to_uid = d.to_uid WHERE d.from_uid = uid)
   AND NOT EXISTS (SELECT 1 FROM defines d WHERE d.to_uid = uid AND starts_with(d.from_uid, 'o:'))""")
@@ -182,13 +190,44 @@ _SUMMARY_PREFIX = "ASIA/"
 
 
 @query(f"""SELECT measure, count(*) AS value FROM (
-  SELECT CASE WHEN label = 'Module' THEN 'modules' ELSE 'entities' END AS measure FROM nodes WHERE starts_with(coalesce(file_path, ''), '{_SUMMARY_PREFIX}')
-  UNION ALL SELECT CASE WHEN starts_with(coalesce(a.file_path, ''), '{_SUMMARY_PREFIX}') AND starts_with(coalesce(b.file_path, ''), '{_SUMMARY_PREFIX}') THEN 'internal' WHEN starts_with(coalesce(a.file_path, ''), '{_SUMMARY_PREFIX}') THEN 'outgoing' WHEN starts_with(coalesce(b.file_path, ''), '{_SUMMARY_PREFIX}') THEN 'incoming' END
-    FROM edges LEFT JOIN nodes a ON a.uid = from_uid LEFT JOIN nodes b ON b.uid = to_uid WHERE rel_type NOT IN ('DEFINES', 'CONTAINS')) WHERE measure IS NOT NULL GROUP BY measure""")
+  SELECT CASE WHEN label = 'Module' THEN 'modules' ELSE 'entities' END AS measure FROM nodes WHERE starts_with(coalesce(file_path, ''), '{_SUMMARY_PREFIX}') AND label IN ('Module', 'TypeDef', 'Callable', 'Value')
+  UNION ALL SELECT CASE WHEN starts_with(a.file_path, '{_SUMMARY_PREFIX}') AND starts_with(b.file_path, '{_SUMMARY_PREFIX}') THEN CASE WHEN rel_type <> 'IMPORTS' THEN 'internal' END
+      WHEN starts_with(b.file_path, '{_SUMMARY_PREFIX}') THEN 'fan_in' WHEN starts_with(a.file_path, '{_SUMMARY_PREFIX}') THEN 'fan_out' END
+    FROM edges JOIN nodes a ON a.uid = from_uid JOIN nodes b ON b.uid = to_uid WHERE rel_type IN ('CALLS', 'INHERITS', 'IMPORTS') AND a.project_name = b.project_name AND from_uid <> to_uid) WHERE measure IS NOT NULL GROUP BY measure""")
 def module_summary(t):
     return A.module_summary(nodes(t), edges(t), _SUMMARY_PREFIX)
 
 
+@query("SELECT to_uid AS uid, count(*) AS importers FROM imports WHERE starts_with(to_uid, 'n:') GROUP BY to_uid ORDER BY importers DESC, uid LIMIT 10")
+def centrality_modules(t):
+    return A.hub_modules(nodes(t, ["Module"]), imports(t))
+
+
+@query("""SELECT n.project_name, n.entities, coalesce(a.l, []) AS depends_on, coalesce(b.l, []) AS depended_by FROM (SELECT project_name, count(*) AS entities FROM nodes GROUP BY project_name) n
+LEFT JOIN (SELECT x.project_name, list_sort(list(DISTINCT y.project_name)) AS l FROM imports JOIN nodes x ON x.uid = from_uid JOIN nodes y ON y.uid = to_uid WHERE x.project_name <> y.project_name GROUP BY 1) a USING (project_name)
+LEFT JOIN (SELECT y.project_name, list_sort(list(DISTINCT x.project_name)) AS l FROM imports JOIN nodes x ON x.uid = from_uid JOIN nodes y ON y.uid = to_uid WHERE x.project_name <> y.project_name GROUP BY 1) b USING (project_name)""")
+def project_list(t):
+    return A.project_list(nodes(t), edges(t))
+
+
+@query("""SELECT from_uid, to_uid, a.name AS child, b.name AS parent FROM inherits JOIN nodes a ON a.uid = from_uid JOIN nodes b ON b.uid = to_uid WHERE starts_with(a.file_path, 'EUROPE/') ORDER BY from_uid, to_uid LIMIT 30""")
+def inheritance_diagram(t):
+    return A.inheritance_diagram(nodes(t), edges(t, ["INHERITS"]), "EUROPE/")
+
+
+@query("""WITH m AS (SELECT uid FROM nodes WHERE label = 'Module' AND starts_with(file_path, 'ASIA/') ORDER BY qualified_name, uid LIMIT 1),
+top AS (SELECT m.uid AS module, n.* FROM m JOIN defines ON from_uid = m.uid JOIN nodes n ON n.uid = to_uid)
+SELECT * FROM (SELECT module, CAST(NULL AS VARCHAR) AS owner, name, label, kind, visibility FROM top ORDER BY line_start, uid LIMIT 30)
+UNION ALL SELECT * FROM (SELECT module, top.name AS owner, n.name, n.label, n.kind, n.visibility FROM top JOIN defines ON from_uid = top.uid JOIN nodes n ON n.uid = to_uid WHERE top.label = 'TypeDef' AND n.label = 'Callable' ORDER BY owner, n.line_start, n.uid LIMIT 30)""".replace("WITH m AS", ", m AS", 1))
+def module_detail_diagram(t):
+    return A.module_detail(nodes(t), edges(t, ["DEFINES"]), "ASIA/")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type", graph=False)
+def value_percentiles(t):
+    return A.percentiles(t.events, "value", "event_type").select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")))
+
+
 # ---------------------------------------------------------------- history
 
 _COMMITS = "WITH c AS (SELECT DISTINCT o_orderkey AS commit_id, o_custkey AS author, epoch(o_orderdate)::BIGINT AS ts, 'p:' || l_partkey AS file FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
@@ -261,8 +300,19 @@ def corpus(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("uid"), F.col("lang").alias("label"), "text")
 
 
+def text_scores(t: Tables, query: str) -> DataFrame:
+    """BM25 from postings and statistics that are built once."""
+    stats = t.built("text-statistics", lambda t: S.text_statistics(corpus(t)))
+    return S.bm25_indexed(t.built("postings", lambda t: S.postings(corpus(t)), "part"), stats, query)
+
+
 @query(f"{_BM25} SELECT label, uid, round(score, 5) AS score FROM sc", graph=False)
 def bm25_search(t):
+    return text_scores(t, _SEARCH).withColumn("score", F.round("score", 5))
+
+
+@query(f"{_BM25} SELECT label, uid, round(score, 5) AS score FROM sc", graph=False)
+def bm25_scan(t):
     return S.bm25(corpus(t), _SEARCH).withColumn("score", F.round("score", 5))
 
 
@@ -272,7 +322,7 @@ tx AS (SELECT uid, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk WHERE rank <=
 
 @query(f"{_TEXT} SELECT uid, round(score, 6) AS score FROM tx", graph=False)
 def text_search(t):
-    return S.text_search(corpus(t), _SEARCH).withColumn("score", F.round("score", 6))
+    return S.fused_labels(text_scores(t, _SEARCH)).withColumn("score", F.round("score", 6))
 
 
 def _by_channel(e: DataFrame) -> DataFrame:
@@ -303,7 +353,7 @@ fu AS (SELECT uid, 1.0::DOUBLE / (60 + rank) AS score FROM tx)
 SELECT uid, round(boosted, 6) AS score FROM (SELECT uid, score * 0.7::DOUBLE * CASE WHEN uid % 3 = 0 THEN 0.88 ELSE 1.0 END::DOUBLE * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.92 END::DOUBLE AS boosted
 FROM fu JOIN documents ON doc_id = uid) ORDER BY boosted DESC, uid LIMIT 10""", graph=False)
 def hybrid_search(t):
-    hits = S.hybrid_search(_documents_as_nodes(t), corpus(t), _SEARCH, 10, primary="en")
+    hits = S.hybrid_search(_documents_as_nodes(t), None, _SEARCH, 10, primary="en", scores=text_scores(t, _SEARCH))
     return hits.select("uid", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "uid")
 
 
@@ -318,6 +368,38 @@ def _query_vector(t: Tables) -> list[float]:
     return [float(x) for x in t.embeddings.where("vec_id = 7").select("embedding").first()[0]]
 
 
+@query(_BM25 + f""", rk AS (SELECT uid, row_number() OVER (PARTITION BY label ORDER BY score DESC, uid) AS rank FROM sc),
+tx AS (SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM (SELECT uid, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk WHERE rank <= 60 GROUP BY uid ORDER BY score DESC, uid LIMIT 60)),
+vx AS (SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM (SELECT vec_id AS uid, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, {_QVEC} ORDER BY score DESC, uid LIMIT 60)),
+fu AS (SELECT uid, sum(w / (60 + rank)) AS score FROM (SELECT uid, rank, 1.5::DOUBLE AS w FROM tx UNION ALL SELECT uid, rank, 2.0::DOUBLE FROM vx) GROUP BY uid),
+d AS (SELECT doc_id AS uid, lang, source, CASE WHEN doc_id % 7 = 0 THEN 'test_' ELSE 'doc_' END || doc_id AS name FROM documents)
+SELECT uid, round(boosted, 6) AS score FROM (SELECT uid, score * 0.7::DOUBLE * CASE WHEN uid % 3 = 0 THEN 0.88 ELSE 1.0 END::DOUBLE AS boosted FROM fu JOIN d USING (uid) WHERE NOT starts_with(name, 'test_') AND lang <> 'de' AND source <> 'forum')
+ORDER BY boosted DESC, uid LIMIT 20""", graph=False)
+def hybrid_filtered(t):
+    """Text and vector channels with explicit weights, and the chain of filters."""
+    n = _documents_as_nodes(t).withColumn("name", F.concat(F.when(F.col("uid") % 7 == 0, "test_").otherwise("doc_"), F.col("uid").cast("string")))
+    options = {"channels": ("bm25", "vector"), "weights": {"bm25": 1.5, "vector": 2.0}, "tests": False, "exclude": ["de/*", "forum"]}
+    hits = S.hybrid_search(n, None, _SEARCH, 20, _vectors(t), _query_vector(t), scores=text_scores(t, _SEARCH), **options)
+    return hits.select("uid", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "uid")
+
+
+@query("""SELECT uid, kind FROM (SELECT p_partkey AS uid, CASE p_partkey % 3 WHEN 0 THEN 'Note' WHEN 1 THEN 'Callable' ELSE 'TypeDef' END AS kind,
+  CASE p_size % 5 WHEN 0 THEN 'Tests' || chr(92) || 'a.py' WHEN 1 THEN 'src/x_pb2.py' WHEN 2 THEN 'src/y.PYI' WHEN 3 THEN 'src/Test_z.py' ELSE 'src/w.py' END AS path, CASE WHEN p_partkey % 11 = 0 THEN 'X_Test' ELSE p_name END AS name FROM part)
+WHERE kind <> 'Note' AND path = 'src/w.py' AND name <> 'X_Test'""", graph=False)
+def filter_chain(t):
+    k = F.col("p_partkey")
+    path = F.element_at(F.array(*(F.lit(x) for x in ("Tests\\a.py", "src/x_pb2.py", "src/y.PYI", "src/Test_z.py", "src/w.py"))), (F.col("p_size") % 5 + 1).cast("int"))
+    hits = t.part.select(k.alias("uid"), F.element_at(F.array(F.lit("Note"), F.lit("Callable"), F.lit("TypeDef")), (k % 3 + 1).cast("int")).alias("label"), path.alias("file_path"), F.when(k % 11 == 0, "X_Test").otherwise(F.col("p_name")).alias("name"))
+    return S.filter_hits(hits, code_only=True, tests=False, stubs=False, generated=False, include=["*.py", "*.pyi"]).select("uid", F.col("label").alias("kind"))
+
+
+@query("""SELECT uid, match, row_number() OVER (ORDER BY visibility <> 'public', visibility, length(qualified_name), uid) AS place FROM (
+  SELECT *, row_number() OVER (ORDER BY match DESC, uid) AS pos FROM (SELECT uid, qualified_name, visibility, CASE WHEN uid = 'order_1' OR name = 'order_1' THEN 4 WHEN ends_with(qualified_name, '.order_1') THEN 3
+    WHEN starts_with(qualified_name, 'order_1.') THEN 2 ELSE 1 END AS match FROM nodes WHERE label = 'Callable' AND (contains(qualified_name, 'order_1') OR contains(name, 'order_1')))) WHERE pos > 5 AND pos <= 25""")
+def get_node_page(t):
+    return S.get_node(nodes(t), "order_1", limit=20, offset=5, label="Callable")
+
+
 @query(f"SELECT vec_id AS uid, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS score FROM embeddings, {_QVEC} ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, uid LIMIT 20", graph=False)
 def vector_topk(t):
     return S.vector_search(_vectors(t), _query_vector(t)).withColumn("score", F.round("score", 5))
@@ -325,7 +407,7 @@ def vector_topk(t):
 
 @query(f"SELECT vec_id AS uid, round(list_cosine_similarity(embedding::DOUBLE[], q), 5) AS score FROM embeddings, {_QVEC} WHERE list_cosine_similarity(embedding::DOUBLE[], q) >= 0.2", graph=False)
 def vector_threshold(t):
-    return S.vector_search(_vectors(t), _query_vector(t), limit=2**31 - 1, threshold=0.2).withColumn("score", F.round("score", 5))
+    return S.vector_search(_vectors(t), _query_vector(t), limit=None, threshold=0.2).withColumn("score", F.round("score", 5))
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4", graph=False)
@@ -371,6 +453,27 @@ def blast_radius(t):
     return out.select("uid", "min_depth", F.round("score", 6).alias("score"), "via", "line", "ambiguous_only", "test_only")
 
 
+_BOTH = """, g AS (SELECT from_uid AS src, to_uid AS dst, rel_type, weight, confidence, from_test, line FROM calls UNION ALL SELECT from_uid, to_uid, rel_type, 1.0::DOUBLE, NULL, NULL, NULL FROM defines),
+e AS (SELECT 0 AS side, src, dst, rel_type, weight, coalesce(confidence, 'resolved') = 'resolved' AS firm, NOT coalesce(from_test, false) AS real, line FROM g
+  UNION ALL SELECT 1, dst, src, rel_type, weight, coalesce(confidence, 'resolved') = 'resolved', NOT coalesce(from_test, false), line FROM g),
+r(side, uid, d, s, via, firm, real, line) AS (SELECT side, dst, 1, weight, rel_type, firm, real, line FROM e WHERE src = 's:1'
+  UNION SELECT r.side, dst, d + 1, s * weight, via, r.firm AND e.firm, r.real AND e.real, NULL FROM r JOIN e ON e.src = uid AND e.side = r.side WHERE d < 2),
+z AS (SELECT side, uid, min(d) AS min_depth, max(s) AS score, list_sort(list(DISTINCT via)) AS via, min(line) AS line, NOT bool_or(firm) AS ambiguous_only, NOT bool_or(real) AS test_only FROM r WHERE uid <> 's:1' GROUP BY side, uid),
+k AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY uid ORDER BY min_depth, side) = 1)"""
+
+
+@query(f"{_BOTH} SELECT uid, min_depth, round(score, 6) AS score, via, line, ambiguous_only, test_only FROM k", recursive=True)
+def blast_radius_both(t):
+    out = V.blast_radius(edges(t, ["CALLS", "DEFINES"]), "s:1", "both", 2, ("CALLS", "DEFINES"))
+    return out.select("uid", "min_depth", F.round("score", 6).alias("score"), "via", "line", "ambiguous_only", "test_only")
+
+
+@query(f"{_BOTH} SELECT k.uid, min_depth, test_only, round(score, 6) AS score, (SELECT count(*) FROM k) AS affected_count FROM k JOIN nodes n ON n.uid = k.uid ORDER BY min_depth, test_only, k.score DESC, qualified_name, k.uid LIMIT 20", recursive=True)
+def impact_ranked(t):
+    out = V.blast_radius(edges(t, ["CALLS", "DEFINES"]), "s:1", "both", 2, ("CALLS", "DEFINES"))
+    return V.ranked_impact(out, nodes(t)).select("uid", "min_depth", "test_only", F.round("score", 6).alias("score"), "affected_count")
+
+
 _TRACE = ("n:1", "p:1")
 
 
@@ -381,7 +484,7 @@ best AS (SELECT hops FROM r WHERE uid = '{_TRACE[1]}' ORDER BY len(hops), s DESC
 SELECT CAST(i AS INTEGER) AS hop, hops[i].from_uid AS from_uid, hops[i].to_uid AS to_uid, hops[i].rel_type AS rel_type, round(hops[i].weight, 6) AS weight FROM (SELECT hops, unnest(generate_series(1, len(hops))) AS i FROM best)""", recursive=True)
 def trace_path(t):
     e = edges(t, ["DEFINES", "CALLS"])
-    return V.trace_path(e, *_TRACE, max_depth=3, types=("DEFINES", "CALLS")).withColumn("weight", F.round("weight", 6))
+    return V.trace_path(e, *_TRACE, max_depth=3, types=("DEFINES", "CALLS")).select("hop", "from_uid", "to_uid", "rel_type", F.round("weight", 6).alias("weight"))
 
 
 @query("""SELECT c.uid, coalesce(m1.uid, m2.uid, m3.uid) AS ancestor, CASE WHEN m1.uid IS NOT NULL THEN 1 WHEN m2.uid IS NOT NULL THEN 2 ELSE 3 END AS distance FROM nodes c
@@ -415,9 +518,15 @@ def communities(t):
     return A.communities(nodes(t), edges(t, ["CALLS", "IMPORTS", "DEFINES"]))
 
 
-@query()
+@query(""", p AS (SELECT from_uid AS uid FROM defines WHERE to_uid = 'p:1'),
+cr AS (SELECT n.uid, n.file_path, n.qualified_name FROM calls JOIN nodes n ON n.uid = from_uid WHERE to_uid = 'p:1' AND n.label = 'Callable')
+SELECT 'target' AS role, 1 AS place, uid FROM nodes WHERE uid = 'p:1'
+UNION ALL SELECT 'parent', 1, uid FROM p
+UNION ALL SELECT 'sibling', CAST(row_number() OVER (ORDER BY uid) AS INTEGER), uid FROM (SELECT to_uid AS uid FROM defines JOIN p ON p.uid = from_uid WHERE to_uid <> 'p:1' ORDER BY to_uid LIMIT 5)
+UNION ALL SELECT 'module', 1, from_uid FROM defines WHERE to_uid IN (SELECT uid FROM p)
+UNION ALL SELECT 'caller', CAST(row_number() OVER (ORDER BY t, l, uid) AS INTEGER), uid FROM (SELECT uid, contains(lower(file_path), 'test') AS t, length(qualified_name) AS l FROM cr ORDER BY t, l, uid LIMIT 20)""")
 def expand_context(t):
-    return S.expand_context(nodes(t), edges(t, ["CALLS", "DEFINES"]), "s:1")
+    return S.expand_context(nodes(t), edges(t, ["CALLS", "DEFINES"]), "p:1").withColumn("place", F.col("place").cast("int"))
 
 
 # ---------------------------------------------------------------- resolution
@@ -548,7 +657,9 @@ def depends_on(t):
     return R.depends_on(imports(t), nodes(t, ["Module", "TypeDef"]))
 
 
-_MEMBERS = ", m AS (SELECT DISTINCT 's:' || l_suppkey AS uid, 'm' || (l_partkey % 30) AS member FROM lineitem), p AS (SELECT DISTINCT 'b:' || (p_partkey % 40) AS uid, 'm' || (p_partkey % 30) AS member FROM part WHERE p_size <= 6 AND p_partkey < 400)"
+#: Protocols that parts are dealt to; many, so that some are small enough for a supplier to conform to.
+PROTOCOLS = 997
+_MEMBERS = f", m AS (SELECT DISTINCT 's:' || l_suppkey AS uid, 'm' || (l_partkey % 30) AS member FROM lineitem), p AS (SELECT DISTINCT 'b:' || (p_partkey % {PROTOCOLS}) AS uid, 'm' || (p_partkey % 30) AS member FROM part WHERE p_size <= 6)"
 
 
 @query(f"""{_MEMBERS} SELECT from_uid, to_uid, 'IMPLEMENTS' AS rel_type, true AS inferred, 0.5::DOUBLE AS weight FROM (SELECT DISTINCT uid AS from_uid FROM m), (SELECT DISTINCT uid AS to_uid FROM p)
@@ -556,7 +667,7 @@ WHERE NOT EXISTS (SELECT member FROM p WHERE p.uid = to_uid EXCEPT SELECT member
 def protocol_conformance(t):
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
     members = t.lineitem.select(text("s:", F.col("l_suppkey")).alias("uid"), text("m", F.col("l_partkey") % 30).alias("member"))
-    protocols = t.part.where("p_size <= 6 AND p_partkey < 400").select(text("b:", F.col("p_partkey") % 40).alias("uid"), text("m", F.col("p_partkey") % 30).alias("member"))
+    protocols = t.part.where("p_size <= 6").select(text("b:", F.col("p_partkey") % PROTOCOLS).alias("uid"), text("m", F.col("p_partkey") % 30).alias("member"))
     return R.protocol_conformance(members, protocols)
 
 
@@ -572,32 +683,153 @@ def member_overrides(t):
     return R.overrides(base, defines(t), types.unionByName(parts))
 
 
+_TEXT = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS ref_id, 'T' || (o_orderkey % 45) AS name, 'd' || (o_custkey % 6) || '/f' || (o_custkey % 18) AS file_path, 'n:' || (o_custkey % 25) AS fallback FROM orders),
+y AS (SELECT 's:' || s_suppkey AS uid, 'T' || (s_suppkey % 40) AS name, 'd' || (s_suppkey % 6) || '/f' || (s_suppkey % 18) AS file_path FROM supplier),
+c AS (SELECT r.*, y.uid, CASE WHEN y.uid IS NULL THEN 4 WHEN r.file_path = y.file_path THEN 1 WHEN split_part(r.file_path, '/', 1) = split_part(y.file_path, '/', 1) THEN 2 ELSE 3 END AS rung FROM r LEFT JOIN y USING (name)),
+b AS (SELECT *, min(rung) OVER (PARTITION BY ref_id) AS best FROM c)
+SELECT CASE WHEN count(*) = 1 AND min(rung) < 4 THEN min(uid) ELSE min(fallback) END AS from_uid, 'o:' || ref_id AS to_uid, 'DEFINES' AS rel_type FROM b WHERE rung = best GROUP BY ref_id""", graph=False)
+def resolve_member_defines(t):
+    c = F.col
+    path = lambda k: F.concat(_TEXT("d", k % 6), _TEXT("/f", k % 18))
+    refs = t.orders.select(c("o_orderkey").alias("ref_id"), _TEXT("o:", c("o_orderkey")).alias("member_uid"), F.lit("w").alias("project_name"), _TEXT("T", c("o_orderkey") % 45).alias("name"), path(c("o_custkey")).alias("file_path"), _TEXT("n:", c("o_custkey") % 25).alias("fallback_uid"))
+    types = t.supplier.select(_TEXT("s:", c("s_suppkey")).alias("uid"), F.lit("w").alias("project_name"), _TEXT("T", c("s_suppkey") % 40).alias("name"), path(c("s_suppkey")).alias("file_path"))
+    return R.resolve_members(refs, types)
+
+
+@query("""SELECT 'c:' || c_custkey AS from_uid, coalesce((SELECT min('s:' || s_suppkey) FROM supplier WHERE 'B' || (s_suppkey % 30) = 'B' || (c_custkey % 60)), (SELECT min('x:' || n_nationkey) FROM nation WHERE 'B' || (n_nationkey + 25) = 'B' || (c_custkey % 60)),
+  'w:ext/builtins.B' || (c_custkey % 60)) AS to_uid, 'INHERITS' AS rel_type FROM customer""", graph=False)
+def resolve_inherits(t):
+    c = F.col
+    refs = t.customer.select(_TEXT("c:", c("c_custkey")).alias("from_uid"), F.lit("w").alias("project_name"), _TEXT("B", c("c_custkey") % 60).alias("name"))
+    types = t.supplier.select(_TEXT("s:", c("s_suppkey")).alias("uid"), F.lit("w").alias("project_name"), _TEXT("B", c("s_suppkey") % 30).alias("name"))
+    ext = t.nation.select(_TEXT("x:", c("n_nationkey")).alias("uid"), F.lit("w").alias("project_name"), _TEXT("B", c("n_nationkey") + 25).alias("name"))
+    return R.resolve_inherits(refs, types, ext)
+
+
+@query("""WITH e AS (SELECT 'p:' || p_partkey AS uid, CASE WHEN p_partkey % 4 = 0 THEN 'Module' ELSE 'Callable' END AS label, 'm' || p_partkey AS name, 'src/d' || (p_partkey // 4 % 300) || '/f' || (p_partkey // 4) || '.py' AS file_path, CASE WHEN p_size > 25 THEN 'h' ELSE 'g' END || p_partkey AS h FROM part),
+a AS (SELECT o_orderkey AS anchor_id, 'f' || (o_orderkey % 700) || '.py' AS path, CASE WHEN o_orderkey % 2 = 0 THEN 'm' || (4 * (o_orderkey % 700) + o_orderkey % 5) END AS symbol FROM orders),
+f AS (SELECT anchor_id, path, symbol, min(uid) AS fu, min(file_path) AS fp FROM a LEFT JOIN e ON label = 'Module' AND ends_with(file_path, '/' || path) GROUP BY anchor_id, path, symbol HAVING count(uid) <= 1),
+g AS (SELECT anchor_id, CASE WHEN symbol IS NULL THEN fu ELSE (SELECT min(uid) FROM e WHERE label <> 'Module' AND e.file_path = fp AND e.name = symbol) END AS to_uid FROM f)
+SELECT anchor_id, to_uid, e.h AS anchor_hash FROM g LEFT JOIN e ON e.uid = to_uid""", graph=False)
+def resolve_anchors(t):
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+    file = F.floor(k / 4)
+    ents = t.part.select(
+        _TEXT("p:", k).alias("uid"), F.when(k % 4 == 0, "Module").otherwise("Callable").alias("label"), _TEXT("m", k).alias("name"), F.concat(_TEXT("src/d", file % 300), _TEXT("/f", file), F.lit(".py")).alias("file_path"),
+        F.concat(F.when(F.col("p_size") > 25, "h").otherwise("g"), k.cast("string")).alias("content_hash"),
+    )
+    path = F.concat(_TEXT("f", o % 700), F.lit(".py"))
+    anchors = t.orders.select(o.alias("anchor_id"), F.lit("n").alias("note_uid"), F.when(o % 2 == 0, F.concat(path, F.lit("#"), _TEXT("m", 4 * (o % 700) + o % 5))).otherwise(path).alias("anchor"))
+    return R.resolve_anchors(anchors, ents).select("anchor_id", "to_uid", "anchor_hash")
+
+
+@query("""WITH l AS (SELECT o_orderkey AS from_uid, o_custkey % 90 AS k, o_orderstatus FROM orders)
+SELECT from_uid, 'p:' || k AS to_uid, NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = k AND p_size > 20) AS stale FROM l""", graph=False)
+def stale_anchors(t):
+    c = F.col
+    links = t.orders.select(c("o_orderkey").alias("from_uid"), _TEXT("p:", c("o_custkey") % 90).alias("to_uid"), F.lit("big").alias("anchor_hash"))
+    now = t.part.select(_TEXT("p:", c("p_partkey")).alias("uid"), F.when(c("p_size") > 20, "big").otherwise("small").alias("content_hash"))
+    return R.stale_anchors(links, now).select("from_uid", "to_uid", "stale")
+
+
+_CONFIG = "(SELECT 'o:' || o_orderkey AS from_uid, CASE WHEN o_custkey % 2 = 0 THEN 'q' ELSE 'w' END AS project_name, CASE WHEN o_orderkey % 3 = 0 THEN 'file' ELSE 'env' END AS kind, 'X' || (o_custkey % 31) AS target FROM orders)"
+
+
+@query(f"SELECT DISTINCT CASE WHEN kind = 'env' THEN 'env/' || target ELSE project_name || ':res/' || target END AS uid, CASE WHEN kind = 'env' THEN 'EnvVar' ELSE 'ResourceFile' END AS label, CASE WHEN kind = 'env' THEN '_global' ELSE project_name END AS project_name, target AS name FROM {_CONFIG}", graph=False)
+def config_nodes(t):
+    return R.config_refs(_config(t))[0]
+
+
+@query(f"SELECT DISTINCT from_uid, CASE WHEN kind = 'env' THEN 'env/' || target ELSE project_name || ':res/' || target END AS to_uid, CASE WHEN kind = 'env' THEN 'READS_ENV' ELSE 'REFERENCES_FILE' END AS rel_type FROM {_CONFIG}", graph=False)
+def config_edges(t):
+    return R.config_refs(_config(t))[1]
+
+
+def _config(t: Tables) -> DataFrame:
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select(_TEXT("o:", o).alias("from_uid"), F.when(k % 2 == 0, "q").otherwise("w").alias("project_name"), F.when(o % 3 == 0, "file").otherwise("env").alias("kind"), _TEXT("X", k % 31).alias("target"))
+
+
+@query("""SELECT DISTINCT 'o:' || o_orderkey AS from_uid, coalesce((SELECT 'pkg:' || min(r_regionkey) FROM region WHERE r_regionkey = o_custkey % 9), 'ext:' || (o_custkey % 9)) AS to_uid FROM orders""", graph=False)
+def cross_project_imports(t):
+    c = F.col
+    e = t.orders.select(_TEXT("o:", c("o_orderkey")).alias("from_uid"), _TEXT("ext:", c("o_custkey") % 9).alias("to_uid"), F.lit("IMPORTS").alias("rel_type"))
+    ext = t.customer.select(_TEXT("ext:", c("c_custkey") % 9).alias("uid"), _TEXT("top", c("c_custkey") % 9).alias("name")).distinct()
+    packages = t.region.select(_TEXT("pkg:", c("r_regionkey")).alias("uid"), _TEXT("top", c("r_regionkey")).alias("name"))
+    return R.cross_project_imports(e, ext, packages).select("from_uid", "to_uid")
+
+
+@query("""WITH e AS (SELECT 'p:' || p_partkey AS uid, CASE WHEN p_partkey % 5 = 0 THEN 'Note' ELSE 'Callable' END AS label, 's' || (p_partkey % 1500) AS name, 'src/f' || (p_partkey % 1700) || '.py' AS file_path FROM part),
+r AS (SELECT o_orderkey AS ref_id, o_orderkey % 2 = 0 AS is_file, CASE WHEN o_orderkey % 2 = 0 THEN 'f' || (o_custkey % 1800) || '.py' ELSE 's' || (o_custkey % 1600) END AS target FROM orders)
+SELECT 'd:' || ref_id AS from_uid, min(uid) AS to_uid, 'DOCUMENTS' AS rel_type, 'mention' AS link_type, 0.5::DOUBLE AS doc_confidence FROM r JOIN e ON label <> 'Note' AND CASE WHEN is_file THEN ends_with(file_path, '/' || target) ELSE name = target END GROUP BY ref_id HAVING count(*) = 1""", graph=False)
+def doc_links(t):
+    k, o, u = F.col("p_partkey"), F.col("o_orderkey"), F.col("o_custkey")
+    ents = t.part.select(_TEXT("p:", k).alias("uid"), F.when(k % 5 == 0, "Note").otherwise("Callable").alias("label"), F.lit("w").alias("project_name"), _TEXT("s", k % 1500).alias("name"), F.concat(_TEXT("src/f", k % 1700), F.lit(".py")).alias("file_path"))
+    refs = t.orders.select(o.alias("ref_id"), _TEXT("d:", o).alias("from_uid"), F.lit("w").alias("project_name"), F.when(o % 2 == 0, F.concat(_TEXT("f", u % 1800), F.lit(".py"))).otherwise(_TEXT("s", u % 1600)).alias("target"), (o % 2 == 0).alias("is_file"), F.lit("mention").alias("link_type"), F.lit(0.5).alias("confidence"))
+    return R.doc_links(refs, ents)
+
+
+@query("""WITH e AS (SELECT 'p:' || p_partkey AS uid, 'm' || (p_partkey % 200) AS name, 'f' || (p_partkey % 40) AS file_path FROM part), i AS (SELECT DISTINCT 'f' || (c_custkey % 40) AS from_file, 'p:' || c_custkey AS to_uid FROM customer),
+c AS (SELECT 'o:' || o_orderkey AS from_uid, e.uid AS to_uid, CASE WHEN e.file_path = 'f' || (o_custkey % 40) THEN 1 WHEN i.to_uid IS NOT NULL THEN 2 END AS rung FROM orders JOIN e ON e.name = 'm' || (o_orderkey % 200) LEFT JOIN i ON i.from_file = 'f' || (o_custkey % 40) AND i.to_uid = e.uid)
+SELECT from_uid, to_uid, 'REGISTERED_BY' AS rel_type FROM c WHERE rung IS NOT NULL QUALIFY rung = min(rung) OVER (PARTITION BY from_uid)""", graph=False)
+def registered_by(t):
+    k, o, u = F.col("p_partkey"), F.col("o_orderkey"), F.col("o_custkey")
+    ents = t.part.select(_TEXT("p:", k).alias("uid"), F.lit("Callable").alias("label"), F.lit("w").alias("project_name"), _TEXT("m", k % 200).alias("name"), _TEXT("f", k % 40).alias("file_path"))
+    refs = t.orders.select(_TEXT("o:", o).alias("from_uid"), F.lit("w").alias("project_name"), _TEXT("f", u % 40).alias("file_path"), _TEXT("m", o % 200).alias("name"))
+    imp = t.customer.select(_TEXT("f", F.col("c_custkey") % 40).alias("from_file"), _TEXT("p:", F.col("c_custkey")).alias("to_uid"))
+    return R.registered_by(refs, ents, imp)
+
+
+@query("""SELECT a.to_uid AS from_uid, b.to_uid AS to_uid, 'IMPLEMENTS' AS rel_type, true AS inferred, 0.5::DOUBLE AS weight FROM (SELECT c_custkey AS x, c_custkey % 10 + 1 AS y FROM customer WHERE c_custkey > 10) i
+JOIN defines a ON a.from_uid = 'c:' || x JOIN orders p ON 'o:' || p.o_orderkey = a.to_uid JOIN defines b ON b.from_uid = 'c:' || y JOIN orders q ON 'o:' || q.o_orderkey = b.to_uid AND q.o_orderpriority = p.o_orderpriority""")
+def protocol_members(t):
+    k = F.col("c_custkey")
+    conforms = t.customer.where("c_custkey > 10").select(_TEXT("c:", k).alias("from_uid"), _TEXT("c:", k % 10 + 1).alias("to_uid"))
+    named = t.orders.select(_TEXT("o:", F.col("o_orderkey")).alias("uid"), F.lit("Callable").alias("label"), F.col("o_orderpriority").alias("name"))
+    return R.protocol_members(conforms, defines(t), named)
+
+
 # ---------------------------------------------------------------- change
 
-_SNAPSHOTS = """WITH o AS (SELECT o_orderkey AS uid, left(sha256(o_orderpriority), 16) AS content_hash, o_orderstatus AS signature, o_orderpriority AS docstring, 1 AS line_start FROM orders WHERE o_orderkey % 10 <> 3),
-n AS (SELECT o_orderkey AS uid, left(sha256(CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderpriority END), 16) AS content_hash, CASE WHEN o_orderkey % 14 = 0 THEN 'y' ELSE o_orderstatus END AS signature, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderpriority END AS docstring, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS line_start FROM orders WHERE o_orderkey % 10 <> 4)"""
+_SNAPSHOTS = """WITH o AS (SELECT o_orderkey AS uid, left(sha256(o_orderpriority), 16) AS content_hash, o_orderstatus AS signature, o_orderpriority AS docstring, 1 AS line_start, 9 AS line_end FROM orders WHERE o_orderkey % 10 <> 3),
+n AS (SELECT o_orderkey AS uid, left(sha256(CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderpriority END), 16) AS content_hash, CASE WHEN o_orderkey % 14 = 0 THEN 'y' ELSE o_orderstatus END AS signature, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderpriority END AS docstring, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS line_start, CASE WHEN o_orderkey % 11 = 0 THEN 8 ELSE 9 END AS line_end FROM orders WHERE o_orderkey % 10 <> 4)"""
 
 
-@query(f"""{_SNAPSHOTS}, j AS (SELECT coalesce(o.uid, n.uid) AS uid, o.uid AS ou, n.uid AS nu, o.* EXCLUDE (uid), n.content_hash AS ch, n.signature AS sg, n.docstring AS ds, n.line_start AS ls FROM o FULL JOIN n ON o.uid = n.uid),
-k AS (SELECT *, CASE WHEN ou IS NULL THEN 'added' WHEN nu IS NULL THEN 'deleted' WHEN content_hash <> ch THEN 'modified' WHEN line_start <> ls THEN 'moved' ELSE 'unchanged' END AS change FROM j)
+@query(f"""{_SNAPSHOTS}, j AS (SELECT coalesce(o.uid, n.uid) AS uid, o.uid AS ou, n.uid AS nu, o.* EXCLUDE (uid), n.content_hash AS ch, n.signature AS sg, n.docstring AS ds, n.line_start AS ls, n.line_end AS le FROM o FULL JOIN n ON o.uid = n.uid),
+k AS (SELECT *, CASE WHEN ou IS NULL THEN 'added' WHEN nu IS NULL THEN 'deleted' WHEN content_hash <> ch THEN 'modified' WHEN line_start <> ls OR line_end <> le THEN 'moved' ELSE 'unchanged' END AS change FROM j)
 SELECT uid, change, CASE WHEN change = 'modified' THEN CASE WHEN signature = sg AND docstring <> ds THEN 'MODERATE' ELSE 'HIGH' END WHEN change IN ('added', 'deleted') THEN 'HIGH' END AS significance FROM k""", graph=False)
 def delta_classify(t):
     k, p, s = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
     sha = lambda c: F.substring(F.sha2(c, 256), 1, 16)
     changed = F.when(k % 7 == 0, "x").otherwise(p)
-    old = t.orders.where(k % 10 != 3).select(k.alias("uid"), sha(p).alias("content_hash"), s.alias("signature"), p.alias("docstring"), F.lit(1).alias("line_start"))
-    new = t.orders.where(k % 10 != 4).select(k.alias("uid"), sha(changed).alias("content_hash"), F.when(k % 14 == 0, "y").otherwise(s).alias("signature"), changed.alias("docstring"), F.when(k % 5 == 0, 2).otherwise(1).alias("line_start"))
+    old = t.orders.where(k % 10 != 3).select(k.alias("uid"), sha(p).alias("content_hash"), s.alias("signature"), p.alias("docstring"), F.lit(1).alias("line_start"), F.lit(9).alias("line_end"))
+    new = t.orders.where(k % 10 != 4).select(k.alias("uid"), sha(changed).alias("content_hash"), F.when(k % 14 == 0, "y").otherwise(s).alias("signature"), changed.alias("docstring"), F.when(k % 5 == 0, 2).otherwise(1).alias("line_start"), F.when(k % 11 == 0, 8).otherwise(9).alias("line_end"))
     return D.classify(old, new)
 
 
-@query("SELECT uid, left(sha256(array_to_string([name, coalesce(kind, ''), visibility, coalesce(docstring, '')], chr(0))), 16) AS hash FROM nodes")
+@query("""SELECT uid, left(sha256(array_to_string(list_concat([name, coalesce(kind, ''), visibility, '(' || line_end || ')', coalesce(docstring, ''), CASE WHEN label < project_name THEN label || ',' || project_name ELSE project_name || ',' || label END, qualified_name, ''],
+  CASE WHEN kind = 'enum' THEN ['rationale:' || name] ELSE [] END, CASE WHEN label = 'Module' THEN ['citations:ADR-1,RFC-2'] ELSE [] END), chr(0))), 16) AS hash FROM nodes""")
 def content_hash(t):
-    return nodes(t).select("uid", X.content_hash(*(F.col(c) for c in ("name", "kind", "visibility", "docstring"))).alias("hash"))
+    c = F.col
+    hashed = X.content_hash(
+        c("name"), c("kind"), c("visibility"), F.concat(F.lit("("), c("line_end").cast("string"), F.lit(")")), c("docstring"), F.array("project_name", "label"), c("qualified_name"),
+        rationale=F.when(c("kind") == "enum", c("name")), citations=F.when(c("label") == "Module", F.array(F.lit("RFC-2"), F.lit("ADR-1"))),
+    )
+    return nodes(t).select("uid", hashed.alias("hash"))
+
 
+_WRITTEN = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) || chr(10) WHEN 2 THEN replace(text, chr(10), chr(13)) || ' ' || chr(10) ELSE text || chr(10) || chr(10) || ' ' || chr(10) || 'x' END"
 
-@query("SELECT doc_id, left(sha256(regexp_replace(regexp_replace(text, '[ \\t\\r\\x0b\\x0c]+(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')), 16) AS hash FROM documents", graph=False)
+
+@query(f"""SELECT doc_id, left(sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), '[ \\t\\x0b\\x0c]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')), 16) AS hash
+FROM (SELECT doc_id, {_WRITTEN} AS text FROM documents)""", graph=False)
 def file_hash(t):
-    return t.documents.select("doc_id", X.file_hash(F.col("text")).alias("hash"))
+    d, text, n, r = F.col("doc_id"), F.col("text"), F.lit("\n"), F.lit("\r")
+    written = F.when(d % 4 == 0, text).when(d % 4 == 1, F.concat(F.replace(text, n, F.lit("\r\n")), n)).when(d % 4 == 2, F.concat(F.replace(text, n, r), F.lit(" \n"))).otherwise(F.concat(text, F.lit("\n\n \nx")))
+    return t.documents.select("doc_id", X.file_hash(written).alias("hash"))
 
 
 @query("SELECT uid FROM nodes WHERE label IN ('TypeDef') AND uid NOT IN (SELECT to_uid FROM calls WHERE candidate_count = 1) AND starts_with(uid, 'p:')")
@@ -638,7 +870,10 @@ def events_cooldown(t):
     return E.cooled_down(t.events, "user_id", seconds=3600).select("event_id", "deferred")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS path, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT path, n, t AS a, t AS b, 1 AS burst FROM e WHERE n = 1 UNION ALL
+  SELECT e.path, e.n, CASE WHEN e.t - b >= 3600 OR e.t - a >= 14400 THEN e.t ELSE a END, e.t, burst + CASE WHEN e.t - b >= 3600 OR e.t - a >= 14400 THEN 1 ELSE 0 END FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)
+SELECT path, min(a)::DOUBLE AS first_event, max(b)::DOUBLE AS last_event, count(*) AS n FROM r GROUP BY path, burst""", graph=False)
 def events_debounced(t):
     return E.debounced(t.events.withColumn("path", F.col("user_id").cast("string")), gap=3600.0, cap=14400.0)
 
@@ -651,7 +886,7 @@ def href_extract(t):
     return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query("SELECT name, CASE WHEN regexp_matches(name, '^__.+__$') THEN 'public' WHEN starts_with(name, '__') THEN 'private' WHEN starts_with(name, '_') THEN 'protected' ELSE 'public' END AS visibility FROM (SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN '__' WHEN 1 THEN '_' ELSE '' END || 'n' || (o_custkey % 50) || CASE o_custkey % 8 WHEN 0 THEN '__' ELSE '' END AS name FROM orders)", graph=False)
+@query("SELECT name, CASE WHEN regexp_matches(name, '^__.+__$') THEN 'public' WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END AS visibility FROM (SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN '__' WHEN 1 THEN '_' ELSE '' END || 'n' || (o_custkey % 50) || CASE o_custkey % 8 WHEN 0 THEN '__' ELSE '' END AS name FROM orders)", graph=False)
 def name_visibility(t):
     k = F.col("o_custkey")
     name = F.concat(F.when(k % 4 == 0, "__").when(k % 4 == 1, "_").otherwise(""), F.lit("n"), (k % 50).cast("string"), F.when(k % 8 == 0, "__").otherwise(""))

@@ -20,8 +20,9 @@ def clamp(limit: int | None) -> int:
     return default if limit is None else max(low, min(high, limit))
 
 
-def check_sql(text: str) -> list[str]:
-    """Problems of a read query: writes, unbalanced brackets, no SELECT, unknown labels or relationship types, no LIMIT."""
+def check_sql(text: str, spark: SparkSession | None = None) -> list[str]:
+    """Problems of a read query: writes, unbalanced brackets, no SELECT, unknown labels or relationship types, no LIMIT; with a session
+    also what its parser says."""
     bare = _STRINGS.sub(" ", text)
     out = [f"writes: {m[1].upper()}" for m in [_WRITES.search(bare)] if m]
     out += [f"unbalanced {a}{b}" for a, b in ("()", "[]") if bare.count(a) != bare.count(b)]
@@ -32,6 +33,13 @@ def check_sql(text: str) -> list[str]:
             if value not in known:
                 near = difflib.get_close_matches(value, known, 1)
                 out.append(f"unknown {column} {value!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
+    if spark is not None:
+        from pyspark.errors import ParseException
+
+        try:
+            spark._jsparkSession.sessionState().sqlParser().parsePlan(text.rstrip().rstrip(";"))
+        except ParseException as error:
+            out.append(f"does not parse: {error.getCondition()}")
     if not re.search(r"\bLIMIT\b", bare, re.I):
         out.append("no LIMIT: one is added")
     return out
@@ -48,14 +56,30 @@ def run_sql(nodes: DataFrame, edges: DataFrame, text: str, limit: int | None = N
     return spark.sql(text.rstrip().rstrip(";")).limit(clamp(limit))
 
 
+# Words that tell what a question is about.
+KNOWLEDGE = re.compile(r"\b(why|decisions?|gotchas?|rationale|trade-?offs?|motivation|learn(?:s|ed|t|ing)?|lessons?)\b", re.IGNORECASE)
+STRUCTURE = re.compile(r"\b(call(?:s|ed|er|ing)|inherit|base|parent|child|import|depend|override|implement|test(?:s|ed|ing)?)\b", re.IGNORECASE)
+DOCUMENTS = re.compile(r"\b(doc(?:s|umentation|string)?|readme|adr|explained|description)\b", re.IGNORECASE)
+RELATIONS = (("call", "CALLS"), ("inherit", "INHERITS"), ("base", "INHERITS"), ("parent", "INHERITS"), ("import", "IMPORTS"), ("depend", "DEPENDS_ON"), ("override", "OVERRIDES"), ("implement", "IMPLEMENTS"), ("test", "TESTS"))
+
+
 def search_strategy(question: str) -> str:
-    """Which search suits a question: notes, structure, documents, names or meaning."""
-    q = question.lower()
-    for pattern, answer in (
-        (r"\b(decid|decision|why|rationale|adr|convention|lesson)", "knowledge"),
-        (r"\b(call(s|ers|ees)?|depend|import|inherit|impact|path from|cycle|unused|dead)\b", "structure"),
-        (r"\b(doc|readme|guide|section|explain)", "documents"),
-    ):
-        if re.search(pattern, q):
-            return answer
-    return "names" if re.fullmatch(r"\s*[\w.:]+\s*", question) else "meaning"
+    """What a question asks for: knowledge (rationale), structure, documents, names or meaning, in this order."""
+    from graphloom.operators.search import analyse_query
+
+    text = question.strip()
+    for pattern, topic in ((KNOWLEDGE, "knowledge"), (STRUCTURE, "structure"), (DOCUMENTS, "documents")):
+        if pattern.search(text):
+            return topic
+    return "names" if analyse_query(text)["graph"] >= 2.0 else "meaning"
+
+
+def plan_search(question: str) -> dict[str, object]:
+    """The tool that suits a question, and its options."""
+    from graphloom.operators.search import analyse_query
+
+    topic = search_strategy(question)
+    if topic == "structure":
+        return {"topic": topic, "tool": "sql", "options": {}, "relationship": next((rel for word, rel in RELATIONS if word in question.lower()), None)}
+    options = {"knowledge": {"mode": "knowledge"}, "documents": {"channels": ("bm25", "vector"), "weights": {"bm25": 1.5, "vector": 2.0}}, "names": {}, "meaning": {"weights": analyse_query(question)}}
+    return {"topic": topic, "tool": "get_node" if topic == "names" else "hybrid_search", "options": options[topic]}

@@ -1,6 +1,6 @@
 """The projection of ``sources.graph`` as SQL: common table expressions that oracles start with."""
 
-from graphloom.sources.graph import IMPORT_PRIORITY, IMPORT_WEIGHT
+from graphloom.sources.graph import IMPORT_QUANTILE
 
 _BALANCE = "CASE WHEN {0} < 0 THEN 'private' WHEN {0} < 2500 THEN 'protected' WHEN {0} < 5000 THEN 'internal' ELSE 'public' END"
 
@@ -25,8 +25,8 @@ UNION ALL SELECT 'o:' || o_orderkey, 'Callable', project_name, module_qn || '.'
 SELECT 'o:' || l.l_orderkey AS from_uid, 'p:' || l_partkey AS to_uid, 'CALLS' AS rel_type, CAST(any_value(n) AS INTEGER) AS candidate_count, any_value(from_test) AS from_test, CAST(count(*) AS INTEGER) AS site_count, min(l_linenumber) AS line,
   CASE WHEN any_value(n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS confidence, greatest(1.0 / any_value(n) * CASE WHEN any_value(from_test) THEN 0.25 ELSE 1.0 END, 1e-6::DOUBLE)::DOUBLE AS weight
 FROM lineitem l JOIN per_order USING (l_orderkey) GROUP BY l.l_orderkey, l_partkey""",
-    "trade": f"SELECT c_nationkey, s_nationkey, s_suppkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderpriority = '{IMPORT_PRIORITY}' AND c_nationkey <> s_nationkey GROUP BY ALL",
-    "strong": f"SELECT c_nationkey, s_nationkey FROM trade GROUP BY ALL HAVING sum(n) >= {IMPORT_WEIGHT}",
+    "trade": "SELECT c_nationkey, s_nationkey, s_suppkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL",
+    "strong": f"SELECT c_nationkey, s_nationkey FROM (SELECT c_nationkey, s_nationkey, sum(n) AS w FROM trade GROUP BY ALL) QUALIFY w >= quantile_cont(w, {IMPORT_QUANTILE}) OVER ()",
     "imports": "SELECT 'n:' || c_nationkey AS from_uid, 'n:' || s_nationkey AS to_uid, 'IMPORTS' AS rel_type FROM strong UNION ALL SELECT 'n:' || c_nationkey, 's:' || s_suppkey, 'IMPORTS' FROM trade JOIN strong USING (c_nationkey, s_nationkey)",
     "inherits": "SELECT 'p:' || p_partkey AS from_uid, 'p:' || base AS to_uid, 'INHERITS' AS rel_type FROM part JOIN (SELECT p_brand, min(p_partkey) AS base FROM part GROUP BY p_brand) USING (p_brand) WHERE base <> p_partkey",
     "edges": "SELECT from_uid, to_uid, rel_type FROM contains UNION ALL SELECT from_uid, to_uid, rel_type FROM defines UNION ALL SELECT from_uid, to_uid, rel_type FROM calls UNION ALL SELECT from_uid, to_uid, rel_type FROM imports UNION ALL SELECT from_uid, to_uid, rel_type FROM inherits",

@@ -17,6 +17,9 @@ REL_TYPES = (
     "HANDLES_EVENT", "REGISTERED_BY", "INJECTED_INTO", "TESTS", "HANDLES_COMMAND", "LINKS_TO", "DERIVED_FROM",
     "SUPERSEDES", "CO_CHANGES_WITH",
 )
+TYPE_KINDS = ("class", "struct", "interface", "trait", "enum", "union", "type_alias", "protocol", "record", "data_type", "typeclass", "annotation")
+CALLABLE_KINDS = ("function", "method", "constructor", "destructor", "static_method", "class_method", "property", "closure")
+VALUE_KINDS = ("variable", "constant", "field", "enum_member")
 VISIBILITIES = ("public", "protected", "internal", "private")
 CODE_LABELS = ("Module", "TypeDef", "Callable", "Value")
 GLOBAL_PROJECT = "_global"
@@ -54,6 +57,19 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def given(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` that ``df`` has, as the types that they have there."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns))
+
+
+def schema_info() -> dict[str, object]:
+    """The vocabulary and the columns, for a caller who writes queries."""
+    return {
+        "node_labels": LABELS, "relationship_types": REL_TYPES, "kinds": {"TypeDef": TYPE_KINDS, "Callable": CALLABLE_KINDS, "Value": VALUE_KINDS}, "visibilities": VISIBILITIES,
+        "node_columns": {f.name: f.dataType.simpleString() for f in NODE_SCHEMA}, "edge_columns": {f.name: f.dataType.simpleString() for f in EDGE_SCHEMA}, "uid_format": "project_name:qualified_name",
+    }
+
+
 def contract_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rule, key, n) of every broken rule: uid unique and present, edge key unique, ends present, known vocabulary."""
     def rule(name: str, df: DataFrame, key) -> DataFrame:

@@ -1,27 +1,38 @@
 """Projection of the relational tables onto nodes and edges.
 
-Regions are projects and packages, nations modules, customers, suppliers and parts types, orders callables. Every
-relationship type is built by a function of its own, so a query reads only the tables it needs.
+Regions are projects and packages, nations modules, customers, suppliers and parts types, orders callables. Nodes and
+edges are built once per folder and session, as tables in the shared folder that are partitioned by label and by
+relationship type; a query reads the partitions and columns that it names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Module imports are kept for one order priority and from this weight on.
-IMPORT_PRIORITY = "1-URGENT"
-IMPORT_WEIGHT = 34
+from graphloom.scratch import cut_lineage
+
+#: Modules import each other where their trade is among the strongest: from this quantile of all pairs of modules on.
+IMPORT_QUANTILE = 0.9
+
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
-    """The tables of one folder, read on demand."""
+    """The tables of one folder, read on demand, and what is built of them once a session."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def built(self, name: str, build: Callable[[Tables], DataFrame], *partition: str) -> DataFrame:
+        """The table that ``build`` makes, written to the shared folder on first use."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _BUILT:
+            _BUILT[key] = cut_lineage(build(self), f"index-{name}", *partition)
+        return _BUILT[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -57,8 +68,17 @@ def by_balance(balance: str) -> Column:
     return F.when(F.col(balance) < 0, "private").when(F.col(balance) < 2500, "protected").when(F.col(balance) < 5000, "internal").otherwise("public")
 
 
-def nodes(t: Tables, labels: Iterable[str] = ("Project", "Package", "Module", "TypeDef", "Callable")) -> DataFrame:
+LABELS = ("Project", "Package", "Module", "TypeDef", "Callable")
+
+
+def nodes(t: Tables, labels: Iterable[str] = LABELS) -> DataFrame:
     """uid, label, project_name, qualified_name, file_path, name, kind, visibility, docstring, line_start, line_end."""
+    out = t.built("nodes", project_nodes, "label")
+    return out if set(labels) == set(LABELS) else out.where(F.col("label").isin(*labels))
+
+
+def project_nodes(t: Tables, labels: Iterable[str] = LABELS) -> DataFrame:
+    """The nodes of some labels, built from the tables."""
     c, parts = F.col, []
     region = t.region.withColumn("project_name", c("r_name"))
     at = F.broadcast(places(t))  # 25 rows
@@ -91,7 +111,7 @@ def _edges(df: DataFrame, kind: str, a: Column, b: Column) -> DataFrame:
     return df.select(a.alias("from_uid"), b.alias("to_uid"), F.lit(kind).alias("rel_type"))
 
 
-def calls(t: Tables) -> DataFrame:
+def project_calls(t: Tables) -> DataFrame:
     """order -> part with the facts of a call edge; weight by the rule of ``call_weight``."""
     from graphloom.operators.resolve import call_weight
 
@@ -104,11 +124,11 @@ def calls(t: Tables) -> DataFrame:
     return out.withColumn("weight", call_weight(F.col("candidate_count"), F.lit(False), F.col("from_test")))
 
 
-def contains(t: Tables) -> DataFrame:
+def project_contains(t: Tables) -> DataFrame:
     return _edges(t.region, "CONTAINS", uid("r", "r_regionkey"), uid("pkg", "r_regionkey")).unionByName(_edges(t.nation, "CONTAINS", uid("pkg", "n_regionkey"), uid("n", "n_nationkey")))
 
 
-def defines(t: Tables) -> DataFrame:
+def project_defines(t: Tables) -> DataFrame:
     return (
         _edges(t.customer, "DEFINES", uid("n", "c_nationkey"), uid("c", "c_custkey"))
         .unionByName(_edges(t.supplier, "DEFINES", uid("n", "s_nationkey"), uid("s", "s_suppkey")))
@@ -118,10 +138,10 @@ def defines(t: Tables) -> DataFrame:
 
 
 def trade(t: Tables) -> DataFrame:
-    """(customer nation, supplier, supplier nation) of every line of the chosen priority."""
+    """(customer nation, supplier, supplier nation) of every line that crosses nations."""
     c = F.col
     return (
-        t.orders.where(c("o_orderpriority") == IMPORT_PRIORITY).select("o_orderkey", "o_custkey")
+        t.orders.select("o_orderkey", "o_custkey")
         .join(t.lineitem.select("l_orderkey", "l_suppkey"), c("o_orderkey") == c("l_orderkey"))
         .join(t.customer.select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
         .join(t.supplier.select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
@@ -129,26 +149,57 @@ def trade(t: Tables) -> DataFrame:
     )
 
 
-def imports(t: Tables, least: int = IMPORT_WEIGHT) -> DataFrame:
-    """Module -> Module where the trade is at least ``least`` lines, and Module -> supplier for those nations."""
-    lines = trade(t).groupBy("c_nationkey", "s_nationkey", "s_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    strong = lines.groupBy("c_nationkey", "s_nationkey").agg(F.sum("n").alias("w")).where(F.col("w") >= least)
+def project_imports(t: Tables, quantile: float = IMPORT_QUANTILE) -> DataFrame:
+    """Module -> Module where the trade is in the upper quantile of all pairs, and Module -> supplier for those nations."""
+    lines = t.built("trade", lambda t: trade(t).groupBy("c_nationkey", "s_nationkey", "s_suppkey").agg(F.count(F.lit(1)).alias("n")))
+    pairs = lines.groupBy("c_nationkey", "s_nationkey").agg(F.sum("n").alias("w"))
+    # one number, over at most 25 x 25 pairs
+    strong = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("w", quantile).alias("least")))).where("w >= least").drop("least")
     direct = _edges(strong, "IMPORTS", uid("n", "c_nationkey"), uid("n", "s_nationkey"))
     return direct.unionByName(_edges(lines.join(F.broadcast(strong), ["c_nationkey", "s_nationkey"]), "IMPORTS", uid("n", "c_nationkey"), uid("s", "s_suppkey")))
 
 
-def inherits(t: Tables) -> DataFrame:
+def project_inherits(t: Tables) -> DataFrame:
     base = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("base"))
     return _edges(t.part.join(base, "p_brand").where("base <> p_partkey"), "INHERITS", uid("p", "p_partkey"), uid("p", "base"))
 
 
-BUILDERS = {"CONTAINS": contains, "DEFINES": defines, "CALLS": calls, "IMPORTS": imports, "INHERITS": inherits}
+BUILDERS = {"CONTAINS": project_contains, "DEFINES": project_defines, "CALLS": project_calls, "IMPORTS": project_imports, "INHERITS": project_inherits}
+FACTS = ["candidate_count", "from_test", "site_count", "line", "confidence", "weight"]
+
+
+def project_edges(t: Tables) -> DataFrame:
+    out = BUILDERS["CALLS"](t)
+    for kind in ("CONTAINS", "DEFINES", "IMPORTS", "INHERITS"):
+        out = out.unionByName(BUILDERS[kind](t), allowMissingColumns=True)
+    return out.select("from_uid", "to_uid", "rel_type", *FACTS)
 
 
 def edges(t: Tables, types: Iterable[str] = tuple(BUILDERS)) -> DataFrame:
-    """from_uid, to_uid, rel_type and the facts of calls; only the builders of ``types`` run."""
-    out = None
-    for kind in types:
-        part = BUILDERS[kind](t)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    """from_uid, to_uid, rel_type and the facts of calls."""
+    out = t.built("edges", project_edges, "rel_type")
+    return out if set(types) == set(BUILDERS) else out.where(F.col("rel_type").isin(*types))
+
+
+def calls(t: Tables) -> DataFrame:
+    return edges(t, ["CALLS"])
+
+
+def _plain(t: Tables, kind: str) -> DataFrame:
+    return edges(t, [kind]).select("from_uid", "to_uid", "rel_type")
+
+
+def contains(t: Tables) -> DataFrame:
+    return _plain(t, "CONTAINS")
+
+
+def defines(t: Tables) -> DataFrame:
+    return _plain(t, "DEFINES")
+
+
+def imports(t: Tables) -> DataFrame:
+    return _plain(t, "IMPORTS")
+
+
+def inherits(t: Tables) -> DataFrame:
+    return _plain(t, "INHERITS")

@@ -1,11 +1,14 @@
 """A graph kept as snapshots: two Parquet tables, partitioned by label and relationship type.
 
 Every change writes a new snapshot beside the old one and then names it in ``CURRENT``; readers keep the one
-they opened. Column values that are null in an update keep what was there.
+they opened. A writer whose snapshot is no longer the current one gets a ``ConflictError`` and nothing is lost. The columns
+that an update has replace what was there, null values too; the others keep their values.
 """
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -14,12 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import analysis, delta, resolve, search, traversal
-from graphloom.schema import EDGE_SCHEMA, GLOBAL_PROJECT, NODE_SCHEMA, conform
+from graphloom.schema import EDGE_SCHEMA, GLOBAL_PROJECT, NODE_SCHEMA, conform, contract_violations, given, schema_info
+from graphloom.scratch import cut_lineage
 
 EDGE_KEY = ("from_uid", "to_uid", "rel_type")
 TEXT_COLUMNS = ("name", "qualified_name", "docstring", "signature", "source")
 
 
+class ConflictError(RuntimeError):
+    """Another writer has changed the store since it was opened."""
+
+
 class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,42 +40,69 @@ class GraphStore:
         at = self._fs.Path(f"{self.root}/{name}")
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _open(self) -> None:
+    def _current(self) -> str | None:
         fs, at = self._path("CURRENT")
-        if fs.exists(at):
-            name = self.spark.read.text(f"{self.root}/CURRENT").first()[0]
-            self.nodes = self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.root}/{name}/nodes")
-            self.edges = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.root}/{name}/edges")
+        return self.spark.read.text(f"{self.root}/CURRENT").first()[0] if fs.exists(at) else None
+
+    def _open(self) -> None:
+        self.version = self._current()
+        if self.version:
+            self.nodes = self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.root}/{self.version}/nodes")
+            self.edges = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.root}/{self.version}/edges")
         else:
             self.nodes = self.spark.createDataFrame([], NODE_SCHEMA)
             self.edges = self.spark.createDataFrame([], EDGE_SCHEMA)
 
     def commit(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
-        """Write a snapshot and make it the current one."""
+        """Write a snapshot and make it the current one. Writers take turns by a lease: a file that only one can create."""
         name = uuid.uuid4().hex
         conform(self.nodes if nodes is None else nodes, NODE_SCHEMA).write.partitionBy("label").parquet(f"{self.root}/{name}/nodes")
         conform(self.edges if edges is None else edges, EDGE_SCHEMA).write.partitionBy("rel_type").parquet(f"{self.root}/{name}/edges")
-        fs, at = self._path("CURRENT")
-        out = fs.create(at, True)
-        out.write(bytearray(name.encode()))
-        out.close()
+        with self.lease():
+            if self._current() != self.version:
+                raise ConflictError(f"{self.root} has changed since it was opened; open it again")
+            fs, at = self._path("CURRENT")
+            out = fs.create(at, True)
+            out.write(bytearray(name.encode()))
+            out.close()
         self._open()
 
+    @contextlib.contextmanager
+    def lease(self, seconds: float = 120.0, wait: float = 30.0):
+        """Hold the writers' lease. One older than ``seconds`` belongs to a writer that is gone."""
+        fs, at = self._path("LEASE")
+        until = time.time() + wait
+        while not fs.createNewFile(at):
+            if time.time() * 1000 - fs.getFileStatus(at).getModificationTime() > seconds * 1000:
+                fs.delete(at, False)
+            elif time.time() > until:
+                raise ConflictError(f"{self.root} is being written")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
     # ---------------------------------------------------------------- entities
 
     def upsert(self, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-        """Upsert entities of whole files and their relationships; gives the classification of every entity of those files."""
+        """Upsert entities of whole files and their relationships; gives the classification of every entity of those files.
+
+        Relationships of the entities are written anew, but for those that another file's scan made: DEFINES into other files and citations."""
         new = conform(nodes, NODE_SCHEMA)
         files = new.select("project_name", "file_path").distinct()
         before = self.nodes.join(files, ["project_name", "file_path"], "left_semi")
-        changes = delta.classify(before, new)
-        found = self.spark.createDataFrame(changes.collect(), changes.schema)  # the entities of the files at hand
+        found = cut_lineage(delta.classify(before, new), "changes")
         gone = found.where("change = 'deleted'").select("uid")
         kept, all_edges = self.nodes.join(gone, "uid", "left_anti"), delta.drop_dangling(self.edges, gone)
         if edges is not None:
-            all_edges = all_edges.join(new.select(F.col("uid").alias("from_uid")), "from_uid", "left_anti")
-            all_edges = delta.upsert(all_edges, conform(edges, EDGE_SCHEMA), *EDGE_KEY)
-        self.commit(delta.upsert(kept, new, "uid"), all_edges)
+            own = all_edges.join(new.select(F.col("uid").alias("from_uid")), "from_uid", "left_semi")
+            local = own.join(new.select(F.col("uid").alias("to_uid")), "to_uid", "left_semi")
+            foreign = own.join(new.select(F.col("uid").alias("to_uid")), "to_uid", "left_anti")
+            old = local.unionByName(foreign.where("rel_type <> 'DEFINES'")).where("NOT (rel_type = 'DOCUMENTS' AND citation IS NOT NULL)")
+            all_edges = all_edges.join(old.select(*EDGE_KEY), list(EDGE_KEY), "left_anti")
+            all_edges = delta.upsert(all_edges, given(edges, EDGE_SCHEMA), *EDGE_KEY)
+        self.commit(delta.upsert(kept, given(nodes, NODE_SCHEMA), "uid"), all_edges)
         return found
 
     def delete_files(self, project: str, paths: list[str]) -> None:
@@ -81,7 +116,7 @@ class GraphStore:
         old = self.nodes.where((F.col("uid") == project) & (F.col("label") == "Project")).select("props").first()
         props = {**((old and old["props"]) or {}), **{k: str(v) for k, v in metadata.items()}}
         row = self.spark.createDataFrame([(project, "Project", project, project, props)], "uid string, label string, project_name string, name string, props map<string,string>")
-        self.commit(delta.upsert(self.nodes, conform(row, NODE_SCHEMA), "uid"))
+        self.commit(delta.upsert(self.nodes, given(row, NODE_SCHEMA), "uid"))
 
     def merge_packages(self, project: str, packages: list[tuple[str, str]]) -> None:
         """(dotted name, path) of packages, with CONTAINS from each package's parent or the project."""
@@ -90,7 +125,7 @@ class GraphStore:
         parent = lambda q: f"{project}:{q.rpartition('.')[0]}" if q.rpartition(".")[0] in known else project
         n = self.spark.createDataFrame(rows, "uid string, label string, project_name string, name string, qualified_name string, file_path string")
         e = self.spark.createDataFrame([(parent(q), f"{project}:{q}", "CONTAINS") for q, _ in packages], "from_uid string, to_uid string, rel_type string")
-        self.commit(delta.upsert(self.nodes, conform(n, NODE_SCHEMA), "uid"), delta.insert_missing(self.edges, conform(e, EDGE_SCHEMA), *EDGE_KEY))
+        self.commit(delta.upsert(self.nodes, given(n, NODE_SCHEMA), "uid"), delta.insert_missing(self.edges, conform(e, EDGE_SCHEMA), *EDGE_KEY))
 
     def set_columns(self, values: DataFrame) -> None:
         """Set columns of existing nodes by uid: file hashes, embeddings, commit signals, versions."""
@@ -106,7 +141,7 @@ class GraphStore:
         self.commit(both.withColumn("props", F.map_concat(keep, F.coalesce("_p", empty))).drop("_u", "_p"))
 
     def add_edges(self, edges: DataFrame) -> None:
-        self.commit(edges=delta.upsert(self.edges, conform(edges, EDGE_SCHEMA), *EDGE_KEY))
+        self.commit(edges=delta.upsert(self.edges, given(edges, EDGE_SCHEMA), *EDGE_KEY))
 
     def write_co_changes(self, pairs: DataFrame, project: str) -> None:
         """CO_CHANGES_WITH edges between modules from pairs of files. ``pairs``: file_a, file_b, count."""
@@ -126,7 +161,7 @@ class GraphStore:
         all_ = imports.join(hit, "import_id")
         stubs = all_.where("NOT internal").select(F.col("to_uid").alias("uid"), F.lit("ExternalPackage").alias("label"), "project_name", F.col("package").alias("name"), "package")
         edges = all_.select("from_uid", "to_uid", F.lit("IMPORTS").alias("rel_type")).distinct()
-        self.commit(delta.insert_missing(self.nodes, conform(stubs, NODE_SCHEMA), "uid"), delta.upsert(self.edges, conform(edges, EDGE_SCHEMA), *EDGE_KEY))
+        self.commit(delta.insert_missing(self.nodes, conform(stubs, NODE_SCHEMA), "uid"), delta.upsert(self.edges, given(edges, EDGE_SCHEMA), *EDGE_KEY))
 
     def link_values(self, refs: DataFrame) -> None:
         """REFERENCES edges by name (from_uid, project_name, file_path, name): the same file, else what the file imports."""
@@ -149,7 +184,7 @@ class GraphStore:
         lonely = external.select("uid").join(edges.select(F.col("to_uid").alias("uid")), "uid", "left_anti")
         nodes = self.nodes.join(lonely, "uid", "left_anti")
         pairs = resolve.depends_on(edges, nodes).select(F.col("from_project").alias("from_uid"), F.col("to_project").alias("to_uid"), F.lit("DEPENDS_ON").alias("rel_type"))
-        self.commit(nodes, delta.upsert(edges, conform(pairs, EDGE_SCHEMA), *EDGE_KEY))
+        self.commit(nodes, delta.upsert(edges, given(pairs, EDGE_SCHEMA), *EDGE_KEY))
 
     # ---------------------------------------------------------------- reading
 
@@ -183,11 +218,48 @@ class GraphStore:
     def context(self, uid: str, **options) -> DataFrame:
         return search.expand_context(self.nodes, self.edges, uid, **options)
 
-    def trace(self, a: str, b: str, **options) -> DataFrame:
-        return traversal.trace_path(self.edges, a, b, **options)
+    def get_node(self, name: str, **options) -> DataFrame:
+        return search.get_node(self.nodes, name, **options)
 
-    def impact(self, uid: str, **options) -> DataFrame:
-        return traversal.blast_radius(self.edges, uid, **options)
+    def trace(self, a: str, b: str, **options) -> DataFrame:
+        """The path's hops; ``NotFoundError`` if an end is not in the graph."""
+        return traversal.trace_path(self.edges, a, b, nodes=self.nodes, **options)
+
+    def impact(self, uid: str, limit: int = 20, tests: bool = True, **options) -> DataFrame:
+        """What a change of ``uid`` reaches, ranked; ``NotFoundError`` if it is not in the graph."""
+        traversal.require(self.nodes, uid)
+        return traversal.ranked_impact(traversal.blast_radius(self.edges, uid, **options), self.nodes, limit, tests)
+
+    def projects(self) -> DataFrame:
+        return analysis.project_list(self.nodes, self.edges)
+
+    def schema(self) -> dict[str, object]:
+        return schema_info()
+
+    def health(self) -> list[tuple[str, str, str]]:
+        """(check, ok / warn / fail, message) of the store: whether it can be read, holds an index, and keeps its contract."""
+        out = [("store", "ok" if self.version else "warn", self.version or "nothing has been written")]
+        entities = self.nodes.count()
+        out.append(("index", "ok" if entities else "warn", f"{entities} entities"))
+        broken = contract_violations(self.nodes, self.edges).groupBy("rule").agg(F.sum("n").alias("n")).collect()
+        out.append(("contract", "fail" if broken else "ok", ", ".join(f"{r['rule']}: {r['n']}" for r in broken)))
+        return out
+
+    def summary(self, prefix: str, **options) -> str:
+        return analysis.summary_text(self.nodes, self.edges, prefix, **options)
+
+    def diagram(self, kind: str, prefix: str = "", limit: int = 30) -> str:
+        """A Mermaid chart: packages, imports (an outline beyond 25 modules), inheritance or module_detail."""
+        n, e = self.nodes, self.edges
+        if kind == "imports":
+            return analysis.import_outline(analysis.within_budget(analysis.module_imports(n.where(F.coalesce("file_path", F.lit("")).startswith(prefix)), e), limit))
+        table = {
+            "packages": lambda: (analysis.package_diagram(n, e, limit), "parent", "child"), "inheritance": lambda: (analysis.inheritance_diagram(n, e, prefix, limit), "parent", "child"),
+            "module_detail": lambda: (analysis.module_detail(n, e, prefix, limit).withColumn("owner", F.coalesce("owner", "module")), "owner", "name"),
+        }
+        if kind not in table:
+            raise ValueError(f"unknown diagram {kind!r}; known: imports, {', '.join(table)}")
+        return analysis.mermaid(*table[kind](), limit)
 
     def analyse(self, name: str, **options) -> DataFrame:
         """One of the analyses by name."""
@@ -207,10 +279,17 @@ class GraphStore:
         return analysis.index_status(self.nodes, self.edges)
 
     def lint(self, similar: float = 0.92) -> DataFrame:
-        """(problem, uid) of notes: duplicate ids, dangling links, orphans, notes linked from several projects."""
+        """(problem, uid) of notes: duplicate ids, dangling links, orphans, notes linked from several projects, anchors whose target has changed,
+        notes in the inbox, and notes whose vectors are ``similar`` to another one's."""
         notes, links = self.nodes.where("label = 'Note'"), self.edges.where("rel_type IN ('LINKS_TO', 'DERIVED_FROM', 'SUPERSEDES', 'DOCUMENTS')")
         parts = {
             "duplicate": analysis.duplicate_ids(notes).select("uid"), "dangling": analysis.dangling_links(links, self.nodes).select(F.col("to_uid").alias("uid")),
             "orphan": analysis.orphan_notes(notes, links), "promote": analysis.promotion_candidates(links, self.nodes.where(F.col("project_name") != GLOBAL_PROJECT)).join(notes.select("uid"), "uid", "left_semi").select("uid"),
+            "broken_anchor": analysis.broken_anchors(self.edges), "inbox": analysis.inbox_notes(notes), "similar": self._similar(notes, similar),
         }
         return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("problem"), "uid") for k, df in parts.items()])
+
+    def _similar(self, notes: DataFrame, least: float) -> DataFrame:
+        ids = notes.where("embedding IS NOT NULL").select(F.xxhash64("uid").alias("id"), "uid", "embedding")
+        pairs = search.similar_pairs(ids.select(F.col("id").alias("uid"), "embedding"), least)
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(ids, "id").select("uid")

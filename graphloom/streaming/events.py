@@ -70,11 +70,26 @@ def debounced(df: DataFrame, key: str = "path", ts: str = "ts", gap: float = DEB
     if not df.isStreaming:
         import pandas as pd
 
-        def whole(k, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(k[0], *b[:3]) for b in bursts(None, sorted(pdf["t"]))], columns=[key, "first_event", "last_event", "n"])
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            name, state = None, None
+            for pdf in batches:  # rows sorted by key and time, as they come: no key's history is held
+                out = []
+                for k, t in zip(pdf[key], pdf["t"], strict=True):
+                    if state is not None and k != name:
+                        out.append((name, *state))
+                        state = None
+                    name = k
+                    for *burst, open_ in bursts(state, iter([t])):
+                        if open_:
+                            state = tuple(burst)
+                        else:
+                            out.append((k, *burst))
+                yield pd.DataFrame(out, columns=[key, "first_event", "last_event", "n"])
+            if state is not None:
+                yield pd.DataFrame([(name, *state)], columns=[key, "first_event", "last_event", "n"])
 
         timed = df.select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").cast("double").alias("t"))
-        return timed.groupBy(key).applyInPandas(whole, schema)
+        return timed.repartition(key).sortWithinPartitions(key, "t").mapInPandas(whole, schema)
 
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -106,6 +121,20 @@ def cooled_down(df: DataFrame, *keys: str, ts: str = "ts", seconds: float = 10.0
     return df.withColumn("deferred", F.coalesce(F.col(ts).cast("timestamp").cast("double") - before < seconds, F.lit(False)))
 
 
+def significant(changes: DataFrame, least: str = "MODERATE") -> DataFrame:
+    """Changes that are worth a new embedding: of this significance or a higher one. ``changes``: uid, change, significance."""
+    levels = ["MODERATE", "HIGH"]
+    return changes.where(F.col("change").isin("added", "modified") & F.col("significance").isin(*levels[levels.index(least) :]))
+
+
+def with_backlog(batch: DataFrame, backlog: DataFrame | None, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(to be tried now, given up): a micro-batch with what earlier ones left open, tried less than ``attempts`` times so far (column ``tries``)."""
+    now = batch.withColumn("tries", F.lit(0))
+    if backlog is None:
+        return now, now.where("false")
+    return now.unionByName(backlog.where(F.col("tries") < attempts), allowMissingColumns=True), backlog.where(F.col("tries") >= attempts)
+
+
 def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], park: Callable[[DataFrame, int, Exception], None], checkpoint: str, keys: tuple[str, ...] = ("project_name", "path"), attempts: int = 5, **trigger) -> StreamingQuery:
     """Run ``apply`` on the latest event per key of every micro-batch. A batch that fails ``attempts`` times is handed to ``park`` (a dead-letter
     table) and the stream goes on; offsets in ``checkpoint`` make a restart resume where it stopped."""
