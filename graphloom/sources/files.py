@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 from graphloom.functions.expressions import any_of
 
 # Folders and files that a scan leaves out unless told otherwise, and files that mark a project's root.
-DEFAULT_EXCLUDES = (".git/", ".venv/", "venv/", "node_modules/", "__pycache__/", "dist/", "build/", ".tox/", ".mypy_cache/", ".idea/", "target/", "*.min.js", "*.lock")
+DEFAULT_EXCLUDES = (
+    ".git/", ".hg/", ".svn/", ".bzr/", ".fossil/",
+    ".idea/", ".vscode/", ".vs/", ".eclipse/",
+    "__pycache__/", ".venv/", "venv/", ".eggs/", "*.pyc", "*.pyo", ".mypy_cache/", ".ruff_cache/", ".pytest_cache/", ".pytype/", ".tox/", ".nox/", "site-packages/", "__pypackages__/", ".pdm-build/",
+    "node_modules/", "bower_components/", ".next/", ".nuxt/", ".svelte-kit/",
+    "target/", ".gradle/", "build/", "dist/", "out/", "vendor/", ".env/", ".direnv/", ".cache/", ".parcel-cache/", ".turbo/", ".claude/", ".cursor/", ".copilot/", ".terraform/",
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock", "composer.lock", "Gemfile.lock", ".terraform.lock.hcl", "*.min.json",
+    ".env", ".env.*", "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "*.keystore", "*.jks", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", ".npmrc", ".netrc", ".pypirc",
+    "credentials", "credentials.*", "secrets.*", "secret.*", "*-secrets.*", "*.secrets.*", "service-account*.json", "*-key.json", "*.tfvars", "*.tfvars.json", "local.settings.json", ".ssh/", ".aws/", ".gnupg/",
+)
 PROJECT_MARKERS = ("pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "Gemfile")
 
 
@@ -39,6 +48,27 @@ def not_ignored(files: DataFrame, patterns: list[str], path: str = "path") -> Da
     return files.where(~verdict)
 
 
+def nested_rules(files: DataFrame, names: tuple[str, ...] = (".gitignore", ".graphloomignore")) -> list[tuple[str, list[str]]]:
+    """(folder, rules) of the ignore files of a tree, shallow ones first. ``files``: path, text."""
+    base = F.substring_index("path", "/", -1)
+    rows = files.where(base.isin(*names)).select("path", "text").collect()
+    found = [(r["path"].rpartition("/")[0], (r["text"] or "").splitlines()) for r in rows]
+    return sorted(found, key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
+
+
+def under_rules(files: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """Files that nested ignore files leave: a rule counts below its folder, and the last that matches decides."""
+    verdict = F.lit(False)
+    for folder, patterns in rules:
+        prefix = f"{folder}/" if folder else ""
+        inner = F.when(F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 1 << 20))
+        for pattern in patterns:
+            if pattern.strip() and not pattern.startswith("#"):
+                expression, negated = ignore_regex(pattern.rstrip())
+                verdict = F.when(inner.rlike(expression), F.lit(not negated)).otherwise(verdict)
+    return files.where(~verdict)
+
+
 def scan(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, includes: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> DataFrame:
     """(path, text, length) of the files below ``root`` by any path that Spark reads; paths are relative, with slashes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -46,19 +76,26 @@ def scan(spark: SparkSession, root: str, excludes: tuple[str, ...] = DEFAULT_EXC
     out = files.select(F.substring_index("path", base, -1).alias("path"), F.col("content").cast("string").alias("text"), "length")
     if prefixes:
         out = out.where(any_of([F.col("path").startswith(p) for p in prefixes]))
-    kept = not_ignored(out, list(excludes))
+    kept = not_ignored(under_rules(out, nested_rules(out)), list(excludes))
     if includes:
         kept = kept.where(any_of([F.col("path").rlike(ignore_regex(i)[0]) for i in includes]))
     return kept
 
 
-def detect_projects(files: DataFrame, markers: tuple[str, ...] = PROJECT_MARKERS) -> DataFrame:
-    """(root, name, markers) of every folder that holds a marker; equal names get their parent in front."""
+def detect_projects(files: DataFrame, markers: tuple[str, ...] = PROJECT_MARKERS, explicit: dict[str, str] | None = None) -> DataFrame:
+    """(root, name, markers) of every folder that holds a marker, and of the ``explicit`` ones (path: name, or empty), which win; equal names get
+    their parents in front. Shallow ones come first."""
     at = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("root"), F.regexp_extract("path", "([^/]*)$", 1).alias("file"))
     found = at.where(F.col("file").isin(*markers)).groupBy("root").agg(F.array_sort(F.collect_set("file")).alias("markers"))
+    given = {p.replace("\\", "/").strip("/"): n for p, n in (explicit or {}).items()}
+    if given:
+        rows = files.sparkSession.createDataFrame([(p, ["explicit"]) for p in given], found.schema)
+        found = found.where(~F.col("root").isin(*given)).unionByName(rows)
     base = F.when(F.col("root") == "", "root").otherwise(F.substring_index("root", "/", -1))
+    for path, name in given.items():
+        base = F.when(F.col("root") == path, name or path.replace("/", "-")).otherwise(base)
     named = found.withColumn("name", base).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    return named.withColumn("name", F.when(F.col("_n") > 1, F.replace("root", F.lit("/"), F.lit("-"))).otherwise(F.col("name"))).select("root", "name", "markers")
+    return named.withColumn("name", F.when(F.col("_n") > 1, F.replace("root", F.lit("/"), F.lit("-"))).otherwise(F.col("name"))).select("root", "name", "markers").orderBy(F.size(F.split("root", "/")), "root")
 
 
 def owning_project(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -88,28 +125,34 @@ def _pyproject(text: str) -> Iterator[tuple[str, str]]:
     data = tomllib.loads(text)
     project = data.get("project", {})
     for line in [*project.get("dependencies", []), *(x for g in project.get("optional-dependencies", {}).values() for x in g)]:
-        yield _requirement(line)
+        name, version = _requirement(line)
+        yield name.replace("-", "_"), version
     for name, spec in data.get("tool", {}).get("poetry", {}).get("dependencies", {}).items():
         yield name, spec if isinstance(spec, str) else spec.get("version", "") if isinstance(spec, dict) else ""
 
 
 def _json_sections(*sections: str) -> Callable[[str], Iterator[tuple[str, str]]]:
     def parse(text: str) -> Iterator[tuple[str, str]]:
-        data = json.loads(text)
-        for s in sections:
-            yield from (data.get(s) or {}).items()
+        data, seen = json.loads(text), set()
+        for s in sections:  # the first section that names a package decides
+            for name, version in (data.get(s) or {}).items():
+                if name not in seen:
+                    seen.add(name)
+                    yield name, version
 
     return parse
 
 
 def _cargo(text: str) -> Iterator[tuple[str, str]]:
     data = tomllib.loads(text)
-    for s in ("dependencies", "dev-dependencies", "build-dependencies"):
-        for name, spec in data.get(s, {}).items():
-            yield name, spec if isinstance(spec, str) else spec.get("version", "")
+    tables = [data.get(s, {}) for s in ("dependencies", "dev-dependencies", "build-dependencies")] + [data.get("workspace", {}).get("dependencies", {})]
+    for table in tables:
+        for name, spec in table.items():
+            yield name.replace("-", "_"), spec if isinstance(spec, str) else spec.get("version", "")
 
 
 def _go_mod(text: str) -> Iterator[tuple[str, str]]:
+    text = re.sub(r"(?ms)^\s*(?:replace|exclude|retract)\s*(?:\(.*?^\s*\)|[^(\n]*$)", "", text)
     yield from re.findall(r"^\s*(?:require\s+)?([\w.\-]+\.[\w.\-]+/[^\s]+)\s+(v[^\s]+)", text, re.M)
 
 
@@ -130,7 +173,7 @@ def _gemfile(text: str) -> Iterator[tuple[str, str]]:
 
 
 MANIFESTS: dict[str, Callable[[str], Iterator[tuple[str, str]]]] = {
-    "pyproject.toml": _pyproject, "package.json": _json_sections("dependencies", "devDependencies", "peerDependencies"), "Cargo.toml": _cargo, "go.mod": _go_mod,
+    "pyproject.toml": _pyproject, "package.json": _json_sections("dependencies", "devDependencies", "optionalDependencies", "peerDependencies"), "Cargo.toml": _cargo, "go.mod": _go_mod,
     "pom.xml": _pom, "build.gradle": _gradle, "build.gradle.kts": _gradle, "composer.json": _json_sections("require", "require-dev"), "Gemfile": _gemfile,
 }
 
