@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, few_tasks, id_filter, merged_filter, mix64, stored, table
+from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, few_tasks, id_filter, merged_filter, mix64, releasing, slices, stored, table
 
 #: Bits of each broadcast filter at most (32 MB).
 MAX_BITS = 1 << 28
@@ -71,9 +71,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = base.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     bits, probes = bloom_shape(n_lines, 16, max_bits)
 
+    @releasing
     def build(batches):
         def hashes():
-            for b in batches:
+            for b in slices(batches):
                 out: list[int] = []
                 for t in b.column(0).to_pylist():
                     out += _line_hashes(t, min_key).values()
@@ -84,8 +85,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = sc.broadcast(merged_filter(base.select("text").mapInArrow(build, "slice int, once binary, twice binary"), bits, "twice"))
     found = pa.schema([("doc", pa.int64()), ("key", pa.binary())])
 
+    @releasing
     def suspects(batches):
-        for b in batches:
+        for b in slices(batches):
             docs_, keys = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by_key = _line_hashes(text, min_key)
@@ -98,27 +100,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([docs_, keys], schema=found)
 
     seen = stored(keyed.select("k", "text").mapInArrow(suspects, "doc long, key binary"), "line-suspects")
-    first = seen.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
+    # as a table, so that the join below is one of two plain scans, whose hot keys adaptive execution splits
+    first = stored(seen.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first"), "line-firsts")
     drops = stored(seen.join(first, "key").where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("keys")), "line-drops")
     bits_, k_ = id_filter(drops.select("doc"), drops.count(), max_bits)
     hit_docs = sc.broadcast(bits_)
 
+    @releasing
     def untouched(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = ~bloom_has(hit_docs.value, mix64(b.column("k").to_numpy(zero_copy_only=False)), k_)
             if keep.any():
                 part = b.filter(pa.array(keep))
                 rows = [kept_row(t, set()) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]], schema=_OUT)
 
+    @releasing
     def maybe_touched(batches):
-        for b in batches:
+        for b in slices(batches):
             hit = bloom_has(hit_docs.value, mix64(b.column("k").to_numpy(zero_copy_only=False)), k_)
             if hit.any():
                 yield b.filter(pa.array(hit))
 
+    @releasing
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [kept_row(t, set(x or ())) for t, x in zip(b.column("text").to_pylist(), b.column("keys").to_pylist(), strict=True)]
             yield pa.record_batch([b.column("doc_id"), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]], schema=_OUT)
 
