@@ -10,7 +10,8 @@ occurrence stands for all the neighbouring windows that belong to it (its contex
    map-side, so a passage of any number of documents is one row per map task.
 3. Anchors with several contexts need their bytes. Their windows are sorted as suffixes by a merge sort whose comparisons find
    the common extension by binary search over prefix polynomial hashes; equal neighbours are
-   verified byte by byte, and the smallest place of a run of equals is the first.
+   verified byte by byte, and the smallest place of a run of equals is the first. The windows of an anchor with very many
+   contexts are dealt to several tasks by their hash: equal windows meet in one of them.
 4. Texts are shuffled only for documents that lose bytes (routed by a filter of their ids).
 
 All filters have a fixed size; beyond it they let more rows through and miss none.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, few_tasks, id_filter, in_blocks, merged_filter, mix64, stored, table
+from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, few_tasks, id_filter, in_blocks, merged_filter, mix64, releasing, slices, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -192,27 +193,40 @@ class Contexts:
 
 #: Windows sorted together.
 _SORTED = 1 << 18
+#: Contexts of an anchor that one task holds, about: the windows of an anchor with more of them are dealt to more tasks.
+CONTEXTS = 8192
 _MASK = pa.schema([("h", pa.int64()), ("context", pa.int64()), ("mask", pa.binary())])
 
 
+def dealt(sums: PrefixHashes, starts: np.ndarray, length: int, parts: np.ndarray) -> np.ndarray:
+    """The part of each window that starts at ``starts``, of so many parts."""
+    return (mix64(sums.of(starts, starts + length)) % parts.astype(np.uint64)).astype(np.int64)
+
+
 def _masks(rows: list[tuple], length: int):
-    """rows: (h, context, before, bytes, place) of whole anchor groups; place sorts by first occurrence."""
-    rows.sort(key=lambda r: (r[0], r[4]))
+    """rows: (h, context, before, bytes, place, part, parts) of whole parts of anchor groups; place sorts by first occurrence."""
+    rows.sort(key=lambda r: (r[0], r[5], r[4]))
     c = Contexts([r[3] for r in rows], length)
     count = np.array([len(r[3]) - length + 1 for r in rows])
     who = np.repeat(np.arange(len(rows)), count)
     i = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-    group = np.cumsum([0] + [x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)])
+    group = np.cumsum([0] + [(x[0], x[5]) != (y[0], y[5]) for x, y in zip(rows, rows[1:], strict=False)])
     offset = np.array([r[2] for r in rows])[who] - i  # bytes from the window's start to the anchor
     segment = group[who] * 256 + offset
     dup = np.zeros(len(who), bool)
-    by = np.argsort(segment, kind="stable")
+    part, parts = (np.array([r[k] for r in rows], np.int64)[who] for k in (5, 6))
+    own = parts == 1
+    other = np.flatnonzero(~own)
+    if len(other):
+        own[other] = dealt(c.sums, c.begin[who[other]] + i[other], length, parts[other]) == part[other]
+    own = np.flatnonzero(own)
+    by = own[np.argsort(segment[own], kind="stable")]
     edges = np.r_[0, np.flatnonzero(np.diff(segment[by])) + 1, len(by)]
     lo = 0
     while lo < len(edges) - 1:  # whole segments, about _SORTED windows at a time
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _SORTED, "right")) - 1)
-        part = by[edges[lo] : edges[hi]]
-        dup[part] = c.repeats(c.begin[who[part]] + i[part], segment[part], who[part])
+        some = by[edges[lo] : edges[hi]]
+        dup[some] = c.repeats(c.begin[who[some]] + i[some], segment[some], who[some])
         lo = hi
     ends = np.cumsum(count)
     keep = [j for j in range(len(rows)) if dup[ends[j] - count[j] : ends[j]].any()]
@@ -237,7 +251,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 _OUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, contexts_together: int = CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null counts as empty. "Earlier" is by id, then (rows that share an id) by a hash of the text, then by place; equal
@@ -252,9 +266,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, probes = bloom_shape(size * 2 // (length - gram + 2), 12, max_bits)
 
+    @releasing
     def build(batches):
         def hashes():  # a hash twice in one array counts as seen twice, as it must here
-            for b in batches:
+            for b in slices(batches):
                 for _, texts, _ in text_blocks(_rows(b), length, gram):
                     yield mix64(anchors(texts, length, gram)[4])
 
@@ -263,8 +278,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     twice = sc.broadcast(merged_filter(keyed.select("k", "text").mapInArrow(build, "slice int, once binary, twice binary"), bits, "twice"))
     found_sql = "h long, context long, k long, tag long, place long, first long, last long"
 
+    @releasing
     def found(batches):
-        for b in batches:
+        for b in slices(batches):
             for keys, texts, shift in text_blocks(_rows(b), length, gram):
                 of, a, lo, hi, h, context, _, _ = anchors(texts, length, gram)
                 hit = bloom_has(twice.value, mix64(h), probes)
@@ -275,13 +291,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     seen = stored(keyed.select("k", "text").mapInArrow(found, found_sql), "substring-anchors")
     classes = stored(seen.groupBy("h", "context").agg(F.min(F.struct("k", "tag", "place")).alias("at"), F.count(F.lit(1)).alias("n")), "substring-contexts")
-    mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / contexts_together).cast("int").alias("parts"))
     mixed = stored(mixed, "substring-mixed")
-    mixed_bits, mixed_probes = id_filter(mixed, mixed.count(), max_bits)
+    mixed_bits, mixed_probes = id_filter(mixed.select("h"), mixed.count(), max_bits)
     mixed_set = sc.broadcast(mixed_bits)
 
+    @releasing
     def contexts(batches):
-        for b in batches:
+        for b in slices(batches):
             for _, texts, _ in text_blocks(_rows(b), length, gram):
                 of, a, lo, hi, h, context, raw, begin = anchors(texts, length, gram)
                 hit = np.flatnonzero(bloom_has(mixed_set.value, mix64(h), mixed_probes))
@@ -297,50 +314,86 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     texts = keyed.select("k", "text").mapInArrow(contexts, "h long, context long, before long, bytes binary")
     texts = texts.groupBy("h", "context").agg(F.min("before").alias("before"), F.min("bytes").alias("bytes"))
-    to_sort = texts.join(mixed, "h", "left_semi").join(classes.select("h", "context", "at"), ["h", "context"])
-
+    to_sort = texts.join(mixed, "h").join(classes.select("h", "context", "at"), ["h", "context"])
+
+    @releasing
+    def deal(batches):
+        """Contexts of crowded anchors, once for every part that one of their windows belongs to."""
+        for b in slices(batches):
+            rows = list(zip(b.column("bytes").to_pylist(), b.column("parts").to_pylist(), strict=True))
+            take, part = [], []
+            for at, (raw, parts) in enumerate(rows):
+                every = np.zeros(1, np.int64)
+                if parts > 1:
+                    n = len(raw) - length + 1
+                    every = np.unique(dealt(PrefixHashes(np.frombuffer(raw, np.uint8)), np.arange(n), length, np.full(n, parts)))
+                take += [at] * len(every)
+                part += every.tolist()
+            out = b.take(pa.array(take, pa.int64()))
+            yield pa.record_batch([*out.columns, pa.array(part, pa.int64())], names=[*b.schema.names, "part"])
+
+    @releasing
     def masks(batches):
         held: list[tuple] = []
         for b in batches:
-            rows = list(zip(*(b.column(i).to_pylist() for i in range(4)), ((x["k"], x["tag"], x["place"]) for x in b.column(4).to_pylist()), strict=True))
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(4)), ((x["k"], x["tag"], x["place"]) for x in b.column(4).to_pylist()), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True))
             held += rows
-            if len(held) >= 4096 and held[0][0] != held[-1][0]:
-                cut = next(i for i in range(len(held) - 1, -1, -1) if held[i][0] != held[-1][0]) + 1
+            key = lambda r: (r[0], r[5])
+            if len(held) >= 4096 and key(held[0]) != key(held[-1]):
+                cut = next(i for i in range(len(held) - 1, -1, -1) if key(held[i]) != key(held[-1])) + 1
                 yield _masks(held[:cut], length)
                 held = held[cut:]
         if held:
             yield _masks(held, length)
 
-    mask = stored(to_sort.select("h", "context", "before", "bytes", "at").repartition("h").sortWithinPartitions("h").mapInArrow(masks, "h long, context long, mask binary"), "substring-masks")
-    firsts = classes.join(mask, ["h", "context"], "left").where("n > 1 OR mask IS NOT NULL").select("h", "context", "at", "mask")
+    @releasing
+    def joined_masks(batches):
+        for b in batches:
+            out = [np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in found]).tobytes() for found in b.column("masks").to_pylist()]
+            yield pa.record_batch([b.column("h"), b.column("context"), pa.array(out, pa.binary())], schema=_MASK)
+
+    cols = ["h", "context", "before", "bytes", "at", "part", "parts"]
+    few = to_sort.where("parts = 1").withColumn("part", F.lit(0).cast("long")).select(*cols).repartition("h")
+    crowded = to_sort.where("parts > 1").select("h", "context", "before", "bytes", "at", "parts")
+    mask = few.sortWithinPartitions("h", "part").mapInArrow(masks, "h long, context long, mask binary")
+    if mixed.where("parts > 1").take(1):
+        schema = "h long, context long, before long, bytes binary, at struct<k:long,tag:long,place:long>, parts int, part long"
+        split = crowded.mapInArrow(deal, schema).select(*cols).repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(masks, "h long, context long, mask binary")
+        mask = mask.unionByName(split.groupBy("h", "context").agg(F.collect_list("mask").alias("masks")).mapInArrow(joined_masks, "h long, context long, mask binary"))
+    mask = stored(mask, "substring-masks")
+    # as a table, so that the join with all occurrences is one of two plain scans, whose hot keys adaptive execution splits
+    firsts = stored(classes.join(mask, ["h", "context"], "left").where("n > 1 OR mask IS NOT NULL").select("h", "context", "at", "mask"), "substring-firsts")
     marked = seen.join(firsts, ["h", "context"]).withColumn("is_first", F.col("at") == F.struct("k", "tag", "place")).where("NOT is_first OR mask IS NOT NULL")
     marks = stored(
         marked.select("k", "tag", F.struct("first", "last", F.when(F.col("is_first"), F.col("mask")).alias("mask")).alias("m")).groupBy("k", "tag").agg(F.collect_list("m").alias("marks")),
         "substring-marks",
     )
-    for old in (seen, classes, mixed, mask):
+    for old in (seen, classes, mixed, mask, firsts):
         discard(old)
     bits_, k_ = id_filter(marks.select("k").distinct(), marks.count(), max_bits)
     hit_docs = sc.broadcast(bits_)
 
+    @releasing
     def untouched(batches):
-        for b in batches:
+        for b in slices(batches):
             miss = ~bloom_has(hit_docs.value, mix64(b.column("k").to_numpy(zero_copy_only=False)), k_)
             if miss.any():
                 part = b.filter(pa.array(miss))
                 raw = [t.encode() for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), [len(r) for r in raw], [0] * len(raw), [0] * len(raw), [hashlib.sha256(r).hexdigest() for r in raw]], schema=_OUT)
 
+    @releasing
     def maybe(batches):
-        for b in batches:
+        for b in slices(batches):
             hit = bloom_has(hit_docs.value, mix64(b.column("k").to_numpy(zero_copy_only=False)), k_)
             if hit.any():
                 part = b.filter(pa.array(hit))
                 tags = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), part.column("k"), pa.array(tags, pa.int64()), part.column("text")], names=["doc_id", "k", "tag", "text"])
 
+    @releasing
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text, marks_ in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 raw = text.encode()
