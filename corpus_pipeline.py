@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import ship, stored, table
+from graphloom.llm.common import discard, ship, stored, table
 from graphloom.llm.decontaminate import without_contaminated
 from graphloom.llm.exact_dedup import without_duplicates
 from graphloom.llm.pieces import encode_decode
@@ -54,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns; every stage before is kept as a table until the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, before = stored(stage(spark, docs, sf_dir), name.replace(" ", "-")), docs
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
