@@ -100,6 +100,11 @@ def file_hash(text: Column, fold_blank_lines: bool = True) -> Column:
     return F.substring(F.sha2(F.regexp_replace(out, r"\n{3,}", "\n\n"), 256), 1, 16)
 
 
+def json_value(text: Column, path: str) -> Column:
+    """A scalar of JSON text, by a dotted path; null where there is none."""
+    return F.get_json_object(text, f"$.{path}")
+
+
 def rationale_markers(text: Column) -> Column:
     """Lines that start a rationale, as an array of ``marker: text``."""
     return F.regexp_extract_all(text, F.lit(r"(?m)\b((?:NOTE|WHY|HACK):[^\n]*)"), F.lit(1))

@@ -343,12 +343,17 @@ def hybrid_search(
 
 
 def call_stats(calls: DataFrame, nodes: DataFrame, top: int = 5) -> DataFrame:
-    """(uid, caller_count, callee_count, callers, callees): distinct ends and the first names of each."""
-    names = nodes.select("uid", "name")
+    """(uid, caller_count, callee_count, callers, callees): distinct ends and the first names of each. Names are ranked before they are
+    collected, so an entity with any number of callers gathers ``top`` of them."""
+    names = nodes.select(F.col("uid").alias("o"), "name")
 
     def side(own: str, other: str, word: str) -> DataFrame:
-        e = calls.select(F.col(own).alias("uid"), F.col(other).alias("o")).join(names.select(F.col("uid").alias("o"), "name"), "o")
-        return e.groupBy("uid").agg(F.count_distinct("o").alias(f"{word}_count"), F.slice(F.sort_array(F.collect_set("name")), 1, top).alias(f"{word}s"))
+        e = calls.select(F.col(own).alias("uid"), F.col(other).alias("o")).distinct().join(names, "o")
+        named = e.groupBy("uid", "name").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("uid")
+        ranked_ = named.withColumn("place", F.row_number().over(w.orderBy("name"))).withColumn("total", F.sum("n").over(w))
+        first = ranked_.where(F.col("place") <= top).groupBy("uid").agg(F.first("total").alias(f"{word}_count"), F.sort_array(F.collect_list("name")).alias(f"{word}s"))
+        return first
 
     out = side("to_uid", "from_uid", "caller").join(side("from_uid", "to_uid", "callee"), "uid", "full")
     none = F.array().cast("array<string>")

@@ -189,15 +189,53 @@ def nearest_ancestor(nodes: DataFrame, edges: DataFrame, label: str = "Module",
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of nodes on a cycle; component is its smallest node. ``edges``: a, b.
+#: Edges of a graph (of modules, projects) whose cycles are found on the driver: counted first, larger ones stay distributed.
+LOCAL_EDGES = 50_000
+
+
+def _finished(nodes: list[str], after: dict[str, list[str]], seen: set[str]) -> list[str]:
+    """Nodes reached from ``nodes``, each after all that it reaches."""
+    out = []
+    for start in nodes:
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(after.get(start, ())))]
+        while path:
+            node, rest = path[-1]
+            step = next((n for n in rest if n not in seen), None)
+            if step is None:
+                out.append(path.pop()[0])
+            else:
+                seen.add(step)
+                path.append((step, iter(after.get(step, ()))))
+    return out
+
+
+def components_of(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(node, component) of the nodes on a cycle of a small graph: two passes, over the edges and against them."""
+    after, before = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        after[a].append(b)
+        before[b].append(a)
+    order, seen, out = _finished(sorted(after), after, set()), set(), []
+    for node in reversed(order):
+        group = _finished([node], before, seen)
+        out += [(n, min(group)) for n in group] if len(group) > 1 else []
+    return out
+
+
+def strongly_connected(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component) of nodes on a cycle; component is its smallest node. ``edges``: a, b. Up to ``local`` edges are solved on the driver.
 
     Every round spreads the smallest label forward and backward. Nodes whose two labels are one node are that
     node's component. Only edges between nodes of equal labels can lie on a cycle, so a round also cuts the graph into
     all its pieces, and rounds go on until no edge is left: none is dropped for their number.
     """
     e = cut_lineage(edges.where("a <> b").select("a", "b").distinct(), "scc")
-    parts = []
+    parts, n = [], e.count()
+    if n <= local:
+        return edges.sparkSession.createDataFrame(sorted(components_of([(r["a"], r["b"]) for r in e.collect()])), "node string, component string")
     while True:
         left = e.count()
         while left:  # only nodes with edges both ways can lie on a cycle

@@ -911,3 +911,6 @@ def orphan_notes(t):
 @query("SELECT to_uid AS uid, count(DISTINCT project_name) AS projects FROM calls JOIN nodes ON uid = from_uid GROUP BY to_uid HAVING count(DISTINCT project_name) >= 2")
 def promotion_candidates(t):
     return A.promotion_candidates(calls(t).select("from_uid", "to_uid"), nodes(t, ["Callable"]))
+
+
+import graphloom.plans.rules  # noqa: E402, F401  registers the other queries

@@ -1,5 +1,7 @@
 """Rules of the analyses and searches on small graphs, worked out by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,8 +58,13 @@ def test_trace_prefers_weight_then_names(make):
 
 def test_long_chain_of_cycles(spark):
     pairs = [(f"{i:03d}a", f"{i:03d}b") for i in range(60)] + [(f"{i:03d}b", f"{i:03d}a") for i in range(60)] + [(f"{i:03d}b", f"{i + 1:03d}a") for i in range(59)]
-    found = V.strongly_connected(spark.createDataFrame(pairs, "a string, b string")).collect()
-    assert {(r.node, r.component) for r in found} == {(f"{i:03d}{x}", f"{i:03d}a") for i in range(60) for x in "ab"}
+    for local in (0, V.LOCAL_EDGES):
+        found = V.strongly_connected(spark.createDataFrame(pairs, "a string, b string"), local).collect()
+        assert {(r.node, r.component) for r in found} == {(f"{i:03d}{x}", f"{i:03d}a") for i in range(60) for x in "ab"}
+    rnd = random.Random(3)
+    some = [(f"{rnd.randrange(40):02d}", f"{rnd.randrange(40):02d}") for _ in range(60)]
+    df = spark.createDataFrame(some, "a string, b string")
+    assert sorted(map(tuple, V.strongly_connected(df, 0).collect())) == sorted(map(tuple, V.strongly_connected(df).collect()))
 
 
 def test_quality_rules(make):
