@@ -10,7 +10,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -67,9 +67,16 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch: documents are long, and Spark's 10,000 rows of them stand in memory on both sides of the pipe.
+BATCH_ROWS, _DEFAULT_ROWS = 1000, "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the package's sources to the executors, once a session: workers import it by name."""
+    """Give the package's sources to the executors, once a session: workers import it by name. Batches get ``BATCH_ROWS`` rows where
+    the session does not say otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not getattr(sc, "_graphloom_shipped", False):
         sc._graphloom_shipped = True
         root = Path(__file__).resolve().parent.parent
@@ -105,12 +112,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
-def releasing(f):
+#: Functions that empty what operators keep in a worker between their tasks (compiled vocabularies, tables), by name.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str):
+    """A cache of one value in each worker, which goes when the worker runs a task of an operator that does not keep it."""
+
+    def decorate(f):
+        cached = functools.lru_cache(1)(f)
+        _KEPT[name] = cached.cache_clear
+        return cached
+
+    return decorate
+
+
+def releasing(f=None, *, keep: str | None = None):
     """A task's map function that gives freed memory back to the system when it ends: Spark keeps its workers for
-    later tasks, and what one stage has used would stand beside what the next one uses."""
+    later tasks, and what one stage has used would stand beside what the next one uses. Other operators' caches go first."""
+    if f is None:
+        return functools.partial(releasing, keep=keep)
 
     @functools.wraps(f)
     def run(batches, *args, **kwargs):
+        drop_caches(keep)
         try:
             yield from f(batches, *args, **kwargs)
         finally:
@@ -119,6 +144,12 @@ def releasing(f):
     return run
 
 
+def drop_caches(keep: str | None) -> None:
+    for name, clear in _KEPT.items():
+        if name != keep:
+            clear()
+
+
 def release_memory() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -206,6 +237,7 @@ def id_filter(ids: DataFrame, n: int, max_bits: int) -> tuple[np.ndarray, int]:
     """Bloom filter of the single long column of ``ids`` (``n`` rows)."""
     bits, k = bloom_shape(n, 12, max_bits)
 
+    @releasing
     def build(batches):
         yield from bloom_pair((mix64(b.column(0).to_numpy(zero_copy_only=False)) for b in batches), bits, k)
 
@@ -219,6 +251,7 @@ def _routes(docs: DataFrame, ids: DataFrame, id_col: str, max_bits: int):
     at = docs.columns.index(id_col)
 
     def route(hits: bool):
+        @releasing
         def run(batches):
             for b in batches:
                 ids_ = b.column(at).cast(pa.int64())

@@ -20,14 +20,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, in_blocks, releasing, slices, table
+from graphloom.llm.common import few_tasks, in_blocks, kept, releasing, slices, table
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -95,7 +94,7 @@ _WORD, _DIGIT, _UPPER, _LOWER, _MARK, _QUOTE, _SEP = (1 << i for i in range(7))
 _P = 0x9E3779B97F4A7C15
 
 
-@lru_cache(1)
+@kept("characters")
 def character_tables() -> tuple[np.ndarray, np.ndarray]:
     """Class bits and lower case of every code point."""
     kind, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
@@ -107,7 +106,7 @@ def character_tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, low
 
 
-@lru_cache(1)
+@kept("powers")
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, modulo 2 ** 64."""
     with np.errstate(over="ignore"):
@@ -321,7 +320,7 @@ def contamination(
     for block in item_blocks(benchmark, item_col, item_text_col):
         known = sc.broadcast(Templates(block, width, similarity))
 
-        @releasing
+        @releasing(keep="characters")
         def run(batches, known=known):
             for b in slices(batches):
                 texts = b.column("text").to_pylist()
@@ -349,7 +348,7 @@ def without_contaminated(
     for block in item_blocks(benchmark, item_col, item_text_col):
         known = sc.broadcast(Templates(block, width, similarity))
 
-        @releasing
+        @releasing(keep="characters")
         def run(batches, known=known):
             for b in slices(batches):
                 texts = [t or "" for t in b.column(at).to_pylist()]

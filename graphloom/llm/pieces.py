@@ -12,19 +12,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, in_blocks, releasing, table
+from graphloom.llm.common import few_tasks, in_blocks, kept, releasing, slices, table
 
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
 #: Distinct words kept with their encoding; beyond it the memory starts anew.
-MEMO = 300_000
+MEMO = 100_000
+#: Words that are encoded together.
+TOGETHER = 20_000
 
 
 class PieceCodec:
@@ -54,10 +55,10 @@ class PieceCodec:
         self.keys = keys[by]
         self.ranks = np.array([r for r, _ in pairs.values()], np.int64)[by]
         self.merged = np.array([i for _, i in pairs.values()], np.int64)[by]
-        self.pairs = pairs
         self.text = [str(i) for i in range(n)]
         self.words = re.compile(self._word_pattern())
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        #: (number of ids, the ids, what they decode to where that is not the word itself) of a word
+        self.memo: dict[str, tuple[int, str, bytes | None]] = {}
 
     def _word_pattern(self) -> str:
         """Words are cut before a space mark, and before a punctuation mark where no piece holds it
@@ -86,8 +87,11 @@ class PieceCodec:
 
         def offer(i):
             j = after[i]
-            if j < len(sym) and (p := self.pairs.get((sym[i], sym[j]))):
-                heapq.heappush(heap, (p[0], i, sym[i], sym[j], p[1]))
+            if j < len(sym):
+                key = sym[i] << 32 | sym[j]
+                at = int(np.searchsorted(self.keys, key))
+                if at < len(self.keys) and self.keys[at] == key:
+                    heapq.heappush(heap, (int(self.ranks[at]), i, sym[i], sym[j], int(self.merged[at])))
 
         for i in range(len(sym) - 1):
             offer(i)
@@ -163,7 +167,8 @@ class PieceCodec:
         for word, ids in zip(words, self.rounds(words), strict=True):
             if max(ids) >= self.size:
                 ids = [i for s in ids for i in ([s] if s < self.size else [self.byte_id[b] for b in chr(s - self.size).encode()])]
-            self.memo[word] = (len(ids), ",".join(map(text, ids)), b"".join(map(raw, ids)))
+            decoded = b"".join(map(raw, ids))
+            self.memo[word] = (len(ids), ",".join(map(text, ids)), None if decoded == word.replace(SPACE, " ").encode() else decoded)
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -173,8 +178,8 @@ class PieceCodec:
         if len(self.memo) > MEMO:
             self.memo.clear()
         fresh = list({x for words in texts for x in words} - self.memo.keys())
-        if fresh:
-            self.learn(fresh)
+        for at in range(0, len(fresh), TOGETHER):
+            self.learn(fresh[at : at + TOGETHER])
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
@@ -186,7 +191,7 @@ class PieceCodec:
         return out[1:] if out.startswith(" ") else out
 
 
-@lru_cache(2)
+@kept("pieces")
 def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
@@ -201,18 +206,21 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     and empty tables are passed through row by row; other columns are ignored.
     """
 
-    @releasing
+    @releasing(keep="pieces")
     def run(batches):
         c = codec(path)
         c.memo.clear()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for block in in_blocks([t or "" for t in b.column(1).to_pylist()]):
                 split = [c.split(t) for t in block]
                 c.prepare(split)
                 for words in split:
                     known = [c.memo[x] for x in words]
-                    decoded = b"".join(k[2] for k in known)
+                    if all(k[2] is None for k in known):
+                        decoded = "".join(words).replace(SPACE, " ").encode()
+                    else:
+                        decoded = b"".join(x.replace(SPACE, " ").encode() if k[2] is None else k[2] for x, k in zip(words, known, strict=True))
                     rows.append((
                         sum(k[0] for k in known),
                         hashlib.sha256(",".join(k[1] for k in known).encode()).hexdigest(),

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, releasing, slices, table
+from graphloom.llm.common import few_tasks, kept, releasing, slices, table
 
 LIMIT = 2048
 CHUNK = 1 << 16
@@ -300,7 +300,7 @@ class TokenCounter:
         return m.inside + self.transducer.close(m.tail)
 
 
-@lru_cache(2)
+@kept("tokens")
 def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
@@ -316,7 +316,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     other columns are ignored. ``path``: the vocabulary file, present on every executor.
     """
 
-    @releasing
+    @releasing(keep="tokens")
     def run(batches):
         c = counter(path)
         for b in slices(batches):

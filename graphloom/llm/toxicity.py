@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import few_tasks, release_memory, releasing, table
+from graphloom.llm.common import few_tasks, release_memory, releasing, slices, table
 
 SIZES = (3, 4, 5, 6, 7)
 BITS = 20
@@ -75,7 +75,7 @@ _PART = 1 << 14
 @releasing
 def _count(batches):
     pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for b in batches:
+    for b in slices(batches):
         for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             (pos if y else neg)[present(text)] += 1
     for i in range(0, 1 << BITS, _PART):
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     @releasing
     def sparse(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [present(t, wanted.value).tobytes() for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array(found, pa.binary()), b.column(1)], names=["x", "y"])
 
@@ -169,7 +169,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = TH
 
     @releasing
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.record_batch([b.column(0), [known.value.score(t or "") for t in b.column(1).to_pylist()]], schema=_OUT)
 
     scored = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, score double")
@@ -183,7 +183,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
 
     @releasing
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = [known.value.score(t or "") < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
