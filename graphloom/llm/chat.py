@@ -121,7 +121,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     ``content_col``: a string, or an array of structs with ``type`` and the fields that the parts
     have (text; ref, width, height; ref, seconds; ref, pages). Null content is empty, a null role
-    is the empty role. Row-local: a conversation of any length is formatted in parallel.
+    is the empty role; a part without a type is text, and one of an unknown type is an error that names it. Row-local: a conversation of any length is formatted in parallel.
     """
     typed = turns.schema[content_col].dataType.simpleString() != "string"
 
