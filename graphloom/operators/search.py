@@ -104,19 +104,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
 
 
-#: Parts that postings are dealt to by term: a query reads those of its terms.
+#: Parts that postings are dealt to by term: a query reads those of its terms. A large corpus takes more of them.
 TERM_PARTS = 64
 
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """part, term, label, uid, tf, dl of every term of every document: write it partitioned by ``part`` and sorted by term. ``docs``: uid, label, text."""
+def postings(docs: DataFrame, parts: int = TERM_PARTS) -> DataFrame:
+    """part, term, label, uid, tf, dl of every term of every document: write it partitioned by ``part``; rows come sorted by term. ``docs``: uid, label, text.
+
+    Tasks are balanced by size, so the part of a word that stands in every document is written by many of them."""
     t = docs.select("uid", "label", tokens(F.col("text")).alias("t")).select("uid", "label", F.size("t").alias("dl"), F.explode("t").alias("term"))
     tf = t.groupBy("uid", "label", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.select(_part(F.col("term")).alias("part"), "term", "label", "uid", "tf", "dl").repartition("part").sortWithinPartitions("part", "term")
+    return tf.select(_part(F.col("term"), parts).alias("part"), "term", "label", "uid", "tf", "dl").hint("rebalance", "part").sortWithinPartitions("part", "term")
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -128,12 +130,13 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall("[a-z0-9_]+", sanitise(query).lower())))
 
 
-def bm25_indexed(index: DataFrame, stats: DataFrame, query: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(label, uid, score) of documents that hold a term of the query, from ``postings`` and ``text_statistics`` that are kept as tables."""
+def bm25_indexed(index: DataFrame, stats: DataFrame, query: str, k1: float = BM25_K1, b: float = BM25_B, parts: int = TERM_PARTS) -> DataFrame:
+    """(label, uid, score) of documents that hold a term of the query, from ``postings`` (with as many ``parts``) and ``text_statistics`` that
+    are kept as tables."""
     terms = query_terms(query)
-    spark = index.sparkSession
-    parts = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"))).collect()})
-    tf = index.where(F.col("part").isin(*parts) & F.col("term").isin(*terms)) if terms else index.where("false")
+    # constants, which Catalyst folds: only the partitions of these terms are read
+    wanted = [(F.col("part") == _part(F.lit(t), parts)) & (F.col("term") == t) for t in terms]
+    tf = index.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
     return _scored(tf, stats, k1, b)
 
 
