@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import discard, few_tasks, stored, table
 
 #: Folded entries that a bucket may hold before it is split.
-CAPACITY = 200_000
+CAPACITY = 50_000
 #: Buckets that the directory is meant to have at most: beyond it the capacity grows with the number of entries.
 BUCKETS = 1 << 15
 #: Bits by which prefixes are counted at once.
