@@ -287,6 +287,8 @@ SLICE_HASHES = 1024
 LOOSE_TAU, LOOSE_SEGMENTS, LOOSE_CHAIN = 24, 8, 5
 #: Rows of a candidate group that are compared with as many others at once.
 BLOCK_ROWS = 2048
+#: Bins of a sketch: the smallest hash of each, as a byte. Sketches prune pairs that are this many deviations under the similarity asked for.
+BINS, DEVIATIONS = 128, 5
 
 
 def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -310,9 +312,24 @@ def part_keys(h: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A byte for the smallest hash of each bin of a sorted set, 0 for an empty one."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique(h >> np.uint64(57), return_index=True)
+    out[bins.astype(np.int64)] = (mix64(h[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def sketches_reach(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the share of equal bins, of those that are filled in either sketch, is in reach of a similarity."""
+    filled = ((others > 0) | (one > 0)).sum(axis=1)
+    equal = ((others == one) & (one > 0)).sum(axis=1)
+    return equal >= filled * similarity - DEVIATIONS * np.sqrt(filled * similarity * (1 - similarity))
+
+
 _PARTS = pa.list_(pa.struct([("part", pa.int32()), ("value", pa.int64())]))
-_SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sample", pa.binary()), ("parts", _PARTS), ("small", pa.list_(pa.int64()))])
-_SIG_SQL = "doc_id long, fp long, n long, sample binary, parts array<struct<part:int,value:long>>, small array<long>"
+_SIG = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("sample", pa.binary()), ("parts", _PARTS), ("small", pa.list_(pa.int64()))])
+_SIG_SQL = "doc_id long, fp long, n long, sketch binary, sample binary, parts array<struct<part:int,value:long>>, small array<long>"
 
 
 def prefix_keys(sig: DataFrame, similarity: float) -> DataFrame:
@@ -338,6 +355,12 @@ def sample_similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
     return float(np.isin(shared, both).sum() / max(1, len(both)))
 
 
+def whole_sets_similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """``sample_similarity`` of samples that hold the whole sets."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
+
+
 def similar_pairs(pairs: DataFrame, sig: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar to ``similarity`` or more."""
 
@@ -391,47 +414,96 @@ def whole_similar(pairs: DataFrame, base: DataFrame, most: int, width: int, simi
     return total.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= similarity).select("a", "b").distinct()
 
 
+_JUDGED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sure", pa.bool_())])
+
+
 def _unlinked_of_sorted(batches, similarity: float):
-    """Rows (part, value, lo, hi, block, doc_id, fp, root, n) sorted by the first four: pairs of a group, one of block ``lo`` and
-    one of ``hi``, with different roots, sizes and fingerprints in reach. The ring lets all of these through."""
+    """Rows (part, value, lo, hi, block, doc_id, fp, root, n, sketch, sample) sorted by the first four: links between rows of a group, one of block
+    ``lo`` and one of ``hi``, with different roots, and with sizes, fingerprints and sketches in reach. A link between two roots
+    unites them for the rest of the group, so links span a group and are no more than its rows. Pairs of texts beyond ``SAMPLE`` shingles
+    that the samples do not decide are given as not sure. The ring lets all of these through."""
 
-    def pairs(cols):
+    def links(cols, sketches, samples):
         lo, hi, block, doc, fp, root, n = cols[2:]
         at = np.r_[0, np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) + 1, len(doc)]
+        found: list[tuple[int, int, int, bool]] = []
+
+        def look(one, other, up):
+            size = np.minimum(n[other], n[one])
+            open_ = (root[other] != root[one]) & (size >= similarity * np.maximum(n[other], n[one]) - 1e-6)
+            hit = other[open_ & ((size <= SPARSE) | (np.bitwise_count((fp[other] ^ fp[one]).view(np.uint64)) <= LOOSE_TAU))]
+            if not len(hit):
+                return
+            hit = hit[(np.minimum(n[hit], n[one]) <= SPARSE) | sketches_reach(sketches[one], sketches[hit], similarity)]
+
+            def top(r):
+                while r in up:
+                    r = up[r]
+                return r
+
+            mine, x = int(root[one]), np.frombuffer(samples[one], np.uint32)
+            for j, theirs in zip(hit.tolist(), root[hit].tolist(), strict=True):
+                p, q = top(mine), top(theirs)
+                if p == q:
+                    continue
+                most = int(max(n[one], n[j]))
+                whole = most <= SAMPLE
+                like = whole_sets_similarity(x, np.frombuffer(samples[j], np.uint32)) if whole else sample_similarity(samples[one], samples[j], int(n[one]), int(n[j]))
+                if like >= similarity + (0.0 if whole else CLEAR):
+                    up[max(p, q)] = min(p, q)
+                    found.append((min(doc[one], doc[j]), max(doc[one], doc[j]), most, True))
+                elif not whole and like >= similarity - CLEAR:
+                    found.append((min(doc[one], doc[j]), max(doc[one], doc[j]), most, False))
+
         for s, e in zip(at, at[1:], strict=False):
-            x, y = s + np.flatnonzero(block[s:e] == lo[s]), s + np.flatnonzero(block[s:e] == hi[s])
-            for k, one in enumerate(x):
-                other = y[k + 1 :] if lo[s] == hi[s] else y
-                size = np.minimum(n[other], n[one])
-                open_ = (root[other] != root[one]) & (size >= similarity * np.maximum(n[other], n[one]) - 1e-6)
-                hit = other[open_ & ((size <= SPARSE) | (np.bitwise_count((fp[other] ^ fp[one]).view(np.uint64)) <= LOOSE_TAU))]
-                if len(hit):
-                    yield pa.record_batch([np.minimum(doc[hit], doc[one]), np.maximum(doc[hit], doc[one])], schema=_LINK)
-
-    keep = [np.zeros(0, np.int64)] * 9
+            # rows of the commonest root differ in root from the others only: the others are compared with all
+            roots, counts = np.unique(root[s:e], return_counts=True)
+            common, up = roots[np.argmax(counts)], {}
+            x = s + np.flatnonzero(block[s:e] == lo[s])
+            if lo[s] == hi[s]:
+                rest, most = x[root[x] != common], x[root[x] == common]
+                for k, one in enumerate(rest):
+                    look(one, np.r_[most, rest[k + 1 :]], up)
+            else:
+                y = s + np.flatnonzero(block[s:e] == hi[s])
+                most = x[root[x] == common]
+                for one in x[root[x] != common]:
+                    look(one, y, up)
+                for one in y[root[y] != common]:
+                    look(one, most, up)
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.record_batch([pa.array([int(v) for v in c], pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.bool_())], schema=_JUDGED)
+
+    keep, held, kept_samples = [np.zeros(0, np.int64)] * 9, np.zeros((0, BINS), np.uint8), []
     for batch in batches:
         cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(keep)]
+        held = np.concatenate([held, np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(-1, BINS)])
+        kept_samples += batch.column(10).to_pylist()
         change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols[:4]], axis=0)) if len(cols[0]) else []
         cut = int(change[-1]) + 1 if len(change) else 0
         if cut:
-            yield from pairs([x[:cut] for x in cols])
-        keep = [x[cut:] for x in cols]
+            yield links([x[:cut] for x in cols], held[:cut], kept_samples[:cut])
+        keep, held, kept_samples = [x[cut:] for x in cols], held[cut:], kept_samples[cut:]
     if len(keep[0]):
-        yield from pairs(keep)
+        yield links(keep, held, kept_samples)
 
 
-def unlinked_pairs(shared: DataFrame, sig: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that share a part and are in different components of ``parts`` (node, root). Groups of one component are
+def more_links(shared: DataFrame, sig: DataFrame, parts: DataFrame, base: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between rows that share a part and are in different components of ``parts`` (node, root). Groups of one component are
     done; of the others blocks of rows are compared with blocks, each pair of blocks on its own."""
     rooted = shared.select("part", "value", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     rooted = stored(rooted, "near-rooted")
     left = rooted.groupBy("part", "value").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("first != last")
     blocks = F.ceil(F.col("c") / BLOCK_ROWS).cast("long")
-    rows = rooted.join(left.select("part", "value", blocks.alias("blocks")), ["part", "value"]).join(sig.select("doc_id", "fp", "n"), "doc_id")
+    rows = rooted.join(left.select("part", "value", blocks.alias("blocks")), ["part", "value"]).join(sig.select("doc_id", "fp", "n", "sketch", "sample"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select(F.col("part").cast("long"), "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "fp", "root", "n")
+    rows = rows.select(F.col("part").cast("long"), "value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "fp", "root", "n", "sketch", "sample")
     group = ["part", "value", "lo", "hi"]
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(releasing(lambda it: _unlinked_of_sorted(it, similarity)), "a long, b long").distinct()
+    judged = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(releasing(lambda it: _unlinked_of_sorted(it, similarity)), "a long, b long, n long, sure boolean")
+    judged = stored(judged, "near-unlinked")
+    sure, open_ = judged.where("sure").select("a", "b").distinct(), judged.where("NOT sure")
+    most = open_.agg(F.max("n")).first()[0]
+    return sure if most is None else sure.unionByName(whole_similar(open_.select("a", "b").distinct(), base, most, width, similarity))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,8 +524,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
                 h = np.unique(shingle_hashes(t or "", width))
                 sample = np.sort(np.unique((mix64(h) >> np.uint64(32)).astype(np.uint32)))[:SAMPLE]
                 small = h.view(np.int64).tolist() if len(h) * similarity <= SMALL else []
-                rows.append((np.uint64(simhash(h)).view(np.int64), len(h), sample.tobytes(), [{"part": p, "value": v} for p, v in (part_keys(h, similarity) if len(h) else [(-1, 0)])], small))
-            yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), *[[]] * 5], schema=_SIG)
+                rows.append((np.uint64(simhash(h)).view(np.int64), len(h), sketch(h), sample.tobytes(), [{"part": p, "value": v} for p, v in (part_keys(h, similarity) if len(h) else [(-1, 0)])], small))
+            yield pa.record_batch([b.column(0), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column(0), *[[]] * 6], schema=_SIG)
 
     base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).where("doc_id IS NOT NULL")
     sig = stored(base.mapInArrow(run, _SIG_SQL), "near-signatures")
@@ -466,6 +538,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     left, right = (sig.select(F.col("doc_id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
     pruned = pairs.join(left, "a").join(right, "b")
 
+    @releasing
     def ring(batches):
         for b in batches:
             x = (b.column(2).to_numpy() ^ b.column(3).to_numpy()).view(np.uint64)
@@ -476,9 +549,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
 
     links = similar_pairs(pruned, sig, base, width, similarity)
     parts = stored(connected_components(links), "near-parts")
-    more = stored(unlinked_pairs(shared, sig, parts, similarity), "near-unlinked")
+    more = more_links(shared, sig, parts, base, width, similarity)
     known = parts.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return connected_components(known.unionByName(similar_pairs(more, sig, base, width, similarity))).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    return connected_components(known.unionByName(more)).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
