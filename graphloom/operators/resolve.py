@@ -39,6 +39,16 @@ def best_rung(candidates: DataFrame, key: str, rung: str = "rung") -> DataFrame:
     return candidates.withColumn("_best", F.min(rung).over(w)).where(F.col(rung) == F.col("_best")).drop("_best").withColumn("candidate_count", F.count(F.lit(1)).over(w).cast("int"))
 
 
+#: Rows of a table of facts that is broadcast (counted first).
+SMALL = 20_000
+
+
+def lookup(facts: DataFrame, label: str) -> DataFrame:
+    """``facts`` kept as a table, and broadcast if it turns out small: what is looked up there need not be shuffled."""
+    kept = cut_lineage(facts, label)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
+
+
 def resolve_calls(sites: DataFrame, callables: DataFrame, imports: DataFrame, is_test: Column) -> DataFrame:
     """Call sites to callables of the same project by name.
 
@@ -103,12 +113,16 @@ def resolve_type_refs(refs: DataFrame, types: DataFrame, imports: DataFrame) ->
 def resolve_members(refs: DataFrame, types: DataFrame) -> DataFrame:
     """Owner of members by type name: same file, same folder, unique in the project, else the member's module (``fallback_uid``).
     More than one on a rung: the module. ``refs``: ref_id, member_uid, project_name, name, file_path, fallback_uid."""
-    folder = lambda c: F.regexp_replace(c, "[^/]*$", "")
-    t = types.select("project_name", "name", "uid", F.col("file_path").alias("to_file"))
-    pairs = refs.join(t, ["project_name", "name"], "left")
-    pairs = pairs.withColumn("rung", F.when(F.col("uid").isNull(), 4).when(F.col("file_path") == F.col("to_file"), 1).when(folder(F.col("file_path")) == folder(F.col("to_file")), 2).otherwise(3))
-    best = best_rung(pairs, "ref_id").dropDuplicates(["ref_id"])
-    return best.select(F.when((F.col("candidate_count") == 1) & (F.col("rung") < 4), F.col("uid")).otherwise(F.col("fallback_uid")).alias("from_uid"), F.col("member_uid").alias("to_uid"), F.lit("DEFINES").alias("rel_type"))
+    key = ["project_name", "name"]
+    folder = F.regexp_replace("file_path", "[^/]*$", "").alias("folder")
+    t, r = types.where("uid IS NOT NULL").select(*key, "uid", "file_path", folder), refs.select("*", folder)
+    for i, on in enumerate(([*key, "file_path"], [*key, "folder"], key), 1):
+        n = t.groupBy(*on).agg(F.struct(F.lit(i).alias("rung"), F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid")).alias(f"_{i}"))
+        r = r.join(lookup(n, f"members-facts-{i}"), on, "left")
+    r = r.withColumn("best", F.coalesce("_1", "_2", "_3"))
+    r = r.withColumn("rung", F.coalesce("best.rung", F.lit(4))).withColumn("_best", F.min("rung").over(Window.partitionBy("ref_id"))).where("rung = _best")
+    r = r.groupBy("ref_id").agg(F.sum("best.n").alias("n"), F.min("best.uid").alias("uid"), F.min("fallback_uid").alias("fallback_uid"), F.min("member_uid").alias("to_uid"))
+    return r.select(F.when(F.col("n") == 1, F.col("uid")).otherwise(F.col("fallback_uid")).alias("from_uid"), "to_uid", F.lit("DEFINES").alias("rel_type"))
 
 
 def dotted_prefixes(c: Column) -> Column:
