@@ -39,8 +39,8 @@ def best_rung(candidates: DataFrame, key: str, rung: str = "rung") -> DataFrame:
     return candidates.withColumn("_best", F.min(rung).over(w)).where(F.col(rung) == F.col("_best")).drop("_best").withColumn("candidate_count", F.count(F.lit(1)).over(w).cast("int"))
 
 
-#: Rows of a table of facts that is broadcast (counted first).
-SMALL = 20_000
+#: Rows of a table of facts that is broadcast (counted first); candidates in one array; pairs of one cell, and of one task.
+SMALL, BLOCK, CELL, TASK = 20_000, 4096, 1 << 20, 1 << 22
 
 
 def lookup(facts: DataFrame, label: str) -> DataFrame:
@@ -49,6 +49,26 @@ def lookup(facts: DataFrame, label: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= SMALL else kept
 
 
+def expand(rows: DataFrame, candidates: DataFrame, key: list[str], label: str, *same: str) -> DataFrame:
+    """Every row with the ``to_uid`` of every candidate of its key, and the candidate's columns ``same``.
+
+    Only where a pair leaves as a result: candidates travel in arrays, rows once per array. A key with many of both is cut into cells of
+    ``CELL`` pairs or so, each in a task's reach: no task meets a whole common name, and what is shuffled is a thousandth of the pairs.
+    """
+    n = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_r")).join(candidates.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")), key)
+    n = cut_lineage(n.select(*key, (F.col("_r") * F.col("_c")).alias("_pairs"), F.ceil(F.col("_c") / BLOCK).alias("_blocks"), F.ceil(F.col("_r") * F.least(F.col("_c"), F.lit(BLOCK)) / CELL).alias("_shares")), f"{label}-shape")
+    pairs, keys = n.agg(F.coalesce(F.sum("_pairs"), F.lit(0)), F.count(F.lit(1))).first()
+    n = (F.broadcast(n) if keys <= SMALL else n).drop("_pairs")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = candidates.join(n, key).withColumn("_block", F.pmod(F.xxhash64("to_uid"), "_blocks"))
+    a = a.groupBy(*key, *same, "_block", "_shares").agg(F.collect_list("to_uid").alias("_uids")).withColumn("_share", numbers("_shares")).drop("_shares")
+    r = rows.join(n, key).withColumn("_share", F.pmod(F.xxhash64(*rows.columns), "_shares")).withColumn("_block", numbers("_blocks")).drop("_shares", "_blocks")
+    at = [*key, "_share", "_block"]
+    if (tasks := min(100_000, pairs // TASK)) > 1:
+        r, a = r.repartition(tasks, *at), a.repartition(tasks, *at)
+    return r.join(a, at).select(*rows.columns, *same, F.explode("_uids").alias("to_uid"))
+
+
 def resolve_calls(sites: DataFrame, callables: DataFrame, imports: DataFrame, is_test: Column) -> DataFrame:
     """Call sites to callables of the same project by name.
 
@@ -98,13 +118,21 @@ def resolve_calls(sites: DataFrame, callables: DataFrame, imports: DataFrame, is
 def resolve_type_refs(refs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
     """Type references by import (weight 1), same file (1), or a name unique in the project (0.5, ambiguous).
     ``refs``: ref_id, from_uid, project_name, name, file_path. ``types``: uid, project_name, name, file_path. ``imports``: from_file, to_uid."""
-    t = types.select("project_name", "name", F.col("uid").alias("to_uid"), F.col("file_path").alias("to_file"))
-    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct().withColumn("imported", F.lit(True))
-    pairs = refs.join(t, ["project_name", "name"]).join(linked, ["file_path", "to_uid"], "left")
-    pairs = pairs.withColumn("rung", F.when(F.col("imported"), 1).when(F.col("file_path") == F.col("to_file"), 2).otherwise(3))
-    best = best_rung(pairs, "ref_id").where("rung < 3 OR candidate_count = 1")
-    w = Window.partitionBy("from_uid", "to_uid").orderBy("rung", "ref_id")
-    return best.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(
+    key = ["project_name", "name"]
+    t = types.select(*key, "file_path", F.col("uid").alias("to_uid"))
+    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct()
+    rungs = [([*key, "file_path"], linked.join(t.drop("file_path"), "to_uid")), ([*key, "file_path"], t), (key, t)]
+    r, w = refs.select("ref_id", "from_uid", *key, "file_path"), Window.partitionBy("ref_id")
+    for i, (on, of) in enumerate(rungs, 1):
+        n = lookup(of.groupBy(*on).agg(F.count(F.lit(1)).alias(f"_{i}")), f"types-facts-{i}")
+        r = r.join(n, on, "left")
+    for i in (1, 2, 3):
+        r = r.withColumn(f"_{i}", F.coalesce(F.sum(f"_{i}").over(w), F.lit(0)))
+    r = r.withColumn("rung", F.when(F.col("_1") > 0, 1).when(F.col("_2") > 0, 2).when(F.col("_3") == 1, 3)).where("rung IS NOT NULL")
+    r = cut_lineage(r.select("from_uid", *key, "file_path", "rung").distinct(), "types-refs")
+    out = [expand(r.where(F.col("rung") == i), of, on, f"types-{i}").select("from_uid", "to_uid", "rung") for i, (on, of) in enumerate(rungs, 1)]
+    best = reduce(DataFrame.unionByName, out).groupBy("from_uid", "to_uid").agg(F.min("rung").alias("rung"))
+    return best.select(
         "from_uid", "to_uid", F.element_at(F.array(F.lit("import"), F.lit("same_file"), F.lit("project_unique")), F.col("rung")).alias("strategy"),
         F.when(F.col("rung") < 3, "resolved").otherwise("ambiguous").alias("confidence"), F.when(F.col("rung") < 3, 1.0).otherwise(0.5).alias("weight"),
     )

@@ -43,3 +43,23 @@ def test_members_by_rung(spark):
     refs = spark.createDataFrame([(i, f"m{i}", "p", n, f, "mod") for i, (n, f, _) in enumerate(cases)], "ref_id int, member_uid string, project_name string, name string, file_path string, fallback_uid string")
     got = {r.to_uid: r.from_uid for r in R.resolve_members(refs.unionByName(refs.where("ref_id = 4")), types).collect()}
     assert got == {f"m{i}": c[2] for i, c in enumerate(cases)} and R.resolve_members(refs, types).count() == len(cases)
+
+
+def test_type_refs_of_a_common_name(spark, soon):
+    refs = rows(spark, ref_id="id", from_uid="concat('c', id)", project_name="'p'", name="'get'", file_path="concat('f', id)")
+    types = rows(spark, uid="concat('t', id)", project_name="'p'", name="'get'", file_path="concat('f', id)")
+    imports = rows(spark, 2, from_file="'f7'", to_uid="concat('t', id)")
+    with soon():
+        got = R.resolve_type_refs(refs, types, imports)
+        assert {(r.strategy, r.n) for r in got.groupBy("strategy").agg(F.count("*").alias("n")).collect()} == {("import", 2), ("same_file", MANY - 1)}
+
+
+def test_expand_cuts_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 4)
+    monkeypatch.setattr(R, "CELL", 10)
+    monkeypatch.setattr(R, "TASK", 50)
+    left = rows(spark, 30, at="id", k="if(id < 25, 1, id)")
+    right = rows(spark, 20, k="if(id < 17, 1, id)", to_uid="concat('t', id)", own="id % 2")
+    want = left.join(right, "k").select("at", "k", "own", "to_uid")
+    got = R.expand(left.unionByName(left.where("at = 3")), right, ["k"], "test", "own")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.unionByName(want.where("at = 3")).collect()))
