@@ -300,12 +300,15 @@ def doc_links(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """DOCUMENTS edges of mentions in documents: a symbol by its exact name, a file by the end of its path; only where one entity alone
     fits. ``refs``: ref_id, from_uid, project_name, target, is_file, link_type, confidence. ``entities``: uid, label, project_name, name, file_path; notes and
     sections are no targets."""
-    e = entities.where("label NOT IN ('Note', 'DocSection')")
-    by_name = refs.where("NOT is_file").join(e.select("project_name", F.col("name").alias("target"), "uid"), ["project_name", "target"])
-    ends = e.where("file_path IS NOT NULL").select("project_name", "uid", F.explode(path_suffixes(F.col("file_path"))).alias("target"))
-    by_path = refs.where("is_file").join(ends, ["project_name", "target"])
-    hit = unique_match(by_name.select("ref_id", "uid").unionByName(by_path.select("ref_id", "uid")), "ref_id", "uid")
-    return refs.join(hit, "ref_id").select("from_uid", F.col("uid").alias("to_uid"), F.lit("DOCUMENTS").alias("rel_type"), "link_type", F.col("confidence").alias("doc_confidence"))
+    e = entities.where("label NOT IN ('Note', 'DocSection')").where("uid IS NOT NULL")
+    by_name = e.select("project_name", F.lit(False).alias("is_file"), F.col("name").alias("target"), "uid")
+    by_path = e.where("file_path IS NOT NULL").select("project_name", F.lit(True).alias("is_file"), F.explode(path_suffixes(F.col("file_path"))).alias("target"), "uid")
+    # one entity alone fits all mentions of a ref_id where the least and the greatest uid are one
+    key = ["project_name", "is_file", "target"]
+    fits = by_name.unionByName(by_path).groupBy(*key).agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    w = Window.partitionBy("ref_id")
+    hit = refs.where("ref_id IS NOT NULL").join(lookup(fits, "doc-links-facts"), key, "left").withColumn("lo", F.min("lo").over(w)).withColumn("hi", F.max("hi").over(w)).where("lo = hi")
+    return hit.select("from_uid", F.col("lo").alias("to_uid"), F.lit("DOCUMENTS").alias("rel_type"), "link_type", F.col("confidence").alias("doc_confidence"))
 
 
 def registered_by(refs: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:

@@ -63,3 +63,11 @@ def test_expand_cuts_large_keys(spark, monkeypatch):
     want = left.join(right, "k").select("at", "k", "own", "to_uid")
     got = R.expand(left.unionByName(left.where("at = 3")), right, ["k"], "test", "own")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.unionByName(want.where("at = 3")).collect()))
+
+
+def test_doc_links_of_a_common_name(spark, soon):
+    refs = rows(spark, ref_id="id", from_uid="concat('d', id)", project_name="'p'", target="if(id % 2 = 0, 'get', 'f.py')", is_file="id % 2 = 1", link_type="'mention'", confidence="0.5D")
+    ents = rows(spark, uid="concat('e', id)", label="'Callable'", project_name="'p'", name="'get'", file_path="concat('src/d', id, '/f.py')")
+    refs = refs.unionByName(refs.where("ref_id = 0").selectExpr("-1 AS ref_id", "from_uid", "project_name", "'d5/f.py' AS target", "true AS is_file", "link_type", "confidence"))
+    with soon():
+        assert [tuple(r) for r in R.doc_links(refs, ents).collect()] == [("d0", "e5", "DOCUMENTS", "mention", 0.5)]
