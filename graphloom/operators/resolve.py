@@ -314,11 +314,23 @@ def doc_links(refs: DataFrame, entities: DataFrame) -> DataFrame:
 def registered_by(refs: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
     """REGISTERED_BY edges from a handler to what registers it: a callable or value of the same file, else one that the file imports.
     ``refs``: from_uid, project_name, file_path, name. ``entities``: uid, label, project_name, name, file_path. ``imports``: from_file, to_uid."""
-    e = entities.where("label IN ('Callable', 'Value', 'TypeDef')").select("project_name", "name", F.col("uid").alias("to_uid"), F.col("file_path").alias("to_file"))
-    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct().withColumn("imported", F.lit(True))
-    pairs = refs.withColumn("ref", F.xxhash64("from_uid", "name")).join(e, ["project_name", "name"]).join(linked, ["file_path", "to_uid"], "left")
-    pairs = pairs.withColumn("rung", F.when(F.col("file_path") == F.col("to_file"), 1).when(F.col("imported"), 2)).where("rung IS NOT NULL AND from_uid <> to_uid")
-    return best_rung(pairs, "ref").select("from_uid", "to_uid", F.lit("REGISTERED_BY").alias("rel_type")).distinct()
+    key, named = ["project_name", "name", "file_path"], Window.partitionBy("from_uid", "name")
+    e = entities.where("label IN ('Callable', 'Value', 'TypeDef')").select(*key, F.col("uid").alias("to_uid")).where("to_uid IS NOT NULL")
+    e = e.withColumn("single", F.count(F.lit(1)).over(Window.partitionBy("to_uid")) == 1)
+    linked = imports.select(F.col("from_file").alias("file_path"), "to_uid").distinct().join(e.drop("file_path"), "to_uid").select(*e.columns)
+    r = refs.where("from_uid IS NOT NULL").select("from_uid", *key)
+    for i, of in ((1, e), (2, linked)):
+        n = of.groupBy(*key).agg(F.min("to_uid").alias("_lo"), F.max("to_uid").alias("_hi"))
+        other = F.coalesce((F.col("_lo") != F.col("from_uid")) | (F.col("_hi") != F.col("from_uid")), F.lit(False))
+        r = r.join(lookup(n, f"registered-facts-{i}"), key, "left").withColumn(f"_{i}", other).drop("_lo", "_hi")
+    r = r.where("_1 OR _2").withColumn("_same", F.max("_1").over(named)).withColumn("once", F.count(F.lit(1)).over(named) == 1)
+    r = cut_lineage(r.where("_1 OR NOT _same").select("from_uid", *key, "once", F.when(F.col("_1"), 1).otherwise(2).alias("rung")), "registered-refs")
+    hits = [expand(r.where(F.col("rung") == i), of, key, f"registered-{i}", "single") for i, of in ((1, e), (2, linked))]
+    hits = reduce(DataFrame.unionByName, hits).where("from_uid <> to_uid")
+    # a pair can come twice only by a handler that names one thing in several rows, or by an entity with several rows
+    unique = F.col("once") & F.col("single")
+    pairs = hits.where(unique).select("from_uid", "to_uid").unionByName(hits.where(~unique).select("from_uid", "to_uid").distinct())
+    return pairs.select("from_uid", "to_uid", F.lit("REGISTERED_BY").alias("rel_type"))
 
 
 def protocol_members(conforms: DataFrame, defines: DataFrame, nodes: DataFrame) -> DataFrame:

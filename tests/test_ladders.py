@@ -71,3 +71,20 @@ def test_doc_links_of_a_common_name(spark, soon):
     refs = refs.unionByName(refs.where("ref_id = 0").selectExpr("-1 AS ref_id", "from_uid", "project_name", "'d5/f.py' AS target", "true AS is_file", "link_type", "confidence"))
     with soon():
         assert [tuple(r) for r in R.doc_links(refs, ents).collect()] == [("d0", "e5", "DOCUMENTS", "mention", 0.5)]
+
+
+def test_handlers_of_a_common_name(spark, soon):
+    refs = rows(spark, from_uid="concat('o', id)", project_name="'p'", file_path="concat('f', id)", name="'get'")
+    ents = rows(spark, uid="concat('e', id)", label="'Callable'", project_name="'p'", name="'get'", file_path="concat('f', id + 5)")
+    imports = spark.createDataFrame([("f0", "e9"), ("f0", "e8"), ("f7", "e9")], "from_file string, to_uid string")
+    with soon():
+        got = {(r.from_uid, r.to_uid) for r in R.registered_by(refs, ents, imports).collect()}
+    assert got == {("o0", "e8"), ("o0", "e9"), *((f"o{i}", f"e{i - 5}") for i in range(5, MANY))}
+
+
+def test_handlers_in_several_rows(spark):
+    ents = spark.createDataFrame([("a", "f"), ("a", "f"), ("a", "g"), ("b", "f"), ("c", "h"), ("h", "f")], "uid string, file_path string").selectExpr("uid", "'Value' AS label", "'p' AS project_name", "'n' AS name", "file_path")
+    refs = spark.createDataFrame([("h", "f"), ("h", "f"), ("h", "g"), ("c", "h"), ("x", "z")], "from_uid string, file_path string").selectExpr("from_uid", "'p' AS project_name", "file_path", "'n' AS name")
+    imports = spark.createDataFrame([("h", "b"), ("h", "a"), ("z", "c"), ("g", "c")], "from_file string, to_uid string")
+    got = sorted((r.from_uid, r.to_uid) for r in R.registered_by(refs, ents, imports).collect())
+    assert got == [("c", "a"), ("c", "b"), ("h", "a"), ("h", "b"), ("x", "c")]
