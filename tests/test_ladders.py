@@ -88,3 +88,12 @@ def test_handlers_in_several_rows(spark):
     imports = spark.createDataFrame([("h", "b"), ("h", "a"), ("z", "c"), ("g", "c")], "from_file string, to_uid string")
     got = sorted((r.from_uid, r.to_uid) for r in R.registered_by(refs, ents, imports).collect())
     assert got == [("c", "a"), ("c", "b"), ("h", "a"), ("h", "b"), ("x", "c")]
+
+
+def test_calls_in_a_file_with_many_imports(spark, soon):
+    sites = rows(spark, site_id="id", from_uid="concat('o', id)", project_name="'p'", name="concat('n', id)", file_path="'f'", line="1", owner="'T'", receiver="CAST(NULL AS STRING)", has_receiver="false", from_test="false")
+    callables = rows(spark, uid="concat('c', id)", project_name="'p'", name="concat('n', id)", file_path="'g'", owner="'U'", is_abstract="false")
+    imports = rows(spark, from_file="'f'", to_uid="concat('c', id)")
+    with soon():
+        got = R.resolve_calls(sites, callables, imports, F.col("c.file_path").startswith("tests/"))
+        assert got.where("strategy = 'import' AND candidate_count = 1 AND replace(from_uid, 'o', 'c') = to_uid").count() == MANY == got.count()
