@@ -68,7 +68,8 @@ def discard(df: DataFrame) -> None:
 
 
 #: Rows of an Arrow batch: documents are long, and Spark's 10,000 rows of them stand in memory on both sides of the pipe.
-BATCH_ROWS, _DEFAULT_ROWS = 1000, "10000"
+#: Fewer rows keep the buffers small that the JVM's pools and the workers hold on to.
+BATCH_ROWS, _DEFAULT_ROWS = 250, "10000"
 
 
 def ship(spark: SparkSession) -> None:
@@ -136,6 +137,7 @@ def releasing(f=None, *, keep: str | None = None):
     @functools.wraps(f)
     def run(batches, *args, **kwargs):
         drop_caches(keep)
+        map_large_blocks()
         try:
             yield from f(batches, *args, **kwargs)
         finally:
@@ -150,6 +152,16 @@ def drop_caches(keep: str | None) -> None:
             clear()
 
 
+@functools.lru_cache(1)
+def map_large_blocks() -> None:
+    """Have the C library map blocks from 1 MB on. Left alone it raises that bound with every larger block that is freed, and arrays then
+    come from a heap that keeps up to twice the bound and every gap below a block still in use."""
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        libc = ctypes.CDLL("libc.so.6")
+        for parameter, value in ((-3, 1 << 20), (-1, 1 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(parameter, value)
+
+
 def release_memory() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 #: Benchmark characters that one broadcast hash table is made of.
 BLOCK_CHARS = 4 << 20
 #: Characters that are read together; a longer text is read as a whole.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 
 NUM, UNIT, NAME = SLOTS = "<num>", "<unit>", "<name>"
 _TOKEN = re.compile(r"\w+(?:(?:['’]|(?<=\d)[.,:/](?=\d))\w+)*|[.!?\n]")

@@ -212,7 +212,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         c.memo.clear()
         for b in slices(batches):
             rows = []
-            for block in in_blocks([t or "" for t in b.column(1).to_pylist()]):
+            for block in in_blocks([t or "" for t in b.column(1).to_pylist()], 1 << 18):
                 split = [c.split(t) for t in block]
                 c.prepare(split)
                 for words in split:
