@@ -146,6 +146,70 @@ def test_suffix_dedup_of_cut_texts(spark, monkeypatch):
     assert found == set(range(len(long) - 99))
 
 
+def test_suffix_sort_compares_bytes_once(monkeypatch):
+    from graphloom.llm import suffix_dedup as S
+
+    def hashed(*_):
+        raise AssertionError("a window's comparison hashes its prefixes again")
+
+    monkeypatch.setattr(S.PrefixHashes, "of", hashed)
+    rnd = random.Random(5)
+    base = bytes(rnd.choice(b"\0\1a\xff") for _ in range(160))
+    contexts = [base[:90] + bytes(rnd.choice(b"\0a\xff") for _ in range(2)) + base[92:] for _ in range(40)] + [base[:-5] + bytes(5), bytes(160), base]
+    c = S.Contexts(contexts, 100)
+    segment = np.repeat(np.arange(61) * 3, len(contexts))
+    who = np.tile(np.arange(len(contexts)), 61)
+    at = c.begin[who] + segment // 3
+    windows = [(int(s), contexts[w][s // 3 : s // 3 + 100]) for s, w in zip(segment, who, strict=True)]
+    assert [windows[i] for i in c.sort(at, segment)] == sorted(windows)
+    rank = np.array([rnd.randrange(1000) for _ in windows])
+    least = {}
+    for x, r in zip(windows, rank, strict=True):
+        least[x] = min(r, least.get(x, r))
+    assert c.repeats(at, segment, rank).tolist() == [r > least[x] for x, r in zip(windows, rank, strict=True)]
+    none = np.zeros(0, np.int64)
+    assert len(c.sort(none, none)) == len(c.repeats(none, none, none)) == 0
+
+
+def test_removal_of_marks():
+    from graphloom.llm.suffix_dedup import removal
+
+    rnd = random.Random(6)
+    for length in (1, 7, 100):
+        for _ in range(60):
+            raw = rnd.randbytes(rnd.randrange(length, length + 200))
+            first = np.array([rnd.randrange(len(raw) - length + 1) for _ in range(rnd.randrange(6))], np.int64)
+            last = np.array([rnd.randrange(f, len(raw) - length + 1) for f in first], np.int64)
+            starts = [[rnd.random() < 0.3 for _ in range(f, e + 1)] if rnd.random() < 0.5 else None for f, e in zip(first, last, strict=True)]
+            gone = np.zeros(len(raw), bool)
+            for f, e, some in zip(first, last, starts, strict=True):
+                for p in range(f, e + 1):
+                    if some is None or some[p - f]:
+                        gone[p : p + length] = True
+            kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
+            masks = {i: np.packbits(some).tobytes() for i, some in enumerate(starts) if some is not None}
+            assert removal(raw, first, last, masks, length) == (int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), sha(kept))
+
+
+def test_suffix_dedup_past_the_blocks(spark):
+    from graphloom.llm import suffix_dedup as S
+
+    rnd = random.Random(7)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(4 * S.BLOCK + 500))
+    at = S.BLOCK  # where the long text is cut
+    rows = [(1, long), (2, long[at - 300 : at + 300]), (3, "y" * 50 + long[at - 90 : at + 30] + "z"), (4, long[: 2 * at] + "Q" + long[2 * at :]), (5, long[3 * at - 99 : 3 * at] + "!")]
+    seen, want = set(), set()
+    for i, t in rows:
+        raw, gone = t.encode(), np.zeros(len(t), bool)
+        for p in range(len(raw) - 99):
+            w = hashlib.blake2b(raw[p : p + 100], digest_size=16).digest()
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        want.add((i, len(raw), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), sha(bytes(np.frombuffer(raw, np.uint8)[~gone]))))
+    assert set(map(tuple, S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
 def brute_found(items, text, width=5, similarity=0.8):
     """Items found in a text: every window against every window, by the definition."""
     from graphloom.llm.decontaminate import SLOTS, canonical, lowered
