@@ -67,6 +67,13 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver drop the plans that have run: Spark deletes shuffle files when the plan behind them is collected, which
+    otherwise waits until the driver's heap fills, while the files of all stages pile up. For use after a ``stored`` table."""
+    gc.collect()  # Python's handles of plans
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of an Arrow batch: documents are long, and Spark's 10,000 rows of them stand in memory on both sides of the pipe.
 #: Fewer rows keep the buffers small that the JVM's pools and the workers hold on to.
 BATCH_ROWS, _DEFAULT_ROWS = 250, "10000"

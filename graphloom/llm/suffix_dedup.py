@@ -8,10 +8,9 @@ occurrence stands for all the neighbouring windows that belong to it (its contex
    place; no text).
 2. Occurrences with one context are equal in all their windows: the first keeps them, folded
    map-side, so a passage of any number of documents is one row per map task.
-3. Anchors with several contexts need their bytes. Their windows are sorted as suffixes by a merge sort whose comparisons find
-   the common extension by binary search over prefix polynomial hashes; equal neighbours are
-   verified byte by byte, and the smallest place of a run of equals is the first. The windows of an anchor with very many
-   contexts are dealt to several tasks by their hash: equal windows meet in one of them.
+3. Anchors with several contexts need their bytes. Their windows are sorted as suffixes by a merge sort over the bytes
+   themselves; neighbours are compared whole, and the smallest place of a run of equals is the first. The windows of an
+   anchor with very many contexts are dealt to several tasks by their hash: equal windows meet in one of them.
 4. Texts are shuffled only for documents that lose bytes (routed by a filter of their ids).
 
 All filters have a fixed size; beyond it they let more rows through and miss none.
@@ -27,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, few_tasks, id_filter, in_blocks, merged_filter, mix64, releasing, slices, stored, table
+from graphloom.llm.common import bloom_has, bloom_pair, bloom_shape, discard, few_tasks, forget_shuffles, id_filter, in_blocks, merged_filter, mix64, releasing, slices, stored, table
 
 LENGTH = 100
 GRAM = 32
 MAX_BITS = 1 << 28
-#: Characters hashed together; a longer text is cut into overlapping blocks.
-BLOCK = 1 << 21
+#: Bytes hashed together, few enough for their arrays to stay in a processor's cache; a text over four times that is cut into overlapping blocks.
+BLOCK = 1 << 16
 _BASE = 0xD1342543DE82EF95
 _TABLE = mix64(np.arange(1, 257, dtype=np.int64))
 
@@ -125,64 +124,32 @@ class Contexts:
     def __init__(self, contexts: list[bytes], length: int):
         self.raw = np.frombuffer(b"".join(contexts), np.uint8)
         self.begin = np.r_[0, np.cumsum([len(c) for c in contexts])]
-        self.sums = PrefixHashes(self.raw)
         self.length = length
 
-    def before(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(suffix a < suffix b, equal) over ``length`` bytes: the common extension by binary search."""
-        same, rest = np.zeros(len(a), np.int64), np.full(len(a), self.length)
-        while True:
-            mid = (same + rest + 1) >> 1
-            open_ = same < rest
-            if not open_.any():
-                break
-            hit = self.sums.of(a, a + mid) == self.sums.of(b, b + mid)
-            same = np.where(open_ & hit, mid, same)
-            rest = np.where(open_ & ~hit, mid - 1, rest)
-        equal = same == self.length
-        at = np.minimum(same, self.length - 1)
-        return ~equal & (self.raw[a + at] < self.raw[b + at]), equal
+    def keys(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """A row of bytes for each suffix: the number of its segment (``segment`` ascending), then its ``length`` bytes, then zeros up to whole words."""
+        n = len(at)
+        out = np.zeros((n, 4 + self.length + (-4 - self.length) % 8), np.uint8)
+        if n:
+            starts = np.ndarray(len(self.raw) - self.length + 1, f"V{self.length}", self.raw, strides=(1,))
+            out[:, :4] = np.cumsum(np.r_[0, segment[1:] != segment[:-1]]).astype(">u4").view(np.uint8).reshape(n, 4)
+            out[:, 4 : 4 + self.length] = starts[at].view(np.uint8).reshape(n, self.length)
+        return out
 
     def sort(self, at: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Order of suffixes within segments (``segment`` ascending): bottom-up merge sort in which every
-        element finds its place in the neighbouring run by binary search, all at once."""
-        n = len(at)
-        order = np.arange(n)
-        first = np.searchsorted(segment, segment)
-        last = np.searchsorted(segment, segment, "right")
-        run = 1
-        while run < int((last - first).max(initial=0)):
-            i = np.arange(n)
-            own = first + (i - first) // run * run
-            left = ((own - first) // run) % 2 == 0
-            lo = np.where(left, np.minimum(own + run, last), own - run)
-            hi = np.where(left, np.minimum(own + 2 * run, last), own)
-            x, base = at[order], lo.copy()
-            while True:
-                open_ = np.flatnonzero(lo < hi)
-                if not len(open_):
-                    break
-                mid = (lo[open_] + hi[open_]) >> 1
-                less, equal = self.before(at[order[mid]], x[open_])
-                less |= equal & ~left[open_]  # equals of the left run stay in front
-                lo[open_] = np.where(less, mid + 1, lo[open_])
-                hi[open_] = np.where(less, hi[open_], mid)
-            place = np.where(left, own, own - run) + (i - own) + (lo - base)
-            new = np.empty(n, np.int64)
-            new[place] = order
-            order, run = new, run * 2
-        return order
+        """Order of suffixes within segments (``segment`` ascending): a stable merge sort by their bytes."""
+        return self._order(self.keys(at, segment))
+
+    @staticmethod
+    def _order(keys: np.ndarray) -> np.ndarray:
+        return np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
 
     def repeats(self, at: np.ndarray, segment: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Which suffixes equal one of smaller ``rank`` in their segment."""
-        order = self.sort(at, segment)
-        a, b = at[order[:-1]], at[order[1:]]
-        equal = (segment[order[:-1]] == segment[order[1:]]) & self.before(a, b)[1]
-        i = np.flatnonzero(equal)
-        for s in range(0, len(i), 1 << 15):  # equal hashes are verified by the bytes themselves
-            j = i[s : s + (1 << 15)]
-            span = np.arange(self.length)
-            equal[j] = (self.raw[a[j][:, None] + span] == self.raw[b[j][:, None] + span]).all(axis=1)
+        keys = self.keys(at, segment)
+        order = self._order(keys)
+        words = keys.view(np.uint64)[order]
+        equal = (words[1:] == words[:-1]).all(axis=1)
         run = np.cumsum(np.r_[True, ~equal]) - 1 if len(order) else np.zeros(0, np.int64)
         least = np.full(int(run.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, run, rank[order])
@@ -218,7 +185,7 @@ def _masks(rows: list[tuple], length: int):
     own = parts == 1
     other = np.flatnonzero(~own)
     if len(other):
-        own[other] = dealt(c.sums, c.begin[who[other]] + i[other], length, parts[other]) == part[other]
+        own[other] = dealt(PrefixHashes(c.raw), c.begin[who[other]] + i[other], length, parts[other]) == part[other]
     own = np.flatnonzero(own)
     by = own[np.argsort(segment[own], kind="stable")]
     edges = np.r_[0, np.flatnonzero(np.diff(segment[by])) + 1, len(by)]
@@ -233,16 +200,18 @@ def _masks(rows: list[tuple], length: int):
     return pa.record_batch([[rows[j][0] for j in keep], [rows[j][1] for j in keep], [np.packbits(dup[ends[j] - count[j] : ends[j]]).tobytes() for j in keep]], schema=_MASK)
 
 
-def removal(raw: bytes, marks, length: int = LENGTH) -> tuple[int, int, str]:
-    """(bytes removed, maximal removed runs, SHA-256 of the rest). marks: (first, last, mask) of window starts."""
-    if not marks:
+def removal(raw: bytes, first: np.ndarray, last: np.ndarray, masks: dict[int, bytes], length: int = LENGTH) -> tuple[int, int, str]:
+    """(bytes removed, maximal removed runs, SHA-256 of the rest). Marks are ranges of window starts; of mark number i only those in ``masks[i]``, if there."""
+    if not len(first):
         return 0, 0, hashlib.sha256(raw).hexdigest()
-    start = np.zeros(len(raw) + 1, np.int8)
-    for first, last, mask in marks:
-        start[first : last + 1] |= 1 if mask is None else np.unpackbits(np.frombuffer(mask, np.uint8), count=last - first + 1).view(np.int8)
-    run = np.cumsum(np.r_[0, start[:-1]])
-    covered = run[1:] > run[np.maximum(0, np.arange(1, len(raw) + 1) - length)]
-    spans = int(np.count_nonzero(covered & ~np.r_[False, covered[:-1]]))
+    if masks:
+        whole = np.ones(len(first), bool)
+        whole[list(masks)] = False
+        some = [int(first[i]) + np.flatnonzero(np.unpackbits(np.frombuffer(m, np.uint8), count=int(last[i] - first[i]) + 1)) for i, m in masks.items()]
+        first, last = (np.concatenate([x[whole], *some]) for x in (first, last))
+    step = np.bincount(first, minlength=len(raw) + 1) - np.bincount(last + length, minlength=len(raw) + 1)
+    covered = np.cumsum(step[:-1]) > 0
+    spans = int(np.count_nonzero(covered[1:] & ~covered[:-1])) + int(covered[0])
     kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
     return len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
@@ -262,7 +231,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     gram = min(GRAM, length)
     base = few_tasks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = base.select("doc_id", F.coalesce("doc_id", F.lit(last)).alias("k"), "text")
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, probes = bloom_shape(size * 2 // (length - gram + 2), 12, max_bits)
 
@@ -276,6 +246,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         yield from bloom_pair(hashes(), bits, probes)
 
     twice = sc.broadcast(merged_filter(keyed.select("k", "text").mapInArrow(build, "slice int, once binary, twice binary"), bits, "twice"))
+    forget_shuffles(spark)
     found_sql = "h long, context long, k long, tag long, place long, first long, last long"
 
     @releasing
@@ -291,6 +262,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
 
     seen = stored(keyed.select("k", "text").mapInArrow(found, found_sql), "substring-anchors")
     classes = stored(seen.groupBy("h", "context").agg(F.min(F.struct("k", "tag", "place")).alias("at"), F.count(F.lit(1)).alias("n")), "substring-contexts")
+    forget_shuffles(spark)
     mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / contexts_together).cast("int").alias("parts"))
     mixed = stored(mixed, "substring-mixed")
     mixed_bits, mixed_probes = id_filter(mixed.select("h"), mixed.count(), max_bits)
@@ -361,15 +333,21 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
         split = crowded.mapInArrow(deal, schema).select(*cols).repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(masks, "h long, context long, mask binary")
         mask = mask.unionByName(split.groupBy("h", "context").agg(F.collect_list("mask").alias("masks")).mapInArrow(joined_masks, "h long, context long, mask binary"))
     mask = stored(mask, "substring-masks")
+    discard(mixed)
+    forget_shuffles(spark)
     # as a table, so that the join with all occurrences is one of two plain scans, whose hot keys adaptive execution splits
     firsts = stored(classes.join(mask, ["h", "context"], "left").where("n > 1 OR mask IS NOT NULL").select("h", "context", "at", "mask"), "substring-firsts")
+    discard(classes)
+    discard(mask)
+    forget_shuffles(spark)
     marked = seen.join(firsts, ["h", "context"]).withColumn("is_first", F.col("at") == F.struct("k", "tag", "place")).where("NOT is_first OR mask IS NOT NULL")
     marks = stored(
         marked.select("k", "tag", F.struct("first", "last", F.when(F.col("is_first"), F.col("mask")).alias("mask")).alias("m")).groupBy("k", "tag").agg(F.collect_list("m").alias("marks")),
         "substring-marks",
     )
-    for old in (seen, classes, mixed, mask, firsts):
-        discard(old)
+    discard(seen)
+    discard(firsts)
+    forget_shuffles(spark)
     bits_, k_ = id_filter(marks.select("k").distinct(), marks.count(), max_bits)
     hit_docs = sc.broadcast(bits_)
 
@@ -394,10 +372,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_i
     @releasing
     def finish(batches):
         for b in slices(batches):
-            rows = []
-            for text, marks_ in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                raw = text.encode()
-                rows.append((len(raw), *removal(raw, [(m["first"], m["last"], m["mask"]) for m in marks_ or ()], length)))
+            rows, marks_ = [], b.column("marks")
+            sizes = marks_.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            first, last, mask = marks_.flatten().flatten()
+            first, last = first.to_numpy(), last.to_numpy()
+            masked = np.flatnonzero(mask.is_valid().to_numpy(zero_copy_only=False))
+            found_masks = mask.take(pa.array(masked)).to_pylist()
+            ends = np.cumsum(sizes)
+            cuts = np.searchsorted(masked, np.r_[0, ends])
+            for i, text in enumerate(b.column("text").to_pylist()):
+                raw, s, e = text.encode(), int(ends[i] - sizes[i]), int(ends[i])
+                own = dict(zip((masked[cuts[i] : cuts[i + 1]] - s).tolist(), found_masks[cuts[i] : cuts[i + 1]], strict=True))
+                rows.append((len(raw), *removal(raw, first[s:e], last[s:e], own, length)))
             yield pa.record_batch([b.column("doc_id"), *(list(c) for c in zip(*rows, strict=True))] if rows else [b.column("doc_id"), [], [], [], []], schema=_OUT)
 
     moved = keyed.mapInArrow(maybe, "doc_id long, k long, tag long, text string").join(marks, ["k", "tag"], "left").select("doc_id", "text", "marks")

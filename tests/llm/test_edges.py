@@ -1,6 +1,7 @@
 """Null ids, repeated rows, long texts and clashing names through every operator; brute force for those that SQL cannot express."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -210,6 +211,37 @@ def test_suffix_dedup_past_the_blocks(spark):
     assert set(map(tuple, S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
 
 
+def test_suffix_dedup_frees_what_is_done(spark, monkeypatch):
+    import time
+
+    from graphloom.llm import suffix_dedup as S
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    there, left, paths, stored = shuffles(), {}, {}, S.stored
+
+    def watched(df, label):
+        end = time.time() + 30
+        while label == "substring-marks" and shuffles() - there and time.time() < end:  # Spark deletes them beside the job
+            time.sleep(0.2)
+        left[label] = shuffles() - there
+        out = stored(df, label)
+        paths[label] = out._graphloom_path.removeprefix("file://")
+        if label == "substring-marks":
+            left["tables"] = sorted(x for x, at in paths.items() if os.path.exists(at))
+        return out
+
+    monkeypatch.setattr(S, "stored", watched)
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, base[: 300 + i] + "x" * i + base[i:]) for i in range(6)]
+    S.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left["substring-marks"] == set()
+    assert left["tables"] == ["substring-anchors", "substring-firsts", "substring-marks"]
+
+
 def brute_found(items, text, width=5, similarity=0.8):
     """Items found in a text: every window against every window, by the definition."""
     from graphloom.llm.decontaminate import SLOTS, canonical, lowered
