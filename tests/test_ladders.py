@@ -65,6 +65,19 @@ def test_expand_cuts_large_keys(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.unionByName(want.where("at = 3")).collect()))
 
 
+@pytest.mark.parametrize("left_n, right_n", [(300, 20), (20, 300)])
+def test_expand_bounds_tasks_and_deals_once(spark, monkeypatch, left_n, right_n):
+    for name, value in (("BLOCK", 4), ("PART", 2), ("CELL", 10), ("TASK", 5), ("TASKS", 7)):
+        monkeypatch.setattr(R, name, value, raising=False)
+    # a constant column among the keys, as a project's name may be
+    left = rows(spark, left_n, at="id", p="if(id >= 0, 'w', 'v')", k="id % 2").localCheckpoint()
+    right = rows(spark, right_n, p="'w'", k="id % 3", to_uid="concat('t', id)")
+    got = R.expand(left, right, ["p", "k"], "test")
+    assert got.rdd.getNumPartitions() == 7  # not one a few pairs, and not dealt anew into spark.sql.shuffle.partitions
+    want = left.join(right, ["p", "k"]).select("at", "p", "k", "to_uid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_doc_links_of_a_common_name(spark, soon):
     refs = rows(spark, ref_id="id", from_uid="concat('d', id)", project_name="'p'", target="if(id % 2 = 0, 'get', 'f.py')", is_file="id % 2 = 1", link_type="'mention'", confidence="0.5D")
     ents = rows(spark, uid="concat('e', id)", label="'Callable'", project_name="'p'", name="'get'", file_path="concat('src/d', id, '/f.py')")
